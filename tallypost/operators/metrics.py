@@ -42,9 +42,12 @@ def _last_by_time(value: str) -> Column:
     return F.max_by(value, order + F.col("request_id").cast("decimal(19,0)"))
 
 
+def _named(stats: DataFrame, *keys: str) -> DataFrame:
+    return stats.select(*keys, "n", *[F.col(s).alias(f"{s}_ms") for s in _TREND_ORDER])
+
+
 def latency_trend(requests: DataFrame) -> DataFrame:
-    stats = trend(requests, ["endpoint"], "duration_ms", TREND_QUANTILES)
-    return stats.select("endpoint", "n", *[F.col(s).alias(f"{s}_ms") for s in _TREND_ORDER])
+    return _named(trend(requests, ["endpoint"], "duration_ms", TREND_QUANTILES), "endpoint")
 
 
 def expected_latency(requests: DataFrame) -> DataFrame:
@@ -52,6 +55,17 @@ def expected_latency(requests: DataFrame) -> DataFrame:
     return latency_trend(requests.where(~_failed()))
 
 
+def latency_trends(requests: DataFrame) -> DataFrame:
+    """Both trends in one pass: structs `all` and `expected` per endpoint."""
+    series = F.when(_failed(), F.array(F.lit("all"))).otherwise(F.array(F.lit("all"), F.lit("expected")))
+    samples = requests.select("endpoint", "duration_ms", F.explode(series).alias("series"))
+    stats = _named(trend(samples, ["endpoint", "series"], "duration_ms", TREND_QUANTILES), "endpoint", "series")
+    parts = F.struct(*[c for c in stats.columns if c not in ("endpoint", "series")])
+    return stats.groupBy("endpoint").agg(
+        *[F.max(F.when(F.col("series") == name, parts)).alias(name) for name in ("all", "expected")]
+    )
+
+
 def run_totals(requests: DataFrame) -> DataFrame:
     """Every metric but the trends, in one pass of fixed-width aggregates."""
     timed = ~F.col("warmup")
@@ -73,15 +87,13 @@ def _failed_rate() -> Column:
     return F.col("failed_requests") / F.col("requests")
 
 
-def check_rate(totals: DataFrame) -> DataFrame:
+def check_rate(totals: DataFrame, *keep: str) -> DataFrame:
     """Checks passed and failed, and the failed-request rate.
 
     In the rate metric a "pass" is a request that failed.
     """
     return totals.select(
-        "endpoint",
-        "check_passes",
-        "check_fails",
+        *(keep or ("endpoint", "check_passes", "check_fails")),
         (F.col("check_passes") / F.col("requests")).alias("check_rate"),
         F.col("failed_requests").alias("failed_passes"),
         (F.col("requests") - F.col("failed_requests")).alias("failed_fails"),

@@ -127,11 +127,26 @@ _JSON = (
 )
 _OUTBOX_ID = "regexp_replace(md5(concat('Message:', cast(id as varchar))), '^(.{8})(.{4})(.{4})(.{4})(.{12})$', '\\1-\\2-\\3-\\4-\\5')"
 _AVG = "cast(sum(cast(round(duration_ms * 1000000) as hugeint)) as double) / 1e6 / count(*)"
+
+
+def _quantile(p: float) -> str:
+    """Interpolated between neighbours in rank; rk counts from 0."""
+    pos = f"(cast({p} as double) * (max(n) - 1))"
+    row = f"(cast({p} as double) * (n - 1))"
+    low = f"max(duration_ms) filter (where rk = floor({row}))"
+    high = f"max(duration_ms) filter (where rk = ceil({row}))"
+    return (
+        f"case when {pos} = floor({pos}) then {low} "
+        f"else (ceil({pos}) - {pos}) * {low} + ({pos} - floor({pos})) * {high} end"
+    )
+
+
 _TREND = (
     f"select endpoint, count(*) as n, {_AVG} as avg_ms, min(duration_ms) as min_ms, "
-    "quantile_cont(duration_ms, 0.5) as med_ms, max(duration_ms) as max_ms, "
-    "quantile_cont(duration_ms, 0.95) as p95_ms, quantile_cont(duration_ms, 0.99) as p99_ms from r {where} "
-    "group by endpoint"
+    f"{_quantile(0.5)} as med_ms, max(duration_ms) as max_ms, "
+    f"{_quantile(0.95)} as p95_ms, {_quantile(0.99)} as p99_ms from ("
+    "select endpoint, duration_ms, count(*) over (partition by endpoint) as n, "
+    "row_number() over (partition by endpoint order by duration_ms) - 1 as rk from r {where}) group by endpoint"
 )
 _ALL = "select id, content, created_at from m"
 _DELIVERY = "id, content, created_at, delivered_at, log_partition, log_offset"

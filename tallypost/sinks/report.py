@@ -38,12 +38,8 @@ def _counter(count: str) -> Column:
 def summary(requests: DataFrame) -> DataFrame:
     """`endpoint`, `state` and `metrics` per run."""
     totals = M.run_totals(requests)
-    rates = M.check_rate(totals).drop("check_passes", "check_fails")
-    all_trend = M.latency_trend(requests).select("endpoint", F.struct("*").alias("all"))
-    expected = M.expected_latency(requests).select("endpoint", F.struct("*").alias("expected"))
-    joined = (
-        totals.join(rates, "endpoint").join(all_trend, "endpoint", "left").join(expected, "endpoint", "left")
-    )
+    rates = M.check_rate(totals, "*")
+    joined = rates.join(M.latency_trends(requests), "endpoint", "left")
     verdict = F.struct(
         F.struct((F.col("failed_rate") < FAILED_RATE_LIMIT).alias("ok")).alias(f"rate<{FAILED_RATE_LIMIT}")
     ).alias("thresholds")

@@ -97,6 +97,18 @@ def lenient_object(obj: Column, fields: list[Field], quoted_numbers: bool) -> Co
     return bind(parts, gather)
 
 
+def only_spelled(text: Column, name: str) -> Column:
+    """The name occurs in no other case than this one, nor hidden by an escape."""
+    quoted = F.lit(f'"{name}"')
+    nothing = F.lit("")
+    same = F.length(F.replace(F.lower(text), quoted, nothing)) == F.length(F.replace(text, quoted, nothing))
+    return same & ~text.contains("\\u")
+
+
+def looks_like_object(text: Column) -> Column:
+    return F.ltrim(text).startswith("{")
+
+
 def outcome(ok: Column, value: Column) -> Column:
     return F.struct(ok.alias("ok"), value.alias("value"))
 

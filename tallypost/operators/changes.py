@@ -54,6 +54,8 @@ def parse_envelope(value: Column) -> Column:
         )
 
     def choose(p: Column) -> Column:
+        # A delete. The text is read again only if it might hold the name in another case.
+        no_image = p["_bad"].isNull() & p["after"].isNull() & J.only_spelled(value, "after") & J.looks_like_object(value)
         clean = p["_bad"].isNull() & J.all_present(p["after"], fields)
         again = J.bind(
             F.try_parse_json(value),
@@ -64,6 +66,7 @@ def parse_envelope(value: Column) -> Column:
         return (
             F.when(value.isNull(), J.outcome(F.lit(True), F.lit(None)))
             .when(clean, J.outcome(F.lit(True), J.strict_struct(p["after"], fields)))
+            .when(no_image, J.outcome(F.lit(True), F.lit(None)))
             .otherwise(again)
         )
 

@@ -93,25 +93,25 @@ def encode_records(messages: DataFrame, serializer: Serializer = JSON_SERIALIZER
 
 
 def decode_records(records: DataFrame, serializer: Serializer = JSON_SERIALIZER) -> DataFrame:
-    """Replace key and value by `id`, `message` and `malformed`.
+    """Add `id`, `message` and `malformed` to records.
 
     The parse runs in a generator, which Catalyst does not copy into later filters.
     """
-    rest = [c for c in records.columns if c not in ("key", "value")]
-    id_ = key_int(F.col("key"))
     return records.select(
-        id_.alias("id"), *rest, F.explode(F.array(serializer.decode(F.col("value")))).alias("_parsed")
+        key_int(F.col("key")).alias("id"),
+        "*",
+        F.explode(F.array(serializer.decode(F.col("value")))).alias("_parsed"),
     ).select(
         "id",
-        *rest,
+        *records.columns,
         F.col("_parsed.value").alias("message"),
         (F.col("id").isNull() | ~F.col("_parsed.ok")).alias("malformed"),
     )
 
 
 def split_malformed(decoded: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Good records and the quarantine."""
+    """Good records without their raw form, and the quarantine in nothing but it."""
     return (
-        decoded.where(~F.col("malformed")).drop("malformed"),
-        decoded.where("malformed").drop("malformed"),
+        decoded.where(~F.col("malformed")).drop("malformed", "key", "value"),
+        decoded.where("malformed").drop("malformed", "id", "message", "after", "content"),
     )

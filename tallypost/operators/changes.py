@@ -74,21 +74,20 @@ def parse_envelope(value: Column) -> Column:
 
 
 def decode_envelopes(log: DataFrame, value: str = "value") -> DataFrame:
-    """Replace `value` by `after` and `malformed`; one parse per row."""
-    rest = [c for c in log.columns if c != value]
+    """Add `after` and `malformed`; one parse per row."""
     return log.select(
-        *rest, F.explode(F.array(parse_envelope(F.col(value).cast("string")))).alias("_parsed")
-    ).select(*rest, F.col("_parsed.value").alias("after"), (~F.col("_parsed.ok")).alias("malformed"))
+        "*", F.explode(F.array(parse_envelope(F.col(value).cast("string")))).alias("_parsed")
+    ).select(*log.columns, F.col("_parsed.value").alias("after"), (~F.col("_parsed.ok")).alias("malformed"))
 
 
-def after_images(decoded: DataFrame) -> DataFrame:
+def after_images(decoded: DataFrame, value: str = "value") -> DataFrame:
     """Row images of decoded envelopes; deletes and broken values have none."""
-    rest = [c for c in decoded.columns if c not in ("after", "malformed")]
+    rest = [c for c in decoded.columns if c not in (value, "after", "malformed")]
     return decoded.where(F.col("after").isNotNull()).select(*rest, "after.*")
 
 
 def cdc_after_image(log: DataFrame, value: str = "value") -> DataFrame:
-    return after_images(decode_envelopes(log, value))
+    return after_images(decode_envelopes(log, value), value)
 
 
 def insert_only(changes: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..schemas import CHANGE
 
@@ -12,3 +12,10 @@ def change_stream(
 ) -> DataFrame:
     reader = spark.readStream if stream else spark.read
     return reader.format(fmt).schema(CHANGE).options(**options).load(path)
+
+
+def changes_from_topic(records: DataFrame) -> DataFrame:
+    """Change rows that were put on a topic as JSON values, one per record."""
+    return records.select(
+        F.explode(F.array(F.from_json(F.col("value").cast("string"), CHANGE))).alias("_change")
+    ).select("_change.*")

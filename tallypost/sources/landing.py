@@ -33,14 +33,15 @@ def parse_body(value: Column) -> Column:
 
 
 def bodies(spark: SparkSession, path: str, stream: bool = True, **options: str) -> DataFrame:
-    """`content` and `malformed`; a body that says null is malformed, as content must be set."""
+    """`value`, `content` and `malformed`; a null content is malformed, as it must be set."""
     reader = spark.readStream if stream else spark.read
     lines = reader.format("text").options(**options).load(path)
-    return lines.select(F.explode(F.array(parse_body(F.col("value")))).alias("_parsed")).select(
+    return lines.select("value", F.explode(F.array(parse_body(F.col("value")))).alias("_parsed")).select(
+        "value",
         F.col("_parsed.value.content").alias("content"),
         F.col("_parsed.value.content").isNull().alias("malformed"),
     )
 
 
 def accepted(read: DataFrame) -> DataFrame:
-    return read.where(~F.col("malformed")).drop("malformed")
+    return read.where(~F.col("malformed")).select("content")

@@ -21,7 +21,7 @@ from ..functions.codec import key_bytes
 from ..sinks.batches import BatchStore
 from ..sinks.topics import write_topic
 
-OPEN_ROWS, CLOSED_ROWS, ATTEMPTS = "open", "closed", "attempts"
+OPEN_ROWS, DUE_ROWS, CLOSED_ROWS, ATTEMPTS = "open", "due", "closed", "attempts"
 
 # Takes due outbox rows and returns (id, ok, error) for each; raising fails them all.
 Dispatcher = Callable[[DataFrame], DataFrame]
@@ -59,34 +59,43 @@ def poll(
     columns = OUTBOX.fieldNames()
     moment = clock() if clock else datetime.now(timezone.utc)
     now = F.lit(moment).cast("timestamp")
-    fresh = rows.where(F.col("id").isNotNull()).select(columns)
-    pool = store.batch(OPEN_ROWS, batch_id - 1, OUTBOX).unionByName(fresh)
-
-    # Written out first: the dispatcher and the outcome must see the same rows.
-    store.put(outbox_batch(pool, now, limit), "due", batch_id)
-    due = store.batch("due", batch_id, OUTBOX)
-    tried = due.join(_outcomes(due, dispatcher), "id").select(
-        "id", (F.col("retry_count") + 1).alias("attempt_no"), now.alias("attempted_at"), "ok", "error"
-    )
-    store.put(tried, ATTEMPTS, batch_id)
-    tried = store.batch(ATTEMPTS, batch_id, ATTEMPT)
+    # Read several times below; kept, so that the source is not asked again each time.
+    fresh = rows.where(F.col("id").isNotNull()).select(columns).persist()
+    try:
+        pool = store.batch(OPEN_ROWS, batch_id - 1, OUTBOX).unionByName(fresh.where(F.col("status") == OPEN))
+
+        # Written out first: the dispatcher and the outcome must see the same rows.
+        store.put(outbox_batch(pool, now, limit), DUE_ROWS, batch_id)
+        due = store.batch(DUE_ROWS, batch_id, OUTBOX)
+        tried = due.join(_outcomes(due, dispatcher), "id").select(
+            "id", (F.col("retry_count") + 1).alias("attempt_no"), now.alias("attempted_at"), "ok", "error"
+        )
+        store.put(tried, ATTEMPTS, batch_id)
+        after = _after(due, store.batch(ATTEMPTS, batch_id, ATTEMPT), max_attempts)
+
+        waiting = pool.join(due.select("id"), "id", "left_anti").select(columns)
+        store.put(waiting.unionByName(after.where(F.col("status") == OPEN)), OPEN_ROWS, batch_id)
+        came_closed = fresh.where(F.col("status") != OPEN)
+        store.put(came_closed.unionByName(after.where(F.col("status") != OPEN)), CLOSED_ROWS, batch_id)
+        store.commit(batch_id)
+    finally:
+        fresh.unpersist()
+
 
+def _after(due: DataFrame, tried: DataFrame, max_attempts: int) -> DataFrame:
+    """The due rows as their tries leave them."""
     failures = F.col("retry_count") + (~F.col("ok")).cast("int")
     status = status_after(F.col("ok"), failures, max_attempts)
-    after = due.join(tried, "id").select(
+    at = F.col("attempted_at")
+    return due.join(tried, "id").select(
         "id", "type_name", "payload",
         status.alias("status"),
         failures.alias("retry_count"),
-        F.when(F.col("ok"), F.col("next_retry_at")).otherwise(retry_time(now, failures)).alias("next_retry_at"),
+        F.when(F.col("ok"), F.col("next_retry_at")).otherwise(retry_time(at, failures)).alias("next_retry_at"),
         "created_at",
-        F.when(F.col("ok"), now).alias("processed_at"),
+        F.when(F.col("ok"), at).alias("processed_at"),
         F.when(~F.col("ok") & (status != OPEN), F.col("error")).alias("dead_letter_error"),
     )
-    waiting = pool.join(due.select("id"), "id", "left_anti").select(columns)
-    moved = waiting.unionByName(after)
-    store.put(moved.where(F.col("status") == OPEN), OPEN_ROWS, batch_id)
-    store.put(moved.where(F.col("status") != OPEN), CLOSED_ROWS, batch_id)
-    store.commit(batch_id)
 
 
 def dispatch(

@@ -82,6 +82,18 @@ def test_settled_first_delivery_is_the_lowest_offset_in_any_order(spark, tmp_pat
     )
 
 
+def test_repeats_are_thinned_in_order(spark):
+    n = F.col("id")
+    rows = spark.range(0, 30_000, 1, 3).select(
+        F.when(n % 3 == 0, 1).when(n % 1000 == 1, None).otherwise(n + 10).cast("int").alias("id"), n.alias("log_offset"),
+        F.lit("2024-01-01").cast("timestamp").alias("delivered_at"),
+    )
+    thin = SD.thin_repeats(rows)
+    assert thin.where("id = 1").count() == 3 and thin.where("id = 1 and log_offset % 10000 < 3").count() == 3
+    assert thin.where("id <> 1").count() == rows.where("id <> 1").count()
+    assert thin.where("id is null").count() == 3
+
+
 def test_state_is_dropped_behind_the_watermark(spark, both, tmp_path):
     lands = {n: Landing(df, arrival, str(tmp_path / n)) for n, (df, arrival) in both.items()}
     for land in lands.values():

@@ -6,7 +6,7 @@ from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.quantiles import trend
+from ..functions.quantiles import trend, trends
 from ..schemas import FAILED_RATE_LIMIT, HIDDEN_PATHS
 
 # The statistics a trend reports besides avg, min and max.
@@ -42,12 +42,12 @@ def _last_by_time(value: str) -> Column:
     return F.max_by(value, order + F.col("request_id").cast("decimal(19,0)"))
 
 
-def _named(stats: DataFrame, *keys: str) -> DataFrame:
-    return stats.select(*keys, "n", *[F.col(s).alias(f"{s}_ms") for s in _TREND_ORDER])
+def _named(stats: str) -> list[Column]:
+    return [F.col(f"{stats}n").alias("n"), *[F.col(f"{stats}{s}").alias(f"{s}_ms") for s in _TREND_ORDER]]
 
 
 def latency_trend(requests: DataFrame) -> DataFrame:
-    return _named(trend(requests, ["endpoint"], "duration_ms", TREND_QUANTILES), "endpoint")
+    return trend(requests, ["endpoint"], "duration_ms", TREND_QUANTILES).select("endpoint", *_named(""))
 
 
 def expected_latency(requests: DataFrame) -> DataFrame:
@@ -57,13 +57,9 @@ def expected_latency(requests: DataFrame) -> DataFrame:
 
 def latency_trends(requests: DataFrame) -> DataFrame:
     """Both trends in one pass: structs `all` and `expected` per endpoint."""
-    series = F.when(_failed(), F.array(F.lit("all"))).otherwise(F.array(F.lit("all"), F.lit("expected")))
-    samples = requests.select("endpoint", "duration_ms", F.explode(series).alias("series"))
-    stats = _named(trend(samples, ["endpoint", "series"], "duration_ms", TREND_QUANTILES), "endpoint", "series")
-    parts = F.struct(*[c for c in stats.columns if c not in ("endpoint", "series")])
-    return stats.groupBy("endpoint").agg(
-        *[F.max(F.when(F.col("series") == name, parts)).alias(name) for name in ("all", "expected")]
-    )
+    series = {"all": F.lit(True), "expected": ~_failed()}
+    stats = trends(requests, ["endpoint"], "duration_ms", TREND_QUANTILES, series)
+    return stats.select("endpoint", *[F.struct(*_named(f"{name}.")).alias(name) for name in series])
 
 
 def run_totals(requests: DataFrame) -> DataFrame:

@@ -4,7 +4,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from tallypost.functions.quantiles import trend
+from tallypost.functions.quantiles import trend, trends
 from tallypost.operators import metrics as M
 from tallypost.sinks import report
 
@@ -49,6 +49,20 @@ def test_null_group_is_kept(spark):
     assert {r["g"]: r["med"] for r in trend(df, ["g"], "v", {"med": 0.5}).collect()} == {None: 2.0, "a": 5.0}
 
 
+def test_series_share_a_pass(spark):
+    values = [(g, float(v % 37) * 1.5, v % 3 == 0) for v in range(500) for g in ("a", "b")] + [("c", 1.0, False)]
+    df = spark.createDataFrame(values, "g string, v double, third boolean").repartition(5)
+    got = {r["g"]: r for r in trends(df, ["g"], "v", PROBS, {"all": F.lit(True), "third": F.col("third")}).collect()}
+    for g in "ab":
+        for name, keep in (("all", lambda t: True), ("third", lambda t: t)):
+            vs = [v for h, v, t in values if h == g and keep(t)]
+            assert got[g][name]["n"] == len(vs) and got[g][name]["max"] == max(vs)
+            for q, p in PROBS.items():
+                assert got[g][name][q] == pytest.approx(brute(vs, p), abs=1e-9)
+    assert got["c"]["all"]["med"] == 1.0
+    assert got["c"]["third"].asDict() == {"n": 0, "avg": None, "min": None, "max": None, **dict.fromkeys(PROBS)}
+
+
 def samples(spark):
     return spark.sql("""
         select id as request_id, '/naive' as endpoint, timestamp'2024-01-01 00:00:00' + make_dt_interval(0, 0, 0, id) as started_at,

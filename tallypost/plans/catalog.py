@@ -440,28 +440,26 @@ def first_delivery_stream(spark, sf_dir):
     )
 
 
-def _status_stream(spark: SparkSession, sf_dir: str, how: str) -> DataFrame:
+def _status_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return run_over(
         spark, "delivery-status",
         {
             "messages": (X.messages(spark, sf_dir), "created_at"),
             "deliveries": (X.deliveries(spark, sf_dir), "delivered_at"),
         },
-        lambda messages, deliveries: SD.delivery_status_stream(
-            messages, SD.first_delivery_stream(deliveries), how=how
-        ),
+        SD.delivery_status_stream,
     )
 
 
 @_query
 def delivery_match_stream(spark, sf_dir):
-    met = _status_stream(spark, sf_dir, "inner").where(F.col("status") == "confirmed")
+    met = _status_stream(spark, sf_dir).where(F.col("status") == "confirmed")
     return met.select("id", "content", F.col("written_at").alias("created_at"), "delivered_at")
 
 
 @_query
 def delivery_status_stream(spark, sf_dir):
-    return _status_stream(spark, sf_dir, "full_outer").drop("content")
+    return _status_stream(spark, sf_dir).drop("content")
 
 
 @_query

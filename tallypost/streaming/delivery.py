@@ -38,26 +38,43 @@ def first_delivery_stream(deliveries: DataFrame, delay: str = DELAY) -> DataFram
 
 
 def delivery_status_stream(
-    messages: DataFrame, first: DataFrame, delay: str = DELAY, seconds: int = WAIT_SECONDS,
-    how: str = "full_outer",
+    messages: DataFrame, deliveries: DataFrame, delay: str = DELAY, seconds: int = WAIT_SECONDS
 ) -> DataFrame:
-    """Settled form. `left_outer` leaves orphans out, `inner` pending writes too."""
-    m = messages.withWatermark("created_at", delay).select(
-        F.col("id").alias("m_id"), F.col("created_at").alias("m_created")
+    """Settled form of first delivery and full outer match in one.
+
+    Both sides carry id and time of writing, so one aggregate over their union meets
+    them: it keeps one row of state per message, where a stream join would buffer both
+    sides, and combines on the map side. Each side has its own watermark; the slower
+    one counts.
+    """
+    written = messages.withWatermark("created_at", delay).select(
+        "id", "created_at", F.lit(True).alias("written"),
+        F.lit(None).cast(_struct_type(deliveries)).alias("event"),
+    )
+    arrived = deliveries.withWatermark("created_at", delay).select(
+        "id", "created_at", F.lit(False).alias("written"), F.struct(*_EVENT).alias("event")
     )
-    d = first.select(
-        F.col("id").alias("d_id"), F.col("created_at").alias("d_created"), "content", "delivered_at"
+    met = written.union(arrived).groupBy("id", "created_at").agg(
+        F.max("written").alias("_written"), F.min("event").alias("_first")
     )
-    met = m.join(d, (F.col("m_id") == F.col("d_id")) & (F.col("m_created") == F.col("d_created")), how)
+    written_at = F.when(F.col("_written"), F.col("created_at"))
     return met.select(
-        F.coalesce("m_id", "d_id").alias("id"),
-        classify(F.col("m_created"), F.col("delivered_at"), seconds).alias("status"),
-        F.col("m_created").alias("written_at"),
-        "delivered_at",
-        "content",
+        "id",
+        classify(written_at, F.col("_first.delivered_at"), seconds).alias("status"),
+        written_at.alias("written_at"),
+        F.col("_first.delivered_at").alias("delivered_at"),
+        F.col("_first.content").alias("content"),
     )
 
 
+# The lowest offset wins; the rest of the struct is what the match reports.
+_EVENT = ("log_offset", "delivered_at", "content")
+
+
+def _struct_type(deliveries: DataFrame):
+    return deliveries.select(F.struct(*_EVENT).alias("event")).schema["event"].dataType
+
+
 def _first_in_batch(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         ids = batch.column("id").dictionary_encode(null_encoding="encode").indices.to_numpy()

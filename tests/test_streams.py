@@ -43,7 +43,7 @@ def test_either_side_may_come_first(spark, both, first, tmp_path):
         land.df.limit(0).write.parquet(land.path)
 
     def run():
-        out = SD.delivery_status_stream(lands["messages"].stream(), SD.first_delivery_stream(lands["deliveries"].stream()))
+        out = SD.delivery_status_stream(lands["messages"].stream(), lands["deliveries"].stream())
         run_available(append_sink(out, str(tmp_path / "out"), str(tmp_path / "cp")))
         return out
 
@@ -99,7 +99,7 @@ def test_state_is_dropped_behind_the_watermark(spark, both, tmp_path):
     for land in lands.values():
         land.land([], 0)
         land.land_end(datetime(2024, 3, 1))
-    out = SD.delivery_status_stream(lands["messages"].stream(), SD.first_delivery_stream(lands["deliveries"].stream()))
+    out = SD.delivery_status_stream(lands["messages"].stream(), lands["deliveries"].stream())
     query = append_sink(out, str(tmp_path / "out"), str(tmp_path / "cp")).trigger(availableNow=True).start()
     query.awaitTermination()
     kept = [op.numRowsTotal for op in query.lastProgress.stateOperators]

@@ -14,6 +14,10 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 _COMMITS = "commits"
 
 
+def _missing(error: AnalysisException) -> bool:
+    return error.getCondition() == "PATH_NOT_FOUND"
+
+
 class BatchStore:
     def __init__(self, spark: SparkSession, root: str):
         self.spark = spark
@@ -35,14 +39,25 @@ class BatchStore:
         """The marker of one batch, or None."""
         try:
             return self.spark.read.parquet(self._folder(_COMMITS, batch_id)).first()
-        except AnalysisException:
+        except AnalysisException as e:
+            if not _missing(e):
+                raise
             return None
 
+    def facts_before(self, batch_id: int):
+        """The marker of the batch before; None only for the first batch."""
+        marker = self.facts(batch_id - 1) if batch_id > 0 else None
+        if batch_id > 0 and marker is None:
+            raise RuntimeError(f"{self.root} holds no batch {batch_id - 1}: store and checkpoint do not belong together")
+        return marker
+
     def last_batch(self) -> int:
         """Number of the last committed batch, -1 when there is none."""
         try:
             markers = self.spark.read.schema("batch long").parquet(f"{self.root}/{_COMMITS}")
-        except AnalysisException:
+        except AnalysisException as e:
+            if not _missing(e):
+                raise
             return -1
         last = markers.agg(F.max("batch")).first()[0]
         return -1 if last is None else last
@@ -51,7 +66,9 @@ class BatchStore:
         """Rows of one batch; none when the folder does not exist."""
         try:
             return self.spark.read.schema(schema).parquet(self._folder(table, batch_id))
-        except AnalysisException:
+        except AnalysisException as e:
+            if not _missing(e):
+                raise
             return self.spark.createDataFrame([], schema)
 
     def table(self, table: str, schema: T.StructType) -> DataFrame:
@@ -59,6 +76,8 @@ class BatchStore:
         with_batch = T.StructType([*schema.fields, T.StructField("batch_id", T.LongType())])
         try:
             rows = self.spark.read.schema(with_batch).parquet(f"{self.root}/{table}")
-        except AnalysisException:
+        except AnalysisException as e:
+            if not _missing(e):
+                raise
             return self.spark.createDataFrame([], with_batch)
         return rows.where(F.col("batch_id") <= self.last_batch())

@@ -25,7 +25,7 @@ def write_batch(
     the stored messages go to a topic after the commit: a failure in between leaves
     messages without an event, which is the gap of a dual write.
     """
-    before = store.facts(batch_id - 1)
+    before = store.facts_before(batch_id)
     mark = before["max_id"] if before else 0
     written = assign_id(stamp(bodies, clock), mark)
     store.put(written, MESSAGES, batch_id)

@@ -2,7 +2,8 @@
 
 Every micro-batch is a poll: new rows join the open ones of the poll before, due rows
 are handed to a dispatcher, and the outcome is stored. The open rows are kept as a
-table of their own per poll, so a poll costs what is open, not what was ever sent.
+table of their own per poll, so a poll costs what is open, not what was ever sent. A
+poll with nothing to do leaves a marker only.
 """
 
 from __future__ import annotations
@@ -62,7 +63,11 @@ def poll(
     # Read several times below; kept, so that the source is not asked again each time.
     fresh = rows.where(F.col("id").isNotNull()).select(columns).persist()
     try:
-        pool = store.batch(OPEN_ROWS, batch_id - 1, OUTBOX).unionByName(fresh.where(F.col("status") == OPEN))
+        open_batch = _open_batch(store.facts_before(batch_id))
+        pool = store.batch(OPEN_ROWS, open_batch, OUTBOX).unionByName(fresh.where(F.col("status") == OPEN))
+        if outbox_batch(pool, now, None).isEmpty() and fresh.isEmpty():
+            store.commit(batch_id, open_batch=F.lit(open_batch))
+            return
 
         # Written out first: the dispatcher and the outcome must see the same rows.
         store.put(outbox_batch(pool, now, limit), DUE_ROWS, batch_id)
@@ -77,11 +82,16 @@ def poll(
         store.put(waiting.unionByName(after.where(F.col("status") == OPEN)), OPEN_ROWS, batch_id)
         came_closed = fresh.where(F.col("status") != OPEN)
         store.put(came_closed.unionByName(after.where(F.col("status") != OPEN)), CLOSED_ROWS, batch_id)
-        store.commit(batch_id)
+        store.commit(batch_id, open_batch=F.lit(batch_id))
     finally:
         fresh.unpersist()
 
 
+def _open_batch(marker) -> int:
+    """The batch that wrote the open rows of the marked one; idle polls write none."""
+    return marker["open_batch"] if marker else -1
+
+
 def _after(due: DataFrame, tried: DataFrame, max_attempts: int) -> DataFrame:
     """The due rows as their tries leave them."""
     failures = F.col("retry_count") + (~F.col("ok")).cast("int")
@@ -121,9 +131,8 @@ def with_ticks(rows: DataFrame, per_second: int = 10) -> DataFrame:
 
 def outbox_table(store: BatchStore) -> DataFrame:
     """Current state of every row: all closed ones and the open ones of the last poll."""
-    last = store.last_batch()
     closed = store.table(CLOSED_ROWS, OUTBOX).drop("batch_id")
-    return closed.unionByName(store.batch(OPEN_ROWS, last, OUTBOX))
+    return closed.unionByName(store.batch(OPEN_ROWS, _open_batch(store.facts(store.last_batch())), OUTBOX))
 
 
 def attempt_log(store: BatchStore) -> DataFrame:

@@ -110,3 +110,10 @@ def test_an_empty_batch_keeps_the_mark(spark, tmp_path):
     SI.write_batch(bodies.limit(0), 1, store, clock())
     SI.write_batch(bodies, 2, store, clock())
     assert sorted(r["id"] for r in SI.stored_messages(store).collect()) == [1, 2, 3, 4, 5, 6]
+
+
+def test_a_store_without_the_batch_before_is_refused(spark, tmp_path):
+    """Starting over from id 1 would hand out ids twice."""
+    bodies = spark.range(3).select(F.col("id").cast("string").alias("content"))
+    with pytest.raises(RuntimeError, match="do not belong together"):
+        SI.write_batch(bodies, 4, BatchStore(spark, str(tmp_path)), clock())

@@ -57,7 +57,8 @@ def test_polls_take_a_batch_each_oldest_first(spark, tmp_path):
     none = spark.createDataFrame([], OUTBOX)
     for n in (1, 2, 3):
         SO.poll(none, n, store, note, lambda: START)
-    assert [len(s) for s in seen] == [50, 50, 20, 0]
+    assert [len(s) for s in seen] == [50, 50, 20]
+    assert store.last_batch() == 3 and not (tmp_path / "open" / "batch_id=3").exists()
     assert sum(seen, []) == sorted(sum(seen, []))
     assert set(states(store).values()) == {(1, 0, None)} and len(states(store)) == 120
 

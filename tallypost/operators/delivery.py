@@ -24,11 +24,6 @@ def first_delivery(deliveries: DataFrame, key: str = "id", order: str = "log_off
     )
 
 
-def first_delivery_time(deliveries: DataFrame, key: str = "id", order: str = "log_offset") -> DataFrame:
-    """Only the time of the first delivery: fixed-width, so the aggregate hashes and never sorts."""
-    return deliveries.groupBy(key).agg(F.min_by("delivered_at", order).alias("delivered_at"))
-
-
 def within_wait(written: Column, delivered: Column, seconds: int = WAIT_SECONDS) -> Column:
     return delivered.between(written, written + F.expr(f"interval '{int(seconds)}' second"))
 
@@ -62,14 +57,20 @@ def classify(written: Column, delivered: Column, seconds: int = WAIT_SECONDS) ->
     )
 
 
-def delivery_status(messages: DataFrame, first: DataFrame, seconds: int = WAIT_SECONDS) -> DataFrame:
+def delivery_status(messages: DataFrame, deliveries: DataFrame, seconds: int = WAIT_SECONDS) -> DataFrame:
     """confirmed, late, pending or orphan for every id on either side.
 
-    `first` needs id and time only, see `first_delivery_time`.
+    A full outer match as one aggregate over both sides: a full outer join cannot split
+    an id that fills a partition, the aggregate combines it before the shuffle. The
+    buffers are fixed-width, so it hashes and sorts nothing.
     """
-    m = messages.select("id", F.col("created_at").alias("written_at"))
-    d = first.select("id", "delivered_at")
-    return m.join(d, "id", "full_outer").select(
+    written = messages.select("id", F.col("created_at").alias("written_at"))
+    arrived = deliveries.select("id", "delivered_at", "log_offset")
+    both = written.unionByName(arrived, allowMissingColumns=True)
+    return both.groupBy("id").agg(
+        F.min("written_at").alias("written_at"),
+        F.min_by("delivered_at", "log_offset").alias("delivered_at"),
+    ).select(
         "id",
         classify(F.col("written_at"), F.col("delivered_at"), seconds).alias("status"),
         "written_at",

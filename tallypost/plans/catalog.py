@@ -294,7 +294,7 @@ def orphan_deliveries(spark, sf_dir):
 
 @_query
 def delivery_status(spark, sf_dir):
-    return D.delivery_status(X.messages(spark, sf_dir), D.first_delivery_time(X.deliveries(spark, sf_dir)))
+    return D.delivery_status(X.messages(spark, sf_dir), X.deliveries(spark, sf_dir))
 
 
 @_query

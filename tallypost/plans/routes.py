@@ -21,7 +21,7 @@ def topic_deliveries(records: DataFrame) -> DataFrame:
 def dual_write(messages: DataFrame, records: DataFrame, seconds: int = WAIT_SECONDS) -> DataFrame:
     """Row first, topic record after: what never reached the topic stays pending."""
     arrived = topic_deliveries(records).select("id", "log_offset", "delivered_at")
-    return D.delivery_status(messages, D.first_delivery_time(arrived), seconds)
+    return D.delivery_status(messages, arrived, seconds)
 
 
 def table_only(messages: DataFrame) -> DataFrame:

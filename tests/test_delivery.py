@@ -1,5 +1,3 @@
-import random
-
 from pyspark.sql import functions as F
 
 from tallypost import fixtures as X
@@ -26,20 +24,22 @@ def test_first_delivery_of_a_hot_id(spark):
             want[r["id"]] = r
     got = {r["id"]: r for r in D.first_delivery(df).collect()}
     assert got == want
-    times = {r["id"]: r["delivered_at"] for r in D.first_delivery_time(df).collect()}
-    assert times == {k: r["delivered_at"] for k, r in want.items()}
+    status = D.delivery_status(df.where("id % 2 = 0"), df).collect()  # written more than once, too
+    assert {r["id"]: r["delivered_at"] for r in status} == {k: r["delivered_at"] for k, r in want.items()}
+    assert {r["id"] for r in status if r["status"] == "orphan"} == {k for k in want if k % 2}
 
 
 def test_hot_id_is_combined_before_the_shuffle(spark):
     plan = D.first_delivery(hot_deliveries(spark))._jdf.queryExecution().executedPlan().toString()
     assert plan.index("partial_min") > plan.index("Exchange hashpartitioning(id")
-    quick = D.first_delivery_time(hot_deliveries(spark))._jdf.queryExecution().executedPlan().toString()
-    assert "SortAggregate" not in quick and "partial_min_by" in quick
+    df = hot_deliveries(spark)
+    quick = D.delivery_status(df, df)._jdf.queryExecution().executedPlan().toString()
+    assert "SortAggregate" not in quick and "partial_min_by" in quick and quick.count("Exchange") == 1
 
 
 def test_status_adds_up(spark, small):
     m, d = X.messages(spark, small), X.deliveries(spark, small)
-    counts = {r[0]: r[1] for r in D.status_counts(D.delivery_status(m, D.first_delivery_time(d))).collect()}
+    counts = {r[0]: r[1] for r in D.status_counts(D.delivery_status(m, d)).collect()}
     assert counts["confirmed"] + counts["late"] + counts["pending"] == m.count()
     assert counts["orphan"] == D.orphan_deliveries(m, D.first_delivery(d)).count()
     assert counts["pending"] == D.undelivered(m, d).count()

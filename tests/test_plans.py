@@ -20,7 +20,7 @@ def test_no_cross_join_and_no_python(spark, small, name):
 
 
 def test_status_reads_two_columns_of_each_side(spark, small):
-    text = plan(D.delivery_status(X.messages(spark, small), D.first_delivery_time(X.deliveries(spark, small))))
+    text = plan(D.delivery_status(X.messages(spark, small), X.deliveries(spark, small)))
     scans = [line for line in text.splitlines() if "ReadSchema" in line]
     assert scans and all("struct<event_id:bigint,ts:timestamp_ntz>" in line for line in scans)
     assert "SortAggregate" not in text

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import shutil
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -14,6 +16,7 @@ _CHANGELOG = "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enab
 _DEFAULT_PARTITIONS = "200"
 
 _fallback_root: str | None = None
+_shipped_to: str | None = None
 
 
 def session(master: str | None = None, app: str = "tallypost", **conf) -> SparkSession:
@@ -33,6 +36,18 @@ def session(master: str | None = None, app: str = "tallypost", **conf) -> SparkS
     return builder.getOrCreate()
 
 
+def ship(spark: SparkSession) -> SparkSession:
+    """Give the Python workers this package, once per context: functions are sent by name."""
+    global _shipped_to
+    context = spark.sparkContext
+    if _shipped_to != context.applicationId:
+        package = Path(__file__).resolve().parent
+        folder = tempfile.mkdtemp(prefix="tallypost-package-")
+        context.addPyFile(shutil.make_archive(f"{folder}/{package.name}", "zip", package.parent, package.name))
+        _shipped_to = context.applicationId
+    return spark
+
+
 def prepare(spark: SparkSession) -> SparkSession:
     """Give a session made elsewhere what the operators need.
 
@@ -46,7 +61,7 @@ def prepare(spark: SparkSession) -> SparkSession:
     context = spark.sparkContext
     if context.master.startswith("local") and spark.conf.get("spark.sql.shuffle.partitions") == _DEFAULT_PARTITIONS:
         spark.conf.set("spark.sql.shuffle.partitions", str(context.defaultParallelism))
-    return spark
+    return ship(spark)
 
 
 def shared_root(spark: SparkSession) -> str:

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from ..session import workspace
+from .ans import read_token_file, write_token_file
+from .counting import count_tokens
+from .packing import pack
 from .substrings import substring_dedup
 
 
@@ -16,7 +20,26 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(docs).select("doc_id", "n_words", "n_removed", "kept_sha256", "spans")
 
 
+def op3_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = workspace(spark, "token-file")
+    write_token_file(_documents(spark, sf_dir), path)
+    return read_token_file(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return count_tokens(_documents(spark, sf_dir).select("doc_id", "text"))
+
+
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(_documents(spark, sf_dir)).select(
+        "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset"
+    )
+
+
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
+    "op3_token_file": op3_token_file,
+    "op6_token_counts": op6_token_counts,
+    "op8_packing": op8_packing,
 }
 SQL: dict[str, str] = {}

@@ -222,10 +222,17 @@ def _decoded(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
-def read_token_file(spark, path: str) -> DataFrame:
-    """doc_id, start (ids of all documents before), n_tokens, ids (little-endian uint32 bytes)."""
+def decode_token_file(spark, path: str) -> DataFrame:
+    """part, segment, doc_id, within (ids of the segment before), n_tokens, ids (little-endian uint32 bytes)."""
     prepared(spark)
-    file = spark.read.schema(FILE).parquet(path)
+    return spark.read.schema(FILE).parquet(path).mapInArrow(
+        _decoded, "part int, segment int, doc_id long, within long, n_tokens long, ids binary"
+    )
+
+
+def with_starts(decoded: DataFrame, path: str) -> DataFrame:
+    """Replace part, segment and within by start: the ids of all documents before in the file."""
+    file = decoded.sparkSession.read.schema(FILE).parquet(path)
     totals = file.select("part", "segment", F.aggregate("sizes", F.lit(0).cast("long"), lambda a, x: a + x).alias("n"))
     parts = totals.groupBy("part").agg(F.sum("n").alias("n"))
     before_part = parts.select(
@@ -235,9 +242,12 @@ def read_token_file(spark, path: str) -> DataFrame:
         "part", "segment",
         (F.col("before_part") + F.sum("n").over(Window.partitionBy("part").orderBy("segment")) - F.col("n")).alias("before"),
     )
-    rows = file.mapInArrow(
-        _decoded, "part int, segment int, doc_id long, within long, n_tokens long, ids binary"
-    )
-    return rows.join(before, ["part", "segment"]).select(
-        "doc_id", (F.col("before") + F.col("within")).alias("start"), "n_tokens", "ids"
+    rest = [c for c in decoded.columns if c not in ("part", "segment", "doc_id", "within")]
+    return decoded.join(before, ["part", "segment"]).select(
+        "doc_id", (F.col("before") + F.col("within")).alias("start"), *rest
     )
+
+
+def read_token_file(spark, path: str) -> DataFrame:
+    """doc_id, start (ids of all documents before), n_tokens, ids (little-endian uint32 bytes)."""
+    return with_starts(decode_token_file(spark, path), path)

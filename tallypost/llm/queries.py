@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..session import workspace
-from .ans import read_token_file, write_token_file
+from .ans import decode_token_file, with_starts, write_token_file
 from .counting import count_tokens
 from .packing import pack
 from .substrings import substring_dedup
@@ -23,7 +23,9 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = workspace(spark, "token-file")
     write_token_file(_documents(spark, sf_dir), path)
-    return read_token_file(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+    decoded = decode_token_file(spark, path)
+    # the checksum first: starts then need no shuffle of the ids
+    return with_starts(decoded.withColumn("ids_crc32", F.crc32("ids")).drop("ids"), path)
 
 
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,6 +10,7 @@ from __future__ import annotations
 import os
 import re
 from functools import lru_cache
+from typing import Callable
 
 import numpy as np
 
@@ -18,6 +19,8 @@ from .text import NOT_BLANK, U, Slice, span_hashes, words
 SLOT_BITS, MOST_ENTRIES, MOST_IDS = 20, 1 << 20, 1 << 23
 BYTE_BPE, WORD_BPE = "byte_bpe_50k.json", "word_bpe_49k.json"
 
+_LETTERS, _LETTERS_AFTER_SPACE = re.compile("[A-Za-z]+"), re.compile(" ?[A-Za-z]+")
+
 # White space that is no ASCII blank, before a blank: there a unit may not end.
 _JOINED = re.compile(
     rb"(?:[\x1c-\x1f]|\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80)[\x20\x09-\x0d]"
@@ -47,13 +50,13 @@ def word_units(s: Slice) -> Units:
 def blank_units(s: Slice) -> Units:
     """Words with the blanks before them, and blanks at the end: nothing is left out."""
     w = words(s, NOT_BLANK)
-    # unit ends: each word's end, and the end of each text that is not empty
-    filled = np.flatnonzero(np.diff(s.offsets) > 0)
-    end = np.union1d(w.end, s.offsets[filled + 1])
+    # a unit ends where a word or a text that is not empty does
+    ends = np.zeros(len(s.data) + 1, bool)
+    ends[w.end] = True
     for m in _JOINED.finditer(s.data):
-        # the joined space ends where this word ends: drop that boundary
-        end = end[end != m.end() - 1]
-    end = np.union1d(end, s.offsets[filled + 1])
+        ends[m.end() - 1] = False
+    ends[s.offsets[1:][np.diff(s.offsets) > 0]] = True
+    end = np.flatnonzero(ends)
     start = np.concatenate([[0], end[:-1]]) if len(end) else end
     return Units(start, end, np.searchsorted(end, s.offsets, "right"))
 
@@ -64,8 +67,28 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_file(path)
+        self._plain = self._plain_form()
         self._clear()
 
+    def _plain_form(self) -> Callable[[str], str | None]:
+        """How the model itself takes a unit of ASCII letters: then the steps before it can be left out.
+
+        Such a unit is one piece: with its blank as the byte-level sign, or in lower case.
+        A form is used only if it gives the ids of the whole tokenizer on some examples.
+        """
+        forms = [
+            lambda unit: unit.replace(" ", "\u0120") if _LETTERS_AFTER_SPACE.fullmatch(unit) else None,
+            lambda unit: unit.lower() if _LETTERS.fullmatch(unit) else None,
+        ]
+        for form in forms:
+            examples = [u for u in (" the", "The", " Don", "shouting", " QED", "xqzjw") if form(u)]
+            if all(self._model_ids(form(u)) == self._tokenizer.encode(u, add_special_tokens=False).ids for u in examples):
+                return form
+        return lambda unit: None
+
+    def _model_ids(self, piece: str) -> list[int]:
+        return [t.id for t in self._tokenizer.model.tokenize(piece)]
+
     def _clear(self) -> None:
         self._keys = np.zeros(1 << SLOT_BITS, np.uint64)
         self._slot = np.full(1 << SLOT_BITS, -1, np.int64)
@@ -76,7 +99,11 @@ class Encoder:
     def _learn(self, s: Slice, start: np.ndarray, end: np.ndarray) -> None:
         data = s.data.tobytes()
         texts = [data[a:b].decode() for a, b in zip(start.tolist(), end.tolist())]
-        got = [e.ids for e in self._tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        pieces = list(map(self._plain, texts))
+        others = [t for t, piece in zip(texts, pieces) if piece is None]
+        rest = iter(self._tokenizer.encode_batch_fast(others, add_special_tokens=False) if others else ())
+        tokenize = self._tokenizer.model.tokenize
+        got = [next(rest).ids if piece is None else [t.id for t in tokenize(piece)] for piece in pieces]
         sizes = np.fromiter(map(len, got), np.int64, len(got))
         flat = np.fromiter((i for ids in got for i in ids), np.uint32, int(sizes.sum()))
         self._ids = np.concatenate([self._ids, flat])

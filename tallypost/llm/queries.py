@@ -7,7 +7,10 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ..session import workspace
 from .ans import decode_token_file, with_starts, write_token_file
 from .counting import count_tokens
+from .mixing import mix_sources, word_count
 from .packing import pack
+from .rules import quality_rules
+from .setjoin import Rule, link_components
 from .substrings import substring_dedup
 
 
@@ -28,6 +31,11 @@ def op3_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_starts(decoded.withColumn("ids_crc32", F.crc32("ids")).drop("ids"), path)
 
 
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir).select("doc_id", "source", word_count(F.col("text")).alias("size"))
+    return mix_sources(docs).select("doc_id", "size", "source_size", "target", "taken")
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(_documents(spark, sf_dir).select("doc_id", "text"))
 
@@ -38,10 +46,26 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return link_components(_documents(spark, sf_dir), Rule(n=3, percent=90))
+
+
+def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir).select("doc_id", "lang", "text")
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return quality_rules(docs, labels).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept",
+        "failed_rules",
+    )
+
+
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
     "op3_token_file": op3_token_file,
+    "op5_mixing": op5_mixing,
     "op6_token_counts": op6_token_counts,
     "op8_packing": op8_packing,
+    "op9_jaccard_join": op9_jaccard_join,
+    "op10_quality_rules": op10_quality_rules,
 }
 SQL: dict[str, str] = {}

@@ -7,11 +7,13 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ..session import workspace
 from .ans import decode_token_file, with_starts, write_token_file
 from .counting import count_tokens
+from .licences import scan_licences
 from .mixing import mix_sources, word_count
 from .packing import pack
 from .rules import quality_rules
 from .setjoin import Rule, link_components
 from .substrings import substring_dedup
+from .toxicity import score_toxicity
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -23,6 +25,12 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(docs).select("doc_id", "n_words", "n_removed", "kept_sha256", "spans")
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir).select("doc_id", "text")
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return score_toxicity(docs, labels).select("doc_id", "held_out", "score", "predicted")
+
+
 def op3_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = workspace(spark, "token-file")
     write_token_file(_documents(spark, sf_dir), path)
@@ -40,6 +48,10 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(_documents(spark, sf_dir).select("doc_id", "text"))
 
 
+def op7_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licences(_documents(spark, sf_dir).select("doc_id", "text"))
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_documents(spark, sf_dir)).select(
         "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset"
@@ -61,9 +73,11 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
+    "op2_toxicity": op2_toxicity,
     "op3_token_file": op3_token_file,
     "op5_mixing": op5_mixing,
     "op6_token_counts": op6_token_counts,
+    "op7_licence_scan": op7_licence_scan,
     "op8_packing": op8_packing,
     "op9_jaccard_join": op9_jaccard_join,
     "op10_quality_rules": op10_quality_rules,

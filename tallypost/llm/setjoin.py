@@ -33,6 +33,7 @@ from .text import LOWER, U, Slice, gram_hashes, inside_text, mix, slices, span_h
 HOT = 32
 BLOCK = 512
 _COLUMNS = 4096
+_WIDE, _WIDE_LOOSE = 200, 150  # largest size of a coarse band, in percent of the smallest
 _ONE, _TWO, _PART, _DEL = U(0x51ED270B_0F2A7C55), U(0x2545F491_4F6CDD1D), U(0x632BE59B_D9B4E019), U(0x85EBCA6B_C2B2AE35)
 
 
@@ -55,6 +56,33 @@ class Rule:
     def most_differ(self, size: int) -> int:
         return size * (100 - self.percent) // self.percent
 
+    @lru_cache(maxsize=1 << 16)
+    def coarse_schemes(self, size: int) -> list[tuple[int, int, int, int]]:
+        """(band, segments, how many of them to index, how many more than needed) of wide bands.
+
+        Of a scheme a set indexes the first segments only: enough for differences with any
+        set not smaller. Of two sets the smaller one's are the ones both have. The scheme
+        below is for sets that a smaller one of that band can still be like.
+        """
+        def some(most: int) -> tuple[int, int]:
+            extra = max(1, -(-3 * (most + 1) // 10))
+            return most + 1 + extra, extra
+
+        low, number, widest = 1, 0, _WIDE if self.percent >= 90 else _WIDE_LOOSE
+        while True:
+            high = max(low, low * widest // 100)
+            if size <= high:
+                break
+            low, number = high + 1, number + 1
+        out = []
+        if self.most_differ(size) > 0:
+            out.append((number, some(self.most_differ(high))[0], *some(self.most_differ(size))))
+        below = low - 1
+        if number and size * self.percent <= below * 100 and self.most_differ(below) > 0:
+            m, extra = some(self.most_differ(below))
+            out.append((number - 1, m, m, extra))
+        return out
+
     @lru_cache(maxsize=1 << 16)
     def schemes(self, size: int) -> list[tuple[int, int, int]]:
         """(band, H of the band, H of a set of this size in it); none where H is 0."""
@@ -109,7 +137,7 @@ def _segments(tokens: np.ndarray, band: int, m: int) -> np.ndarray:
     return ((mix(tokens ^ salt) >> U(32)) * U(m) >> U(32)).astype(np.int64)
 
 
-def _contents(tokens: np.ndarray, segment: np.ndarray, band: int, m: int) -> tuple[np.ndarray, np.ndarray]:
+def _contents(tokens: np.ndarray, segment: np.ndarray, m: int) -> tuple[np.ndarray, np.ndarray]:
     """For each segment the sum that stands for its tokens, and their number."""
     sums = np.zeros(m, np.uint64)
     np.add.at(sums, segment, mix(tokens ^ _DEL))
@@ -122,12 +150,10 @@ def _named(sums: np.ndarray, segment: np.ndarray, band: int, m: int) -> np.ndarr
 
 def coarse_signatures(rule: Rule, tokens: np.ndarray) -> np.ndarray:
     out = []
-    for band, most, _ in rule.schemes(len(tokens)):
-        extra = max(1, -(-3 * (most + 1) // 10))
-        m = most + 1 + extra
-        sums, count = _contents(tokens, _segments(tokens, band, m), band, m)
-        named = _named(sums, np.arange(m), band, m)
-        # of m - H agreeing segments not all are empty, unless more than `extra` are
+    for band, m, indexed, extra in rule.coarse_schemes(len(tokens)):
+        sums, count = (x[:indexed] for x in _contents(tokens, _segments(tokens, band, m), m))
+        named = _named(sums, np.arange(indexed), band, m)
+        # of the agreeing segments not all are empty, unless more than `extra` are
         out.append(named if (count == 0).sum() > extra else named[count > 0])
     return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
@@ -137,7 +163,7 @@ def fine_signatures(rule: Rule, tokens: np.ndarray) -> list[tuple[int, int, int,
     out = []
     for band, most, own in rule.schemes(len(tokens)):
         m, need = 4 * (most + 1), own + 1
-        sums, count = _contents(tokens, _segments(tokens, band, m), band, m)
+        sums, count = _contents(tokens, _segments(tokens, band, m), m)
         taken = np.flatnonzero(count > 0)
         if len(taken) < need:
             taken = np.arange(m)
@@ -160,13 +186,20 @@ def _prints(n: int):
 
 def _coarse(rule: Rule):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()  # a set that comes again in this task has no need to
         for b in batches:
             for s in slices(b.column("text")):
                 tokens, first = shingle_sets(s, rule.n)
                 d1, _ = digests(tokens, first)
-                found = [coarse_signatures(rule, tokens[first[i] : first[i + 1]]) for i in range(s.n)]
-                sizes = [len(x) for x in found]
-                yield pa.record_batch([np.concatenate(found).view(np.int64), np.repeat(d1, sizes)], names=["sig", "d1"])
+                new = []
+                for i, x in enumerate(d1.tolist()):
+                    if x not in seen:
+                        seen.add(x)
+                        new.append(i)
+                found = [coarse_signatures(rule, tokens[first[i] : first[i + 1]]) for i in new]
+                if found:
+                    repeated = np.repeat(d1[new], [len(x) for x in found])
+                    yield pa.record_batch([np.concatenate(found).view(np.int64), repeated], names=["sig", "d1"])
 
     return run
 
@@ -191,7 +224,8 @@ def _sets(n: int):
 
 
 def _fine(rule: Rule):
-    names = ["id", "band", "size", "need", "taken", "segment", "sig"]
+    """`record` packs band, need and number of signatures, to keep the many rows small."""
+    names = ["id", "record", "sig"]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -199,9 +233,8 @@ def _fine(rule: Rule):
             for id_, tokens in zip(b.column("id").to_pylist(), b.column("tokens")):
                 tokens = tokens.values.to_numpy().view(np.uint64)
                 for band, _, need, taken, named, _ in fine_signatures(rule, tokens):
-                    k = len(taken)
-                    row = [np.full(k, x, np.int64) for x in (id_, band, len(tokens), need, k)]
-                    for c, x in zip(columns, [*row, taken.astype(np.int64), named.view(np.int64)]):
+                    record = band << 56 | need << 28 | len(taken)
+                    for c, x in zip(columns, [np.full(len(taken), id_), np.full(len(taken), record), named.view(np.int64)]):
                         c.append(x)
             if columns[0]:
                 yield pa.record_batch([np.concatenate(c) for c in columns], names=names)
@@ -211,7 +244,7 @@ def _fine(rule: Rule):
 
 def _neighbourhoods(rule: Rule):
     """Exact contents and one-deletion variants of the segments of the bands asked for."""
-    names = ["id", "band", "size", "need", "segment", "exact", "sig"]
+    names = ["id", "band", "need", "segment", "exact", "sig"]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -225,7 +258,7 @@ def _neighbourhoods(rule: Rule):
                     without = _named(sums[segment] - mix(tokens ^ _DEL), segment, band, m)
                     seg, sig = np.concatenate([taken, segment]), np.concatenate([named, without])
                     exact = np.arange(len(seg)) < len(taken)
-                    row = [np.full(len(seg), x, np.int64) for x in (id_, band, len(tokens), need)]
+                    row = [np.full(len(seg), x, np.int64) for x in (id_, band, need)]
                     for c, x in zip(columns, [*row, seg.astype(np.int64), exact, sig.view(np.int64)]):
                         c.append(x)
             if columns[0]:
@@ -240,7 +273,7 @@ def _verified(percent: int):
             left, right = b.column("left"), b.column("right")
             links = np.zeros(b.num_rows, bool)
             for i in range(b.num_rows):
-                x, y = left[i].values.to_numpy(), right[i].values.to_numpy()
+                x, y = (c[i].values.to_numpy().view(np.uint64) for c in (left, right))  # sorted as such
                 at = np.searchsorted(y, x)
                 both = int((y[np.minimum(at, len(y) - 1)] == x).sum())
                 links[i] = 100 * both >= percent * (len(x) + len(y) - both)
@@ -304,30 +337,33 @@ def _block_links(percent: int):
 
 
 def _members(sets: DataFrame, rule: Rule, hot: int) -> DataFrame:
-    """(sig, id, size, chosen): who shares which signature, and who relies on it."""
-    fine = sets.mapInArrow(
-        _fine(rule), "id long, band long, size long, need long, taken long, segment long, sig long"
-    )
+    """(sig, id, chosen, low): who shares which signature, who relies on it, and the smallest of them."""
+    # one shuffle serves the counts and the join with them
+    fine = sets.mapInArrow(_fine(rule), "id long, record long, sig long").repartition("sig")
     shared = fine.groupBy("sig").agg(F.count("*").alias("f")).where("f > 1")
     # at most as many rows of a set as it has segments
     chosen = (
-        fine.join(shared, "sig").groupBy("id", "band", "size", "need", "taken")
+        fine.join(shared, "sig").groupBy("id", "record")
         .agg(F.sort_array(F.collect_list(F.struct("f", "sig"))).alias("all"))
+        .select(
+            "id", F.expr("record >> 56").alias("band"), F.expr("(record >> 28) & 268435455").alias("need"),
+            F.expr("record & 268435455").alias("taken"), "all",
+        )
         .withColumn("lacks", F.expr("need - (taken - size(all))"))
         .where("lacks > 0")
         .withColumn("last", F.expr("all[least(lacks, size(all)) - 1].f"))
     )
     chosen = written(chosen, "allocation")
-    rows = chosen.select("id", "band", "size", "lacks", "last", F.posexplode("all").alias("k", "x"))
+    rows = chosen.select("id", "band", "lacks", "last", F.posexplode("all").alias("k", "x"))
     exact = rows.select(
-        F.col("x.sig").alias("sig"), "id", "size",
+        F.col("x.sig").alias("sig"), "id",
         ((F.col("k") < F.col("lacks")) & (F.col("last") <= hot)).alias("chosen"),
     )
     # those that rely on a much shared segment choose again, among each other
     again = chosen.where(F.col("last") > hot).groupBy("id").agg(F.collect_set("band").alias("bands"))
     near = written(
         sets.join(again, "id").select("id", "bands", "tokens").mapInArrow(
-            _neighbourhoods(rule), "id long, band long, size long, need long, segment long, exact boolean, sig long"
+            _neighbourhoods(rule), "id long, band long, need long, segment long, exact boolean, sig long"
         ), "neighbourhoods",
     )
     counts = near.groupBy("sig").agg(
@@ -354,7 +390,7 @@ def _members(sets: DataFrame, rule: Rule, hot: int) -> DataFrame:
         .agg(F.max("x.level").alias("level"), F.max("x.cost").alias("cost"))
     )
     again_rows = near.join(levels, ["id", "band", "segment"], "left").select(
-        "sig", "id", "size",
+        "sig", "id",
         F.coalesce((F.col("cost") > 0) & (F.col("exact") | (F.col("level") == 2)), F.lit(False)).alias("chosen"),
     )
     everyone = exact.unionByName(again_rows)
@@ -378,7 +414,7 @@ def link_components(docs: DataFrame, rule: Rule, hot: int = HOT, block: int = BL
     classes = written(filled.groupBy("d1", "d2").agg(F.min("doc_id").alias("id")), "classes")
 
     known = docs.where("doc_id is not null")
-    coarse = known.mapInArrow(_coarse(rule), "sig long, d1 long")
+    coarse = known.mapInArrow(_coarse(rule), "sig long, d1 long").repartition("sig")
     shared = coarse.groupBy("sig").agg(F.min("d1").alias("x"), F.max("d1").alias("y")).where("x <> y").select("sig")
     candidates = coarse.join(shared, "sig").select("d1").distinct().join(classes, "d1")
     sets = written(

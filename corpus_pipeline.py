@@ -1,23 +1,73 @@
-"""A corpus from documents to packed sequences, stage by stage."""
+"""A corpus from documents to packed sequences: five stages, each over all its predecessor kept.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame, with the columns of `docs`
+except for the last, which returns pieces of token sequences.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from tallypost.llm.mixing import mix_sources, mixed_rows, word_count
+from tallypost.llm.packing import pack
+from tallypost.llm.setjoin import Rule, link_components
+from tallypost.llm.staging import written
 from tallypost.llm.substrings import substring_dedup
+from tallypost.llm.toxicity import score_toxicity
+
+NEAR = Rule(n=5, percent=80)
+
+
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents predicted to be toxic go."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    scored = score_toxicity(docs, labels)
+    return scored.where("predicted = 0").select(docs.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of alike documents the one with the smallest id stays; rows without id stay."""
+    links = link_components(docs.select("doc_id", "text"), NEAR)
+    gone = written(links.where("doc_id <> component_id").select("doc_id").distinct(), "near-duplicates")
+    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
 
 
 def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Take out passages that an earlier document holds."""
-    return substring_dedup(docs).select(docs.columns)
+    """Passages that an earlier document holds go from the text; the number of characters follows."""
+    kept = substring_dedup(docs).select(docs.columns)
+    if "n_chars" not in docs.columns:
+        return kept
+    kind = docs.schema["n_chars"].dataType
+    return kept.withColumn("n_chars", F.char_length("text").cast(kind)).select(docs.columns)
+
+
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each source gives its target: documents come once per epoch, one is cut at the budget."""
+    sized = docs.withColumn("_size", word_count(F.col("text")))
+    mixed = mixed_rows(mix_sources(sized, size_col="_size"), size_col="_size")
+    if "n_chars" in docs.columns:
+        mixed = mixed.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
+    return mixed.select(docs.columns)
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of token ids with their places in sequences of at most 1024 ids."""
+    return pack(docs.select("doc_id", "text"))
 
 
-STAGES = [("substrings", substrings)]
+STAGES = [
+    ("toxicity", toxicity),
+    ("near_duplicates", near_duplicates),
+    ("substrings", substrings),
+    ("mixing", mixing),
+    ("packing", packing),
+]
+# A trained classifier and a vocabulary take part: tests/llm compares with a brute-force version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for name, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ..session import workspace
 from .ans import decode_token_file, with_starts, write_token_file
 from .counting import count_tokens
+from .covertree import near_duplicates
 from .licences import scan_licences
 from .mixing import mix_sources, word_count
 from .packing import pack
@@ -39,6 +40,10 @@ def op3_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_starts(decoded.withColumn("ids_crc32", F.crc32("ids")).drop("ids"), path)
 
 
+def op4_embedding_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _documents(spark, sf_dir).select("doc_id", "source", word_count(F.col("text")).alias("size"))
     return mix_sources(docs).select("doc_id", "size", "source_size", "target", "taken")
@@ -75,6 +80,7 @@ QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_toxicity": op2_toxicity,
     "op3_token_file": op3_token_file,
+    "op4_embedding_pairs": op4_embedding_pairs,
     "op5_mixing": op5_mixing,
     "op6_token_counts": op6_token_counts,
     "op7_licence_scan": op7_licence_scan,

@@ -338,12 +338,12 @@ def _block_links(percent: int):
 
 def _members(sets: DataFrame, rule: Rule, hot: int) -> DataFrame:
     """(sig, id, chosen, low): who shares which signature, who relies on it, and the smallest of them."""
-    # one shuffle serves the counts and the join with them
+    # one shuffle serves the counts and the join with them: no name in common, or the plan is made twice
     fine = sets.mapInArrow(_fine(rule), "id long, record long, sig long").repartition("sig")
-    shared = fine.groupBy("sig").agg(F.count("*").alias("f")).where("f > 1")
+    shared = fine.groupBy("sig").agg(F.count("*").alias("f")).where("f > 1").select(F.col("sig").alias("s"), "f")
     # at most as many rows of a set as it has segments
     chosen = (
-        fine.join(shared, "sig").groupBy("id", "record")
+        fine.join(shared, fine.sig == shared.s).groupBy("id", "record")
         .agg(F.sort_array(F.collect_list(F.struct("f", "sig"))).alias("all"))
         .select(
             "id", F.expr("record >> 56").alias("band"), F.expr("(record >> 28) & 268435455").alias("need"),
@@ -415,8 +415,8 @@ def link_components(docs: DataFrame, rule: Rule, hot: int = HOT, block: int = BL
 
     known = docs.where("doc_id is not null")
     coarse = known.mapInArrow(_coarse(rule), "sig long, d1 long").repartition("sig")
-    shared = coarse.groupBy("sig").agg(F.min("d1").alias("x"), F.max("d1").alias("y")).where("x <> y").select("sig")
-    candidates = coarse.join(shared, "sig").select("d1").distinct().join(classes, "d1")
+    shared = coarse.groupBy("sig").agg(F.min("d1").alias("x"), F.max("d1").alias("y")).where("x <> y").select(F.col("sig").alias("s"))
+    candidates = coarse.join(shared, coarse.sig == shared.s).select("d1").distinct().join(classes, "d1")
     sets = written(
         known.join(candidates, known.doc_id == candidates.id).select("id", "d1", "d2", "text")
         .mapInArrow(_sets(rule.n), "id long, size long, tokens array<long>"), "sets",

@@ -52,15 +52,15 @@ def _best_pattern(prices: np.ndarray) -> tuple[float, Pattern]:
     return float(best[room]), pattern
 
 
-def _first_patterns(demand: dict[int, int], capacity: int) -> tuple[list[Pattern], list[float]]:
-    """Patterns that fill greedily from the longest length left, and how often.
+def _first_patterns(demand: dict[int, int], capacity: int) -> tuple[list[Pattern], list[float], list[int]]:
+    """Patterns that fill greedily from the longest length left, how often, and what each exhausts.
 
     A length is in no pattern after the one that exhausts it, so as columns the patterns are
     triangular: a basis to start from.
     """
     left = {length: float(n) for length, n in sorted(demand.items())}
     open_lengths = sorted(left)
-    patterns, times = [], []
+    patterns, times, exhausts = [], [], []
     while open_lengths:
         pattern: Pattern = {}
         room, i = capacity, len(open_lengths)
@@ -74,9 +74,9 @@ def _first_patterns(demand: dict[int, int], capacity: int) -> tuple[list[Pattern
         n = left[gone] / pattern[gone]
         for length, copies in pattern.items():
             left[length] = max(0.0, left[length] - n * copies)
-        patterns.append(pattern), times.append(n)
+        patterns.append(pattern), times.append(n), exhausts.append(gone)
         open_lengths.remove(gone)
-    return patterns, times
+    return patterns, times, exhausts
 
 
 def fractional_patterns(
@@ -89,12 +89,18 @@ def fractional_patterns(
     lengths = sorted(demand)
     m = len(lengths)
     row = {length: i for i, length in enumerate(lengths)}
-    basis, times = _first_patterns(demand, capacity)
-    matrix = np.zeros((m, m))
+    basis, times, exhausts = _first_patterns(demand, capacity)
+    # triangular, so inverted by substitution over its few entries
+    inverse = np.zeros((m, m))
+    holds: dict[int, list[tuple[int, int]]] = {length: [] for length in lengths}
     for column, pattern in enumerate(basis):
         for length, copies in pattern.items():
-            matrix[row[length], column] = copies
-    inverse = np.linalg.inv(matrix)
+            holds[length].append((column, copies))
+    for column, length in enumerate(exhausts):
+        inverse[column, row[length]] = 1.0
+        for earlier, copies in holds[length][:-1]:
+            inverse[column] -= copies * inverse[earlier]
+        inverse[column] /= holds[length][-1][1]
     used = np.array(times)
     bound = sum(length * n for length, n in demand.items()) / capacity
     at = np.array(lengths, np.int64)

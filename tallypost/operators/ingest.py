@@ -9,7 +9,6 @@ from ..session import stage
 # monotonically_increasing_id puts the task number above this bit.
 _TASK_BITS = 33
 # Offsets are one row per task; beyond this many tasks the join is left to the planner.
-_BROADCAST_TASKS = 200_000
 
 
 def stamp(bodies: DataFrame, clock: Column | None = None) -> DataFrame:
@@ -18,6 +17,12 @@ def stamp(bodies: DataFrame, clock: Column | None = None) -> DataFrame:
     return bodies.select("content", now.cast("timestamp").alias("created_at"))
 
 
+def _as_int(number: Column) -> Column:
+    """The number as int; one beyond fails in either ANSI mode instead of wrapping round."""
+    beyond = F.raise_error(F.concat(F.lit("CAST_OVERFLOW: id beyond the int range: "), number.cast("string"))).cast("int")
+    return F.when(number <= (1 << 31) - 1, number.cast("int")).otherwise(beyond)
+
+
 def assign_id(messages: DataFrame, high_water_mark: int = 0) -> DataFrame:
     """Give every row a unique int id above the mark, without gaps.
 
@@ -34,13 +39,10 @@ def assign_id(messages: DataFrame, high_water_mark: int = 0) -> DataFrame:
         .agg(F.count(F.lit(1)).alias("_rows"))
         .select("_task", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_offset"))
     )
-    # The staged table has at least one file per task that had rows.
-    if len(slots.inputFiles()) <= _BROADCAST_TASKS:
-        offsets = F.broadcast(offsets)
     in_task = F.col("_slot").bitwiseAND((1 << _TASK_BITS) - 1)
     number = in_task + F.col("_offset") + F.lit(high_water_mark + 1).cast("long")
     return (
         slots.withColumn("_task", task)
         .join(offsets, "_task")
-        .select(number.cast("int").alias("id"), *messages.columns)
+        .select(_as_int(number).alias("id"), *messages.columns)
     )

@@ -67,12 +67,16 @@ def prepare(spark: SparkSession) -> SparkSession:
 def shared_root(spark: SparkSession) -> str:
     """The folder all executors can reach, named by the cluster in spark.checkpoint.dir.
 
-    Only where the setting is absent (tests) a temporary folder stands in for it.
+    Where the setting is absent, a temporary folder stands in for it on a single machine;
+    on a cluster executors would write to disks of their own, so that is an error.
     """
     global _fallback_root
     root = spark.conf.get("spark.checkpoint.dir", None)
     if root:
         return root.rstrip("/")
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     if _fallback_root is None:
         _fallback_root = tempfile.mkdtemp(prefix="tallypost-")
     return _fallback_root

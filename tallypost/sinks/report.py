@@ -39,7 +39,8 @@ def summary(requests: DataFrame) -> DataFrame:
     """`endpoint`, `state` and `metrics` per run."""
     totals = M.run_totals(requests)
     rates = M.check_rate(totals, "*")
-    joined = rates.join(M.latency_trends(requests), "endpoint", "left")
+    trends = M.latency_trends(requests).withColumnRenamed("endpoint", "_endpoint")
+    joined = rates.join(trends, F.col("endpoint").eqNullSafe(F.col("_endpoint")), "left")
     verdict = F.struct(
         F.struct((F.col("failed_rate") < FAILED_RATE_LIMIT).alias("ok")).alias(f"rate<{FAILED_RATE_LIMIT}")
     ).alias("thresholds")

@@ -24,7 +24,10 @@ from ..sinks.topics import write_topic
 
 OPEN_ROWS, DUE_ROWS, CLOSED_ROWS, ATTEMPTS = "open", "due", "closed", "attempts"
 
-# Takes due outbox rows and returns (id, ok, error) for each; raising fails them all.
+NO_OUTCOME = "the dispatcher gave no outcome"
+
+# Takes due outbox rows and returns (id, ok, error); a row without an outcome counts as
+# a failed try, and raising fails them all.
 Dispatcher = Callable[[DataFrame], DataFrame]
 
 
@@ -48,7 +51,12 @@ def _outcomes(due: DataFrame, dispatcher: Dispatcher) -> DataFrame:
     try:
         return dispatcher(due)
     except Exception as failure:  # whatever the producer raises is a failed try
-        return due.select("id", F.lit(False).alias("ok"), F.lit(str(failure)[:1000]).alias("error"))
+        return due.select("id", F.lit(False).alias("ok"), F.lit(str(failure)).alias("error"))
+
+
+def _one_per_id(outcomes: DataFrame) -> DataFrame:
+    """Several outcomes of a row are one: a failure if any failed, else a success."""
+    return outcomes.groupBy("id").agg(F.min("ok").alias("ok"), F.max(F.when(~F.col("ok"), F.col("error"))).alias("error"))
 
 
 def poll(
@@ -72,8 +80,10 @@ def poll(
         # Written out first: the dispatcher and the outcome must see the same rows.
         store.put(outbox_batch(pool, now, limit), DUE_ROWS, batch_id)
         due = store.batch(DUE_ROWS, batch_id, OUTBOX)
-        tried = due.join(_outcomes(due, dispatcher), "id").select(
-            "id", (F.col("retry_count") + 1).alias("attempt_no"), now.alias("attempted_at"), "ok", "error"
+        tried = due.join(_one_per_id(_outcomes(due, dispatcher)), "id", "left").select(
+            "id", (F.col("retry_count") + 1).alias("attempt_no"), now.alias("attempted_at"),
+            F.coalesce("ok", F.lit(False)).alias("ok"),
+            F.when(F.col("ok").isNull(), F.lit(NO_OUTCOME)).otherwise(F.col("error")).alias("error"),
         )
         store.put(tried, ATTEMPTS, batch_id)
         after = _after(due, store.batch(ATTEMPTS, batch_id, ATTEMPT), max_attempts)

@@ -117,3 +117,15 @@ def test_a_store_without_the_batch_before_is_refused(spark, tmp_path):
     bodies = spark.range(3).select(F.col("id").cast("string").alias("content"))
     with pytest.raises(RuntimeError, match="do not belong together"):
         SI.write_batch(bodies, 4, BatchStore(spark, str(tmp_path)), clock())
+
+
+def test_ids_beyond_the_int_range_fail_without_ansi_too(spark):
+    import pytest
+
+    rows = spark.createDataFrame([("a",), ("b",), ("c",)], "content string")
+    spark.conf.set("spark.sql.ansi.enabled", "false")
+    try:
+        with pytest.raises(Exception, match="beyond the int range"):
+            assign_id(rows, (1 << 31) - 3).collect()
+    finally:
+        spark.conf.unset("spark.sql.ansi.enabled")

@@ -88,6 +88,19 @@ def test_retries_back_off_then_end_as_dead_letter(spark, tmp_path):
     assert {(r["status"], r["retry_count"], r["dead_letter_error"]) for r in by_log.collect()} == {(2, 3, "broker away")}
 
 
+def test_rows_without_an_outcome_stay(spark, tmp_path):
+    store = BatchStore(spark, str(tmp_path))
+
+    def some(due):
+        told = due.where("retry_count = 0").orderBy("id").limit(6).select("id", F.lit(True).alias("ok"), F.lit(None).cast("string").alias("error"))
+        return told.unionByName(told)
+
+    SO.poll(rows(spark, 10), 0, store, some, lambda: START)
+    after = states(store)
+    assert len(after) == 10 and sorted(s[:2] for s in after.values()) == [(0, 1)] * 4 + [(1, 0)] * 6
+    assert SO.attempt_log(store).where("not ok").select("error").distinct().first()[0] == SO.NO_OUTCOME
+
+
 def test_a_repeated_poll_changes_nothing(spark, tmp_path):
     store = BatchStore(spark, str(tmp_path))
     SO.poll(rows(spark, 60), 0, store, accept, lambda: START)

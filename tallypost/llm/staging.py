@@ -18,7 +18,7 @@ def prepared(spark: SparkSession) -> SparkSession:
 def written(df: DataFrame, label: str) -> DataFrame:
     """Write `df` and read it back: cuts lineage, fixes its rows, survives lost executors."""
     path = workspace(df.sparkSession, label)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._staged_at = path
     return out

@@ -129,7 +129,7 @@ def decode_segment(row: dict) -> np.ndarray:
     wide, below = share.astype(np.uint64), (np.cumsum(share) - share).astype(np.uint64)
     blocks = len(row["block_ids"])
     words = np.split(np.frombuffer(row["words"], "<u4"), np.cumsum(row["word_counts"])[:-1]) if blocks else []
-    states = np.frombuffer(row["states"], "<u8").reshape(blocks, -1)
+    states = np.frombuffer(row["states"], "<u8").reshape(blocks, -1) if blocks else ()
     out = []
     for i, n in enumerate(row["block_ids"]):
         ids = symbols[decode_block(n, states[i], words[i], symbol_at, wide, below)]

@@ -94,28 +94,30 @@ def _trigrams(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def decode(token: str, model: Model) -> str:
     """The most likely plain word behind a token, by Viterbi over pairs of letters."""
     signs = [c for c in token if c not in " ._*-"]
-    best: dict[tuple[int, int, int], tuple[float, str]] = {(0, 0, 0): (0.0, "")}
-    # a node is (letter before last, last letter, how often the last sign came in a row)
-    for i, sign in enumerate(signs):
+    # by (letter before last, last letter): the best score, and the letters as a linked list
+    best: dict[tuple[int, int], tuple[float, tuple | None]] = {(0, 0): (0.0, None)}
+    for sign in signs:
         readings = [sign] if sign in _LETTERS else list(STANDS_FOR.get(sign, ""))
         price = 0.0 if sign in _LETTERS else _SWAP - math.log(max(1, len(readings)))
-        following: dict[tuple[int, int, int], tuple[float, str]] = {}
-
-        def offer(node, score, text):
-            if node not in following or score > following[node][0]:
-                following[node] = (score, text)
-
-        for (a, b, run), (score, text) in best.items():
+        following: dict[tuple[int, int], tuple[float, tuple | None]] = {}
+        for (a, b), (score, letters) in best.items():
             for letter in readings:
                 c = _LETTERS.index(letter) + 1
-                offer((b, c, 1), score + price + model.of(a, b, c), text + letter)
+                offers = [((b, c), score + price + model.of(a, b, c), (letters, letter))]
                 if c == b:  # one more of the same: the letter is drawn out
-                    offer((a, b, run + 1), score + price + _REPEAT, text)
+                    offers.append(((a, b), score + price + _REPEAT, letters))
+                for node, offered, path in offers:
+                    if node not in following or offered > following[node][0]:
+                        following[node] = (offered, path)
         if not following:
             return token
         best = following
-    score, text = max((s + model.of(a, b, _GAP), t) for (a, b, _), (s, t) in best.items())
-    return text
+    _, path = max(((s + model.of(a, b, _GAP), p) for (a, b), (s, p) in best.items()), key=lambda x: x[0])
+    out: list[str] = []
+    while path:
+        path, letter = path
+        out.append(letter)
+    return "".join(reversed(out))
 
 
 class Restorer:

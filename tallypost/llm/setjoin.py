@@ -6,7 +6,7 @@ universe into m > H segments, so a pair that links agrees in at least m - H of t
 indexed under the scheme of its own band and under that of the band below.
 
 1. Coarse schemes (m a little over H) find the sets that agree with another one anywhere.
-2. Among those, fine schemes (m several times H) are indexed. Any choice of segments worth
+2. Among those, fine schemes (m about twice H) are indexed. Any choice of segments worth
    H + 1 finds all partners, where a segment taken exactly is worth 1 and one taken with its
    one-deletion neighbourhood is worth 2. Each set takes its cheapest segments, by how many
    sets share them; one that gets there with segments nobody shares has no partner. Sets that
@@ -162,7 +162,7 @@ def fine_signatures(rule: Rule, tokens: np.ndarray) -> list[tuple[int, int, int,
     """(band, m, need, segment numbers, names, sums) per scheme."""
     out = []
     for band, most, own in rule.schemes(len(tokens)):
-        m, need = 4 * (most + 1), own + 1
+        m, need = 2 * (most + 1), own + 1
         sums, count = _contents(tokens, _segments(tokens, band, m), m)
         taken = np.flatnonzero(count > 0)
         if len(taken) < need:
@@ -339,7 +339,10 @@ def _block_links(percent: int):
 def _members(sets: DataFrame, rule: Rule, hot: int) -> DataFrame:
     """(sig, id, chosen, low): who shares which signature, who relies on it, and the smallest of them."""
     # one shuffle serves the counts and the join with them: no name in common, or the plan is made twice
-    fine = sets.mapInArrow(_fine(rule), "id long, record long, sig long").repartition("sig")
+    fine = (
+        sets.mapInArrow(_fine(rule), "id long, record long, sig long")
+        .where("id is not null and record is not null and sig is not null").repartition("sig")
+    )
     shared = fine.groupBy("sig").agg(F.count("*").alias("f")).where("f > 1").select(F.col("sig").alias("s"), "f")
     # at most as many rows of a set as it has segments
     chosen = (
@@ -414,7 +417,8 @@ def link_components(docs: DataFrame, rule: Rule, hot: int = HOT, block: int = BL
     classes = written(filled.groupBy("d1", "d2").agg(F.min("doc_id").alias("id")), "classes")
 
     known = docs.where("doc_id is not null")
-    coarse = known.mapInArrow(_coarse(rule), "sig long, d1 long").repartition("sig")
+    # never null; said before the shuffle, or the joins say it on one side only and shuffle twice
+    coarse = known.mapInArrow(_coarse(rule), "sig long, d1 long").where("sig is not null and d1 is not null").repartition("sig")
     shared = coarse.groupBy("sig").agg(F.min("d1").alias("x"), F.max("d1").alias("y")).where("x <> y").select(F.col("sig").alias("s"))
     candidates = coarse.join(shared, coarse.sig == shared.s).select("d1").distinct().join(classes, "d1")
     sets = written(
@@ -468,6 +472,7 @@ def _across(open_rows: DataFrame, sets: DataFrame, rule: Rule, block: int) -> Da
     dealt = placed.select(
         "grp", "id", "comp", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
     ).select("grp", "id", "comp", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+    dealt = written(dealt, "dealt")  # of known size: the join need not move all sets for a few rows
     return (
         dealt.join(sets.select("id", "tokens"), "id").select("grp", "i", "j", "own", "id", "comp", "tokens")
         .groupBy("grp", "i", "j").applyInArrow(_block_links(rule.percent), "a long, b long")

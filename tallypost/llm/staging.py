@@ -8,6 +8,7 @@ from ..session import ship, workspace
 
 # Rows handed to Python at a time: bounds the memory of a worker when texts are long.
 ARROW_ROWS = 1024
+_DROP_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def prepared(spark: SparkSession) -> SparkSession:
@@ -16,10 +17,19 @@ def prepared(spark: SparkSession) -> SparkSession:
 
 
 def written(df: DataFrame, label: str) -> DataFrame:
-    """Write `df` and read it back: cuts lineage, fixes its rows, survives lost executors."""
-    path = workspace(df.sparkSession, label)
-    df.write.option("compression", "zstd").parquet(path)
-    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    """Write `df` and read it back: cuts lineage, fixes its rows, survives lost executors.
+
+    Once the table is complete the shuffle files of the write serve nobody, and go.
+    """
+    spark = df.sparkSession
+    path = workspace(spark, label)
+    before = spark.conf.get(_DROP_SHUFFLES, "false")
+    spark.conf.set(_DROP_SHUFFLES, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(_DROP_SHUFFLES, before)
+    out = spark.read.schema(df.schema).parquet(path)
     out._staged_at = path
     return out
 

@@ -58,16 +58,23 @@ class Rule:
 
     @lru_cache(maxsize=1 << 16)
     def coarse_schemes(self, size: int) -> list[tuple[int, int, int, int]]:
-        """(band, segments, how many of them to index, how many more than needed) of wide bands.
+        """(band, segments, how many of them to index, most empty ones to leave out) of wide bands.
 
         Of a scheme a set indexes the first segments only: enough for differences with any
-        set not smaller. Of two sets the smaller one's are the ones both have. The scheme
-        below is for sets that a smaller one of that band can still be like.
+        set not smaller, and some more. Of two sets the smaller one's are the ones both have,
+        and one more than its surplus agree. If all of these are empty, both sets must name
+        them: a set leaves out as many empty ones as the smallest set it can link with has
+        for surplus. The scheme below is for sets that a smaller one of that band can still be like.
         """
         def some(most: int) -> tuple[int, int]:
             extra = max(1, -(-3 * (most + 1) // 10))
             return most + 1 + extra, extra
 
+        def left_out(smallest: int) -> int:
+            # sets that differ from no other have no scheme
+            smallest = max(smallest, -(-size * self.percent // 100), -(-self.percent // (100 - self.percent)))
+            return some(self.most_differ(smallest))[1]
+
         low, number, widest = 1, 0, _WIDE if self.percent >= 90 else _WIDE_LOOSE
         while True:
             high = max(low, low * widest // 100)
@@ -76,11 +83,11 @@ class Rule:
             low, number = high + 1, number + 1
         out = []
         if self.most_differ(size) > 0:
-            out.append((number, some(self.most_differ(high))[0], *some(self.most_differ(size))))
+            out.append((number, some(self.most_differ(high))[0], some(self.most_differ(size))[0], left_out(low)))
         below = low - 1
         if number and size * self.percent <= below * 100 and self.most_differ(below) > 0:
-            m, extra = some(self.most_differ(below))
-            out.append((number - 1, m, m, extra))
+            m, _ = some(self.most_differ(below))
+            out.append((number - 1, m, m, left_out(1)))
         return out
 
     @lru_cache(maxsize=1 << 16)
@@ -150,11 +157,11 @@ def _named(sums: np.ndarray, segment: np.ndarray, band: int, m: int) -> np.ndarr
 
 def coarse_signatures(rule: Rule, tokens: np.ndarray) -> np.ndarray:
     out = []
-    for band, m, indexed, extra in rule.coarse_schemes(len(tokens)):
+    for band, m, indexed, left_out in rule.coarse_schemes(len(tokens)):
         sums, count = (x[:indexed] for x in _contents(tokens, _segments(tokens, band, m), m))
         named = _named(sums, np.arange(indexed), band, m)
-        # of the agreeing segments not all are empty, unless more than `extra` are
-        out.append(named if (count == 0).sum() > extra else named[count > 0])
+        # of the segments that agree with a set not all are empty, unless more than `left_out` are
+        out.append(named if (count == 0).sum() > left_out else named[count > 0])
     return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 

@@ -231,8 +231,8 @@ def _sets(n: int):
 
 
 def _fine(rule: Rule):
-    """`record` packs band, need and number of signatures, to keep the many rows small."""
-    names = ["id", "record", "sig"]
+    """`record` packs need and number of signatures, both below 2^31, to keep the many rows small."""
+    names = ["id", "band", "record", "sig"]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -240,8 +240,9 @@ def _fine(rule: Rule):
             for id_, tokens in zip(b.column("id").to_pylist(), b.column("tokens")):
                 tokens = tokens.values.to_numpy().view(np.uint64)
                 for band, _, need, taken, named, _ in fine_signatures(rule, tokens):
-                    record = band << 56 | need << 28 | len(taken)
-                    for c, x in zip(columns, [np.full(len(taken), id_), np.full(len(taken), record), named.view(np.int64)]):
+                    row = [np.full(len(taken), id_), np.full(len(taken), band, np.int32)]
+                    row += [np.full(len(taken), need << 32 | len(taken), np.int64), named.view(np.int64)]
+                    for c, x in zip(columns, row):
                         c.append(x)
             if columns[0]:
                 yield pa.record_batch([np.concatenate(c) for c in columns], names=names)
@@ -347,17 +348,17 @@ def _members(sets: DataFrame, rule: Rule, hot: int) -> DataFrame:
     """(sig, id, chosen, low): who shares which signature, who relies on it, and the smallest of them."""
     # one shuffle serves the counts and the join with them: no name in common, or the plan is made twice
     fine = (
-        sets.mapInArrow(_fine(rule), "id long, record long, sig long")
-        .where("id is not null and record is not null and sig is not null").repartition("sig")
+        sets.mapInArrow(_fine(rule), "id long, band int, record long, sig long")
+        .where("id is not null and band is not null and record is not null and sig is not null").repartition("sig")
     )
     shared = fine.groupBy("sig").agg(F.count("*").alias("f")).where("f > 1").select(F.col("sig").alias("s"), "f")
     # at most as many rows of a set as it has segments
     chosen = (
-        fine.join(shared, fine.sig == shared.s).groupBy("id", "record")
+        fine.join(shared, fine.sig == shared.s).groupBy("id", "band", "record")
         .agg(F.sort_array(F.collect_list(F.struct("f", "sig"))).alias("all"))
         .select(
-            "id", F.expr("record >> 56").alias("band"), F.expr("(record >> 28) & 268435455").alias("need"),
-            F.expr("record & 268435455").alias("taken"), "all",
+            "id", F.col("band").cast("long").alias("band"), F.expr("record >> 32").alias("need"),
+            F.expr("record & 4294967295").alias("taken"), "all",
         )
         .withColumn("lacks", F.expr("need - (taken - size(all))"))
         .where("lacks > 0")

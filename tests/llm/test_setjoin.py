@@ -1,9 +1,11 @@
 """Signatures of the set similarity join against what they must find, on random sets."""
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute
 import pytest
 
-from tallypost.llm.setjoin import Rule, coarse_signatures, link_components
+from tallypost.llm.setjoin import Rule, _fine, coarse_signatures, fine_signatures, link_components
 
 
 def links(rule, small, large):
@@ -31,6 +33,24 @@ def test_linking_sets_share_a_coarse_signature(n, percent, sizes, tries):
     assert not missed
 
 
+def test_fine_rows_of_a_huge_set():
+    rule, rng = Rule(3, 90), np.random.default_rng(7)
+    tokens = rng.integers(-(1 << 63), 1 << 63, 4_600_000, np.int64)
+    schemes = fine_signatures(rule, tokens.view(np.uint64))
+    assert [s[0] for s in schemes] == [128, 127]
+    batch = pa.record_batch([pa.array([5], pa.int64()), pa.array([tokens], pa.list_(pa.int64()))], names=["id", "tokens"])
+    (out,) = _fine(rule)([batch])
+    assert out.schema.types == [pa.int64(), pa.int32(), pa.int64(), pa.int64()]
+    at = 0
+    for band, _, need, taken, named, _ in schemes:
+        rows = out.slice(at, len(taken))
+        assert pa.compute.unique(rows.column("band")).to_pylist() == [band]
+        assert pa.compute.unique(rows.column("record")).to_pylist() == [need << 32 | len(taken)]
+        assert (rows.column("sig").to_numpy().view(np.uint64) == named).all()
+        at += len(taken)
+    assert at == out.num_rows
+
+
 def test_texts_and_the_same_with_two_words_more(spark):
     rows = []
     for i in range(2000):

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from datetime import timedelta
+from datetime import datetime, timedelta
+from functools import reduce
 from typing import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -10,9 +11,10 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ..session import workspace
 from ..streaming.run import append_sink, read_sink, replay, slice_between, time_cuts
 
-# Id of the records that only move the watermark past the last real one.
+# Id of the records that only move the watermark past the last real one, unless the caller has a free one.
 _END_ID = -1
 _END_GAP = timedelta(days=1)
+_BITS = {"byte": 8, "short": 16, "integer": 32, "long": 64}
 
 
 def as_stream_time(df: DataFrame) -> DataFrame:
@@ -28,12 +30,15 @@ class Landing:
         self.df, self.arrival, self.path = as_stream_time(df), arrival, root
 
     def land(self, cuts: list, i: int) -> None:
-        slice_between(self.df, self.arrival, cuts, i).write.mode("append").parquet(self.path)
+        """A row without arrival time comes at another of its times: it must not move the watermark ahead."""
+        times = [f.name for f in self.df.schema.fields if f.dataType.typeName() == "timestamp"]
+        at = F.coalesce(self.arrival, *(c for c in times if c != self.arrival))
+        slice_between(self.df, at, cuts, i).write.mode("append").parquet(self.path)
 
-    def land_end(self, moment) -> None:
+    def land_end(self, moment, end_id: int = _END_ID) -> None:
         """One record at `moment`; all its times are the same, other columns null."""
         columns = [
-            F.lit(_END_ID).cast(f.dataType).alias(f.name) if f.name == "id"
+            F.lit(end_id).cast(f.dataType).alias(f.name) if f.name == "id"
             else F.lit(moment if f.dataType.typeName() == "timestamp" else None).cast(f.dataType).alias(f.name)
             for f in self.df.schema.fields
         ]
@@ -43,6 +48,19 @@ class Landing:
         return self.df.sparkSession.readStream.schema(self.df.schema).parquet(self.path)
 
 
+def _free_id(landings: list[Landing], low: int | None, high: int | None) -> int:
+    """An id that no row has, given the lowest and the highest."""
+    if low is None:
+        return _END_ID
+    most = 1 << min(_BITS[land.df.schema["id"].dataType.typeName()] for land in landings) - 1
+    if low > -most:
+        return low - 1
+    if high < most - 1:
+        return high + 1
+    ids = reduce(DataFrame.union, (land.df.select(F.col("id").cast("long").alias("id")) for land in landings)).distinct()
+    return ids.where(F.col("id") < most - 1).select((F.col("id") + 1).alias("id")).join(ids, "id", "left_anti").first()["id"]
+
+
 def run_over(
     spark: SparkSession, label: str, tables: dict[str, tuple[DataFrame, str]],
     build: Callable[..., DataFrame], slices: int = 2,
@@ -57,16 +75,17 @@ def run_over(
     landings = {name: Landing(df, arrival, f"{root}/in-{name}") for name, (df, arrival) in tables.items()}
     lead = next(iter(landings.values()))
     cuts = time_cuts(lead.df, lead.arrival, slices)
-    latest = max(
-        t for t in (land.df.agg(F.max(land.arrival)).first()[0] for land in landings.values()) if t is not None
-    )
+    known = [land.df.agg(F.max(land.arrival), F.min("id"), F.max("id")).first() for land in landings.values()]
+    latest = max((t for t, _, _ in known if t is not None), default=datetime(1970, 1, 1))
+    ids = [(low, high) for _, low, high in known if low is not None]
+    end_id = _free_id([*landings.values()], min((x for x, _ in ids), default=None), max((x for _, x in ids), default=None))
 
     def slice_step(i: int) -> Callable[[], None]:
         return lambda: [land.land(cuts, i) for land in landings.values()]
 
     def end_step() -> None:
         for land in landings.values():
-            land.land_end(latest + _END_GAP)
+            land.land_end(latest + _END_GAP, end_id)
 
     steps = [*(slice_step(i) for i in range(len(cuts) + 1)), end_step]
     shape: list[DataFrame] = []
@@ -77,4 +96,4 @@ def run_over(
         return append_sink(out, f"{root}/out", f"{root}/checkpoint")
 
     replay(steps, writer)
-    return read_sink(spark, f"{root}/out", shape[0]).where(F.col("id") != _END_ID)
+    return read_sink(spark, f"{root}/out", shape[0]).where(~F.col("id").eqNullSafe(end_id))

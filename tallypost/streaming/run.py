@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from typing import Callable, Iterable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
 
@@ -34,12 +34,14 @@ def time_cuts(df: DataFrame, column: str, slices: int) -> list:
     return [low + step * i for i in range(1, slices)]
 
 
-def slice_between(df: DataFrame, column: str, cuts: list, i: int) -> DataFrame:
-    """Slice `i` of `len(cuts) + 1`; the first and last are open-ended."""
+def slice_between(df: DataFrame, column: str | Column, cuts: list, i: int) -> DataFrame:
+    """Slice `i` of `len(cuts) + 1`; the first and last are open-ended, rows without a time are in the first."""
+    at = F.col(column) if isinstance(column, str) else column
     if i > 0:
-        df = df.where(F.col(column) >= F.lit(cuts[i - 1]))
+        df = df.where(at >= F.lit(cuts[i - 1]))
     if i < len(cuts):
-        df = df.where(F.col(column) < F.lit(cuts[i]))
+        before = at < F.lit(cuts[i])
+        df = df.where(before | at.isNull() if i == 0 else before)
     return df
 
 

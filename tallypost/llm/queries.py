@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..session import workspace
+from . import oracle
 from .ans import decode_token_file, with_starts, write_token_file
+from .collocations import collocations
 from .counting import count_tokens
 from .covertree import near_duplicates
 from .licences import scan_licences
@@ -76,6 +78,10 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(_documents(spark, sf_dir).select("lang", "text"))
+
+
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_toxicity": op2_toxicity,
@@ -87,5 +93,6 @@ QUERIES = {
     "op8_packing": op8_packing,
     "op9_jaccard_join": op9_jaccard_join,
     "op10_quality_rules": op10_quality_rules,
+    "op13_collocations": op13_collocations,
 }
-SQL: dict[str, str] = {}
+SQL = oracle.SQL

@@ -6,13 +6,11 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..session import ship, workspace
 
-# Rows handed to Python at a time: bounds the memory of a worker when texts are long.
-ARROW_ROWS = 1024
 _DROP_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def prepared(spark: SparkSession) -> SparkSession:
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    """Workers know this package. Batches keep Spark's bound in bytes, which holds when texts are long."""
     return ship(spark)
 
 

@@ -48,4 +48,26 @@ select lang, rank, phrase, a::bigint as a, l::bigint as l, r::bigint as r, n, sc
 from ranked join totals using (lang) where rank <= 2000
 """
 
-SQL: dict[str, str] = {"op13_collocations": _COLLOCATIONS}
+_NEGATIVES = """
+with v as (
+    select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label,
+        list_transform(embedding, lambda x: floor(256 * x::double)) as e
+    from embeddings
+    where vec_id is not null and label is not null and embedding is not null
+        and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+), scored as (
+    select a.vec_id as anchor_id, a.label as anchor_label, b.vec_id, b.label, list_dot_product(a.e, b.e)::bigint as score
+    from v a join v b on len(a.e) = len(b.e) where a.vec_id % 100 = 0
+), positives as (
+    select anchor_id, vec_id as positive_id, score as positive_score from scored
+    where label = anchor_label and vec_id <> anchor_id
+    qualify row_number() over (partition by anchor_id order by score desc, vec_id) <= 5
+)
+select anchor_id, positive_id, row_number() over (partition by anchor_id, positive_id order by score desc, vec_id)::int as rank,
+    vec_id as negative_id, positive_score, score as negative_score
+from positives join scored using (anchor_id)
+where label <> anchor_label and 30 * positive_score <= 100 * score and 100 * score <= 90 * positive_score
+qualify rank <= 10
+"""
+
+SQL: dict[str, str] = {"op12_hard_negatives": _NEGATIVES, "op13_collocations": _COLLOCATIONS}

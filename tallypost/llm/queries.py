@@ -12,6 +12,7 @@ from .counting import count_tokens
 from .covertree import near_duplicates
 from .licences import scan_licences
 from .mixing import mix_sources, word_count
+from .negatives import hard_negatives
 from .packing import pack
 from .rules import quality_rules
 from .setjoin import Rule, link_components
@@ -78,6 +79,14 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels with noise: every seventh row has the next one."""
+    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    label = F.col("label").cast("long")
+    noisy = rows.withColumn("label", F.when(F.col("vec_id") % 7 == 0, (label + 1) % 10).otherwise(label))
+    return hard_negatives(noisy, F.col("vec_id") % 100 == 0)
+
+
 def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations(_documents(spark, sf_dir).select("lang", "text"))
 
@@ -93,6 +102,7 @@ QUERIES = {
     "op8_packing": op8_packing,
     "op9_jaccard_join": op9_jaccard_join,
     "op10_quality_rules": op10_quality_rules,
+    "op12_hard_negatives": op12_hard_negatives,
     "op13_collocations": op13_collocations,
 }
 SQL = oracle.SQL

@@ -10,6 +10,7 @@ from .ans import decode_token_file, with_starts, write_token_file
 from .collocations import collocations
 from .counting import count_tokens
 from .covertree import near_duplicates
+from .languages import identify
 from .licences import scan_licences
 from .mixing import mix_sources, word_count
 from .negatives import hard_negatives
@@ -79,6 +80,11 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir).select("doc_id", "lang", "text")
+    return identify(docs).select("doc_id", "held_out", "lang_pred", "score")
+
+
 def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Labels with noise: every seventh row has the next one."""
     rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
@@ -102,6 +108,7 @@ QUERIES = {
     "op8_packing": op8_packing,
     "op9_jaccard_join": op9_jaccard_join,
     "op10_quality_rules": op10_quality_rules,
+    "op11_language_id": op11_language_id,
     "op12_hard_negatives": op12_hard_negatives,
     "op13_collocations": op13_collocations,
 }

@@ -196,15 +196,15 @@ def held_out(id_: Column) -> Column:
 def sample(texts: DataFrame, fit_rows: int) -> DataFrame:
     """(lang, text, place): up to the same number of distinct texts of each language, by hash, written."""
     usable = texts.where(F.col("lang").isNotNull() & (F.octet_length("text") <= FIT_BYTES) & F.col("text").rlike(r"\p{L}"))
-    sizes = usable.groupBy("lang").agg(F.count("*").alias("rows")).orderBy("lang").limit(MOST_LANGUAGES + 1).collect()
+    hashed = usable.withColumn("h", F.xxhash64("text"))
+    sizes = hashed.groupBy("lang").agg(F.approx_count_distinct("h").alias("texts")).orderBy("lang").limit(MOST_LANGUAGES + 1).collect()
     if len(sizes) > MOST_LANGUAGES:
         raise ValueError(f"more than {MOST_LANGUAGES} languages")
     each = max(1, fit_rows // max(1, len(sizes)))
-    hashed = usable.withColumn("h", F.xxhash64("text"))
-    # four times as many as wanted, as copies have one hash; of a language with fewer all
-    share = F.lit(float(4 * each)) / F.col("rows")
+    # twice as many as wanted, as their number is an estimate; of a language with few all
+    share = F.lit(float(2 * each)) / F.col("texts")
     near = (F.col("h").cast("double") / 2.0**64 + 0.5) < share
-    by_lang = F.broadcast(hashed.sparkSession.createDataFrame([(r["lang"], r["rows"]) for r in sizes], "lang string, rows long"))
+    by_lang = F.broadcast(hashed.sparkSession.createDataFrame([(r["lang"], r["texts"]) for r in sizes], "lang string, texts long"))
     some = hashed.join(by_lang, "lang").where(near).groupBy("lang", "h").agg(F.min("text").alias("text"))
     place = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
     return written(some.withColumn("place", place).where(F.col("place") <= each).drop("h"), "language-sample")

@@ -9,6 +9,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
+# The five routes of the load test.
+ENDPOINTS = ("/direct", "/naive", "/outbox", "/replication", "/debezium")
+
+
 def _seconds(n: int):
     return F.expr(f"interval '{n}' second")
 
@@ -26,7 +30,7 @@ def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def deliveries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lost: every 40th. Late by 90 s: every 7th. Sent twice: every 25th. Orphans: ids above a million."""
+    """Lost: every 40th. Late by 90 s: every 7th. Sent twice: every 25th. Orphans: the negative of every 50th."""
     m = messages(spark, sf_dir)
     partition = (F.col("id") % 3).alias("log_partition")
 
@@ -45,7 +49,7 @@ def deliveries(spark: SparkSession, sf_dir: str) -> DataFrame:
         (created + _seconds(100)).alias("delivered_at"), partition, at(1),
     )
     orphans = m.where("id % 50 = 0").select(
-        (F.col("id") + 1000000).alias("id"), "content", created,
+        (-F.col("id")).alias("id"), "content", created,
         (created + _seconds(5)).alias("delivered_at"), partition, at(2),
     )
     return normal.unionByName(again).unionByName(orphans)
@@ -100,7 +104,7 @@ def outbox_attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Load-test samples; the five event types stand for the five endpoints."""
+    """Load-test samples; the five event types stand for the five endpoints. Status 0: no answer."""
     kind = F.col("event_type")
     return events(spark, sf_dir).select(
         F.col("event_id").alias("request_id"),
@@ -108,7 +112,22 @@ def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(kind == "purchase", "/replication").otherwise("/debezium").alias("endpoint"),
         F.col("ts").alias("started_at"),
         F.col("value").alias("duration_ms"),
-        F.when(F.col("event_id") % 97 == 0, 500).otherwise(201).alias("status_code"),
+        F.when(F.col("event_id") % 97 == 0, 500).when(F.col("event_id") % 193 == 0, 0).otherwise(201).alias("status_code"),
         (F.col("event_id") % 101 == 0).alias("warmup"),
         (F.col("event_id") % 250).cast("int").alias("vus"),
     )
+
+
+def waits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A wait per message, of 15, 30 or 60 s; every fifth begins 20 s after the write."""
+    id_ = F.col("id")
+    later = F.when(id_ % 5 == 0, _seconds(20)).otherwise(_seconds(0))
+    return messages(spark, sf_dir).select(
+        "id", (F.col("created_at") + later).alias("waited_at"),
+        F.when(id_ % 3 == 0, 15).when(id_ % 3 == 1, 30).otherwise(60).alias("wait_seconds"),
+    )
+
+
+def cancellations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every eighth wait is cancelled 10 s after the write, some before they begin."""
+    return messages(spark, sf_dir).where("id % 8 = 0").select("id", (F.col("created_at") + _seconds(10)).alias("cancelled_at"))

@@ -43,9 +43,14 @@ def undelivered(messages: DataFrame, deliveries: DataFrame) -> DataFrame:
     return messages.join(deliveries.select("id").distinct(), "id", "left_anti")
 
 
-def orphan_deliveries(messages: DataFrame, first: DataFrame) -> DataFrame:
-    """First deliveries of ids that nobody wrote."""
-    return first.join(messages.select("id"), "id", "left_anti")
+def orphan_deliveries(messages: DataFrame, deliveries: DataFrame) -> DataFrame:
+    """First deliveries of ids that nobody wrote.
+
+    Ids are combined and matched first; of the deliveries only those of the ids that are left
+    are looked at in full.
+    """
+    lone = deliveries.select("id").where("id is not null").distinct().join(messages.select("id"), "id", "left_anti")
+    return first_delivery(deliveries.join(lone, "id", "left_semi"))
 
 
 def classify(written: Column, delivered: Column, seconds: int = WAIT_SECONDS) -> Column:

@@ -17,7 +17,7 @@ EXPECTED_STATUS = (200, 399)
 _TREND_ORDER = ("avg", "min", "med", "max", "p95", "p99")
 
 
-def _failed() -> Column:
+def failed() -> Column:
     return ~F.col("status_code").between(*EXPECTED_STATUS)
 
 
@@ -25,11 +25,17 @@ def _micros(column: str) -> Column:
     return F.unix_micros(F.col(column).cast("timestamp"))
 
 
+def ended_at_micros() -> Column:
+    """When a request was answered; one without a duration counts from its start alone."""
+    return _micros("started_at") + F.coalesce(F.round(F.col("duration_ms") * 1000).cast("long"), F.lit(0))
+
+
 def _seconds(condition: Column | None = None) -> Column:
-    """Time from the first to the last sample; null when there is no such span."""
-    at = _micros("started_at")
-    at = at if condition is None else F.when(condition, at)
-    return F.nullif((F.max(at) - F.min(at)).cast("double") / F.lit(1e6), F.lit(0.0))
+    """Time from the first start to the last end; null when there is no such span."""
+    start, end = _micros("started_at"), ended_at_micros()
+    if condition is not None:
+        start, end = F.when(condition, start), F.when(condition, end)
+    return F.nullif((F.max(end) - F.min(start)).cast("double") / F.lit(1e6), F.lit(0.0))
 
 
 def _last_by_time(value: str) -> Column:
@@ -52,12 +58,12 @@ def latency_trend(requests: DataFrame) -> DataFrame:
 
 def expected_latency(requests: DataFrame) -> DataFrame:
     """The trend over answered requests only."""
-    return latency_trend(requests.where(~_failed()))
+    return latency_trend(requests.where(~failed()))
 
 
 def latency_trends(requests: DataFrame) -> DataFrame:
     """Both trends in one pass: structs `all` and `expected` per endpoint."""
-    series = {"all": F.lit(True), "expected": ~_failed()}
+    series = {"all": F.lit(True), "expected": ~failed()}
     stats = trends(requests, ["endpoint"], "duration_ms", TREND_QUANTILES, series)
     return stats.select("endpoint", *[F.struct(*_named(f"{name}.")).alias(name) for name in series])
 
@@ -69,7 +75,7 @@ def run_totals(requests: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("requests"),
         F.count_if(F.col("status_code") == CREATED).alias("check_passes"),
         F.count_if(F.col("status_code") != CREATED).alias("check_fails"),
-        F.count_if(_failed()).alias("failed_requests"),
+        F.count_if(failed()).alias("failed_requests"),
         F.count_if(timed).alias("iterations"),
         _seconds().alias("run_seconds"),
         _seconds(timed).alias("timed_seconds"),

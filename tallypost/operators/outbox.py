@@ -38,31 +38,51 @@ def retry_time(last: Column, failures: Column) -> Column:
     return last + F.make_dt_interval(secs=F.pow(F.lit(2), failures).cast("decimal(18,6)"))
 
 
-def outbox_state(
-    rows: DataFrame, attempts: DataFrame, key: str = "id", max_attempts: int = OUTBOX_MAX_ATTEMPTS
-) -> DataFrame:
-    """State of each outbox row from the append-only log of tries."""
-    tries = attempts.groupBy(key).agg(
-        F.count_if(~F.col("ok")).cast("int").alias("retry_count"),
-        F.bool_or("ok").alias("_done"),
-        F.max("attempted_at").alias("_last"),
+def partial_state(attempts: DataFrame, key: str = "id") -> DataFrame:
+    """What a set of tries says of each row; such states merge, see `merged_state`."""
+    return attempts.groupBy(key).agg(
+        F.count_if(~F.col("ok")).alias("failures"),
+        F.bool_or("ok").alias("done"),
+        F.max("attempted_at").alias("last_at"),
         F.min(F.when(F.col("ok"), F.col("attempted_at"))).alias("processed_at"),
-        F.max(F.when(~F.col("ok"), F.struct("attempt_no", "error"))).alias("_failed"),
+        F.max(F.when(~F.col("ok"), F.struct("attempt_no", "error"))).alias("failed"),
     )
-    failures = F.coalesce("retry_count", F.lit(0))
-    status = status_after(F.coalesce("_done", F.lit(False)), failures, max_attempts)
-    due = F.when(F.col("_last").isNull(), F.col("created_at")).otherwise(retry_time(F.col("_last"), failures))
-    return rows.select(key, "created_at").join(tries, key, "left").select(
+
+
+def merged_state(partials: DataFrame, key: str = "id") -> DataFrame:
+    """One state per row from those of sets of tries that share no try."""
+    return partials.groupBy(key).agg(
+        F.sum("failures").alias("failures"), F.bool_or("done").alias("done"), F.max("last_at").alias("last_at"),
+        F.min("processed_at").alias("processed_at"), F.max("failed").alias("failed"),
+    )
+
+
+def finished_state(
+    rows: DataFrame, tries: DataFrame, key: str = "id", max_attempts: int = OUTBOX_MAX_ATTEMPTS
+) -> DataFrame:
+    """State of each outbox row from what its tries say; rows without tries are open."""
+    tried = tries.withColumnRenamed("processed_at", "_processed_at")
+    failures = F.coalesce(F.col("failures").cast("int"), F.lit(0))
+    status = status_after(F.coalesce("done", F.lit(False)), failures, max_attempts)
+    due = F.when(F.col("last_at").isNull(), F.col("created_at")).otherwise(retry_time(F.col("last_at"), failures))
+    return rows.select(key, "created_at").join(tried, key, "left").select(
         key,
         status.alias("status"),
         failures.alias("retry_count"),
         due.alias("next_retry_at"),
         "created_at",
-        "processed_at",
-        F.when(status == DEAD, F.col("_failed.error")).alias("dead_letter_error"),
+        F.col("_processed_at").alias("processed_at"),
+        F.when(status == DEAD, F.col("failed.error")).alias("dead_letter_error"),
     )
 
 
+def outbox_state(
+    rows: DataFrame, attempts: DataFrame, key: str = "id", max_attempts: int = OUTBOX_MAX_ATTEMPTS
+) -> DataFrame:
+    """State of each outbox row from the append-only log of tries."""
+    return finished_state(rows, partial_state(attempts, key), key, max_attempts)
+
+
 def outbox_batch(
     state: DataFrame, now: Column, limit: int | None = OUTBOX_BATCH, key: str = "id"
 ) -> DataFrame:

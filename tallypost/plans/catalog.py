@@ -2,23 +2,26 @@
 
 from __future__ import annotations
 
-from datetime import datetime
+from datetime import datetime, timedelta
 from typing import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .. import fixtures as X
-from ..functions import codec, names
+from ..functions import codec, names, sketches
 from ..operators import changes as C, delivery as D, ingest as I, metrics as M, outbox as O, quality as Q
-from ..schemas import CDC_TOPIC, MESSAGE_TOPIC, OPEN, OUTBOX, TYPE_NAME, TYPE_NAME_LIMIT
-from ..session import prepare, workspace
-from ..sinks import report, tables, topics as topic_sinks
+from ..schemas import CDC_TOPIC, MESSAGE_TOPIC, OUTBOX, TYPE_NAME, TYPE_NAME_LIMIT, WAIT_SECONDS
+from ..session import prepare, stage, workspace
+from ..sinks import committed, report, tables, topics as topic_sinks
 from ..sinks.batches import BatchStore
-from ..sources import changes as change_sources, landing, topics as topic_sources
-from ..streaming import delivery as SD, ingest as SI, outbox as SO
-from ..streaming.run import append_sink, read_sink, run_available
+from ..sinks.ledger import IdLedger
+from ..sinks.unique import UniqueTable
+from ..sources import changes as change_sources, landing, slots, topics as topic_sources
+from ..streaming import delivery as SD, ingest as SI, observed as SOb, outbox as SO, quarantine as SQ, waits as SW
+from ..streaming.attempts import AttemptLog
+from ..streaming.run import append_sink, read_sink, run_available, slice_between, time_cuts
 from . import routes
-from .replays import as_stream_time, run_over
+from .replays import Landing, as_stream_time, run_over
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -289,7 +292,7 @@ def undelivered(spark, sf_dir):
 
 @_query
 def orphan_deliveries(spark, sf_dir):
-    return D.orphan_deliveries(X.messages(spark, sf_dir), D.first_delivery(X.deliveries(spark, sf_dir)))
+    return D.orphan_deliveries(X.messages(spark, sf_dir), X.deliveries(spark, sf_dir))
 
 
 @_query
@@ -302,15 +305,21 @@ def delivery_status_counts(spark, sf_dir):
     return D.status_counts(delivery_status(spark, sf_dir))
 
 
+def _producers(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """All messages, by who produces them."""
+    m = X.messages(spark, sf_dir)
+    click = F.coalesce(F.col("content").startswith("click:"), F.lit(False))
+    return {"click": m.where(click), "other": m.where(~click)}
+
+
 @_query
 def producer_union(spark, sf_dir):
     """Two producers, told apart by what the content starts with, feed one topic."""
-    m = X.messages(spark, sf_dir)
     parts = [
-        codec.encode_records(m.where(F.col("content").startswith(prefix))) for prefix in ("click:", "signup:")
+        codec.encode_records(m).withColumn("producer", F.lit(name)) for name, m in _producers(spark, sf_dir).items()
     ]
     return D.merge_producers(*parts).select(
-        codec.key_int(F.col("key")).alias("id"), F.col("value").cast("string").alias("value"), "timestamp"
+        codec.key_int(F.col("key")).alias("id"), F.col("value").cast("string").alias("value"), "timestamp", "producer"
     )
 
 
@@ -464,16 +473,70 @@ def delivery_status_stream(spark, sf_dir):
 
 @_query
 def rendezvous_stream(spark, sf_dir):
-    """The prompt form; which copy of a redelivered message passes is not compared."""
-    met = run_over(
+    """The prompt form: writes and what met them in time."""
+    return run_over(
         spark, "rendezvous",
         {
             "messages": (X.messages(spark, sf_dir), "created_at"),
             "deliveries": (X.deliveries(spark, sf_dir), "delivered_at"),
         },
-        lambda messages, deliveries: SD.rendezvous(messages, SD.first_delivery_prompt(deliveries)),
+        SD.rendezvous,
+    )
+
+
+def _waited(spark: SparkSession, sf_dir: str, mixed: bool) -> DataFrame:
+    """Waits with bounds of their own; `mixed` rows come in an order that has nothing to do with their times."""
+    tables = {
+        "waits": (X.waits(spark, sf_dir), "waited_at"), "events": (X.deliveries(spark, sf_dir), "delivered_at"),
+        "cancellations": (X.cancellations(spark, sf_dir), "cancelled_at"),
+    }
+    if not mixed:
+        return run_over(spark, "waits", tables, SW.waits_stream)
+    low, high = X.messages(spark, sf_dir).agg(F.min("created_at"), F.max("created_at")).first()
+    span = (high - low if low else timedelta()) + timedelta(days=1)
+    place = F.pmod(F.xxhash64("id", F.lit("arrival")), F.lit(1_000_000)) / 1_000_000
+    arrival = F.lit(low).cast("timestamp_ntz") + F.make_dt_interval(secs=(place * span.total_seconds()).cast("decimal(18,6)"))
+    tables = {name: (df.withColumn("arrived_at", arrival), "arrived_at") for name, (df, _) in tables.items()}
+    # nothing is late, however it comes; the end record lies beyond the delay
+    return run_over(
+        spark, "waits-mixed", tables, lambda **t: SW.waits_stream(**t, delay=f"{span.days + 1} days", keep=3600),
+        slices=3, end_gap=2 * span + timedelta(days=2),
     )
-    return met.select("id", "written_at", F.col("delivered_at").isNotNull().alias("met"))
+
+
+@_query
+def waits_stream(spark, sf_dir):
+    """Met, expired or cancelled: the same for two orders of arrival."""
+    by_arrival = {"in order": _waited(spark, sf_dir, False), "mixed": _waited(spark, sf_dir, True)}
+    return D.merge_producers(*[df.withColumn("arrival", F.lit(name)) for name, df in by_arrival.items()])
+
+
+@_query
+def open_writes(spark, sf_dir):
+    """Who is waiting at a moment: read from the state of a stream that stopped then."""
+    root = workspace(spark, "open-writes")
+    sides = {"messages": (X.messages(spark, sf_dir), "created_at"), "deliveries": (X.deliveries(spark, sf_dir), "delivered_at")}
+    streams = {}
+    for name, (df, arrival) in sides.items():
+        landing = Landing(df.where(F.col(arrival) < F.lit(POLL_AT)), arrival, f"{root}/{name}")
+        landing.land([], 0)
+        streams[name] = landing.stream()
+    # a delay that keeps everything in state
+    status = SD.delivery_status_stream(**streams, delay="3650 days", gap="3 minutes")
+    run_available(append_sink(status, f"{root}/out", f"{root}/checkpoint"))
+    return SD.open_writes(spark, f"{root}/checkpoint")
+
+
+@_query
+def producer_union_stream(spark, sf_dir):
+    """Two producers on one stream, each with its own watermark; the second is an hour behind."""
+    sides = _producers(spark, sf_dir)
+    hour = F.expr("interval '1' hour")
+    tables = {
+        "click": (sides["click"].withColumn("sent_at", F.col("created_at")), "sent_at"),
+        "other": (sides["other"].withColumn("sent_at", F.col("created_at") + hour), "sent_at"),
+    }
+    return run_over(spark, "producers", tables, SD.union_of_producers, slices=3)
 
 
 @_query
@@ -485,6 +548,187 @@ def resume_from_checkpoint(spark, sf_dir):
     )
 
 
+# Polls, positions and keys that are kept between batches.
+
+@_query
+def outbox_polls(spark, sf_dir):
+    """The outbox after polls as they are by default: 50 rows, 3 tries, 100 ms apart."""
+    root = workspace(spark, "polls")
+    _outbox_table(spark, sf_dir).write.parquet(f"{root}/rows")
+    store = BatchStore(spark, f"{root}/store")
+    dispatcher = _flaky(SO.topic_dispatcher(fmt="parquet", path=f"{root}/topic"))
+    rows, none, queue = spark.read.schema(OUTBOX).parquet(f"{root}/rows"), spark.createDataFrame([], OUTBOX), None
+    for n in range(8):
+        moment = POLL_AT + n * timedelta(milliseconds=100)
+        queue = SO.poll(none if n else rows, n, store, dispatcher, lambda: moment, queue=queue)
+    return SO.outbox_table(store).select(
+        F.col("id").cast("int").alias("id"), "status", "retry_count", "next_retry_at", "processed_at",
+        "dead_letter_error",
+    )
+
+
+@_query
+def outbox_state_snapshot(spark, sf_dir):
+    """State from a snapshot after half of the batches, one of them sent twice, and the batches since."""
+    root = workspace(spark, "attempts")
+    tries = as_stream_time(X.outbox_attempts(spark, sf_dir))
+    log = AttemptLog(BatchStore(spark, root), tries.schema)
+    cuts = time_cuts(tries, "attempted_at", 4)
+    for n in range(len(cuts) + 1):
+        part = slice_between(tries, "attempted_at", cuts, n)
+        log.append(part, n)
+        log.append(part, n)
+        if n == 1:
+            log.snapshot()
+    return log.state(as_stream_time(X.messages(spark, sf_dir)))
+
+
+def _slot_runs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, list[tuple[int, int, bool]]]:
+    """A reader that stops in the middle of a log and goes on: what it read, and (run, handled, not ahead)."""
+    root = workspace(spark, "slot")
+    log = as_stream_time(X.change_log(spark, sf_dir))
+    early = F.col("created_at") < F.lit(POLL_AT).cast("timestamp")
+    runs = []
+    for run, part in enumerate((log.where(early), log.where(~early)), 1):
+        slots.append_changes(part, f"{root}/log")
+        stream = slots.slot_stream(spark, f"{root}/log", "rep_slot")
+        run_available(append_sink(stream, f"{root}/out", f"{root}/checkpoint"))
+        handled = read_sink(spark, f"{root}/out", log).agg(F.max("wal_end")).first()[0]
+        runs.append((run, handled, slots.acknowledged(spark, f"{root}/log", "rep_slot") <= (handled or 0)))
+    return read_sink(spark, f"{root}/out", log), runs
+
+
+@_query
+def change_slot(spark, sf_dir):
+    """Inserted messages read through a slot in two runs; changes of every kind moved its position."""
+    read, _ = _slot_runs(spark, sf_dir)
+    return C.project_by_name(C.table_filter(C.insert_only(read)), keep=("wal_end",))
+
+
+@_query
+def change_slot_position(spark, sf_dir):
+    """After each run, what was handled, and whether the acknowledged position is no further."""
+    _, runs = _slot_runs(spark, sf_dir)
+    return spark.createDataFrame(runs, "run int, handled long, not_ahead boolean")
+
+
+@_query
+def two_writer_ids(spark, sf_dir):
+    """Two ingest streams number into one table by a ledger; a batch of each is sent again."""
+    root = workspace(spark, "writers")
+    ledger = IdLedger(spark, f"{root}/ledger", size=512)
+    stores, again = {}, {}
+    for name, m in _producers(spark, sf_dir).items():
+        stores[name], bodies = BatchStore(spark, f"{root}/{name}"), m.select("content")
+        for n, part in enumerate(bodies.randomSplit([1.0, 1.0, 1.0], seed=7)):
+            SI.write_batch(part, n, stores[name], _clock(), writer=(ledger, name))
+        stored = SI.stored_messages(stores[name]).where("batch_id = 1").select("id", "content")
+        repeated = ledger.assign(I.stamp(stage(bodies.limit(0), "none"), _clock()), name, 1).select("id", "content")
+        again[name] = stored.exceptAll(repeated).isEmpty() and repeated.exceptAll(stored).isEmpty()
+    tables = [SI.stored_messages(store).select(F.lit(name).alias("stream"), "id") for name, store in stores.items()]
+    every = D.merge_producers(*tables)
+    total, distinct = every.agg(F.count("id"), F.count_distinct("id")).first()
+    repeated = F.when(F.col("stream") == "click", again["click"]).otherwise(again["other"])
+    return every.groupBy("stream").agg(F.count("*").alias("messages"), F.count_distinct("id").alias("ids")).select(
+        "*", F.lit(total == distinct).alias("unique_overall"), repeated.alias("same_when_repeated")
+    )
+
+
+@_query
+def append_constraint(spark, sf_dir):
+    """Conflicting ids of four batches, found before each became visible."""
+    rows = as_stream_time(X.deliveries(spark, sf_dir))
+    table = UniqueTable(spark, workspace(spark, "unique"), rows.schema, "log_offset")
+    batch = F.when((F.col("log_offset") % 10 == 1) & (F.col("id") % 2 == 1), 3).otherwise(F.abs("id") % 3)
+    for n in range(4):
+        table.append(rows.where(batch == n), n)
+    return table.conflicts().select("batch_id", F.col("id").cast("int").alias("id"), "refused", "stored")
+
+
+@_query
+def latency_sketch(spark, sf_dir):
+    """Quantiles from sketches per hour, merged; true where the exact rank is within the stated error."""
+    requests = X.requests(spark, sf_dir)
+    sliced = stage(sketches.slices(requests, ["endpoint"], "duration_ms", "started_at"), "sketches")
+    whole = sketches.merged(sliced, ["endpoint"]).select(
+        "endpoint", "slices", "n", *[sketches.quantile(p).alias(name) for name, p in M.TREND_QUANTILES.items()]
+    )
+    whole = stage(whole, "sketch-quantiles")
+    checks = sketches.rank_bounds(requests, ["endpoint"], "duration_ms", whole.drop("n", "slices"), M.TREND_QUANTILES)
+    return whole.select("endpoint", "n", "slices").join(checks, "endpoint")
+
+
+@_query
+def observed_counters(spark, sf_dir):
+    """Counters and rates from what a stream reported batch by batch, over restarts; no second pass."""
+    root = workspace(spark, "observed")
+    landing = Landing(X.requests(spark, sf_dir), "started_at", f"{root}/in")
+    cuts = time_cuts(landing.df, "started_at", 3)
+    totals = SOb.ProgressTotals(spark, f"{root}/totals", "requests")
+    measures = SOb.route_measures(X.ENDPOINTS)
+    for n in range(len(cuts) + 2):  # the last run finds nothing
+        if n <= len(cuts):
+            landing.land(cuts, n)
+        seen = SOb.observed(landing.stream(), "requests", measures)
+        SOb.run_counted(append_sink(seen, f"{root}/out", f"{root}/checkpoint"), totals)
+    return SOb.route_report(spark, totals.totals(), X.ENDPOINTS)
+
+
+@_query
+def topic_commit(spark, sf_dir):
+    """Records produced by a stream whose batches are committed as a whole, read back and decoded."""
+    root = workspace(spark, "topic-commit")
+    landing = Landing(X.messages(spark, sf_dir), "created_at", f"{root}/in")
+    cuts = time_cuts(landing.df, "created_at", 2)
+    for n in range(len(cuts) + 1):
+        landing.land(cuts, n)
+        run_available(committed.committed_topic(codec.encode_records(landing.stream()), f"{root}/topic", f"{root}/checkpoint"))
+    good, _ = codec.split_malformed(codec.decode_records(committed.committed_records(spark, f"{root}/topic")))
+    return good.select("id", "message.content", "message.created_at")
+
+
+@_query
+def faulty_records(spark, sf_dir):
+    """A topic with broken values, split by a stream into what could be read and a quarantine."""
+    root = workspace(spark, "faulty")
+    records = codec.encode_records(X.messages(spark, sf_dir))
+    broken = F.substring("value", 1, 9)
+    records = records.withColumn("value", F.when(codec.key_int(F.col("key")) % 7 == 0, broken).otherwise(F.col("value")))
+    topic_sinks.write_topic(records, fmt="parquet", path=f"{root}/topic")
+    store = BatchStore(spark, f"{root}/store")
+    read = codec.decode_records(topic_sources.message_topic(spark, fmt="parquet", path=f"{root}/topic"))
+    run_available(SQ.split_stream(read, store, f"{root}/checkpoint"))
+    # what lands is as decoded: the quarantine keeps key and value as they came
+    good, bad = (part.limit(0) for part in codec.split_malformed(codec.decode_records(
+        topic_sources.message_topic(spark, fmt="parquet", path=f"{root}/topic", stream=False))))
+    kept = store.table(SQ.GOOD, good.schema).select("id", F.lit("good").alias("place"), "message.content")
+    left = store.table(SQ.QUARANTINE, bad.schema).select(
+        codec.key_int(F.col("key")).alias("id"), F.lit("quarantine").alias("place"), F.lit(None).cast("string").alias("content")
+    )
+    return kept.unionByName(left)
+
+
+@_query
+def ingest_route(spark, sf_dir):
+    """Posted bodies from end to end: stored, produced to the topic, read back, and matched with their waits."""
+    root = workspace(spark, "ingest-route")
+    X.messages(spark, sf_dir).select("content").write.json(f"{root}/bodies")
+    store = BatchStore(spark, f"{root}/store")
+
+    def produce(stored: DataFrame) -> None:
+        topic_sinks.write_topic(codec.encode_records(stored), fmt="parquet", path=f"{root}/topic")
+
+    bodies = landing.accepted(landing.bodies(spark, f"{root}/bodies"))
+    run_available(SI.ingest(bodies, store, f"{root}/checkpoint", clock=_clock(), produce=produce))
+    arrived = routes.topic_deliveries(topic_sources.message_topic(spark, fmt="parquet", path=f"{root}/topic", stream=False))
+    events = arrived.withColumn("log_offset", F.coalesce("log_offset", F.lit(0))).select("id", "content", "delivered_at", "log_offset")
+    asked = SI.stored_messages(store).select("id", F.col("created_at").alias("waited_at"), F.lit(WAIT_SECONDS).alias("wait_seconds"))
+    met = run_over(
+        spark, "ingest-waits", {"waits": (asked, "waited_at"), "events": (events, "delivered_at")}, SW.waits_stream
+    )
+    return met.groupBy("content", "result").agg(F.count("*").alias("messages"))
+
+
 # Routes from end to end.
 
 @_query

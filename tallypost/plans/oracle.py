@@ -20,7 +20,7 @@ _VIEWS = {
                id % 3, cast(id as bigint) * 10 + 1
         from m where id % 25 = 0 and id % 40 <> 0
         union all
-        select id + 1000000, content, created_at, created_at + interval '5' second,
+        select -id, content, created_at, created_at + interval '5' second,
                id % 3, cast(id as bigint) * 10 + 2
         from m where id % 50 = 0""",
     "f": """
@@ -85,24 +85,45 @@ _VIEWS = {
                case event_type when 'view' then '/direct' when 'click' then '/naive' when 'signup' then '/outbox'
                                when 'purchase' then '/replication' else '/debezium' end as endpoint,
                ts as started_at, value as duration_ms,
-               case when event_id % 97 = 0 then 500 else 201 end as status_code,
+               case when event_id % 97 = 0 then 500 when event_id % 193 = 0 then 0 else 201 end as status_code,
                event_id % 101 = 0 as warmup, cast(event_id % 250 as int) as vus
         from events""",
     "run": """
         select endpoint, count(*) as requests, count(*) filter (where status_code = 201) as passes,
                count(*) filter (where status_code <> 201) as fails,
-               count(*) filter (where status_code >= 400) as failed,
+               count(*) filter (where status_code not between 200 and 399) as failed,
                count(*) filter (where not warmup) as iterations,
-               nullif((epoch_us(max(started_at)) - epoch_us(min(started_at))) / 1e6, 0) as run_s,
-               nullif((epoch_us(max(started_at) filter (where not warmup))
+               nullif((max(ended_us) - epoch_us(min(started_at))) / 1e6, 0) as run_s,
+               nullif((max(ended_us) filter (where not warmup)
                        - epoch_us(min(started_at) filter (where not warmup))) / 1e6, 0) as timed_s,
                min(vus) as vus_min, max(vus) as vus_max
-        from r group by endpoint""",
+        from (select *, epoch_us(started_at) + coalesce(cast(round(duration_ms * 1000) as bigint), 0) as ended_us from r)
+        group by endpoint""",
+    "w": """
+        select id, created_at + case when id % 5 = 0 then interval '20' second else interval '0' second end as waited_at,
+               created_at + case when id % 5 = 0 then interval '20' second else interval '0' second end
+                          + case id % 3 when 0 then interval '15' second when 1 then interval '30' second
+                                        else interval '60' second end as deadline,
+               case when id % 8 = 0 then greatest(created_at + interval '10' second,
+                    created_at + case when id % 5 = 0 then interval '20' second else interval '0' second end) end as cancelled_at
+        from m""",
+    "ends": """
+        select w.id, w.waited_at, w.deadline, w.cancelled_at, case when f.id is not null then greatest(f.delivered_at, w.waited_at) end as met_at, f.content
+        from w left join f on f.id = w.id""",
+    "waited": """
+        select id, waited_at,
+               case when met_at <= least(deadline, coalesce(cancelled_at, deadline)) then 'met'
+                    when cancelled_at <= deadline then 'cancelled' else 'expired' end as result,
+               case when met_at <= least(deadline, coalesce(cancelled_at, deadline)) then met_at
+                    when cancelled_at <= deadline then cancelled_at else deadline end as ended_at,
+               case when met_at <= least(deadline, coalesce(cancelled_at, deadline)) then content end as content
+        from ends""",
 }
 
 _NEEDS = {
     "m": [], "d": ["m"], "f": ["d"], "status": ["f"], "cdc": ["m"], "images": ["m"], "changes": ["m"],
     "a": ["m"], "state": ["a"], "polled": ["state"], "r": [], "run": ["r"],
+    "w": ["m"], "ends": ["w", "f"], "waited": ["ends"],
 }
 
 
@@ -170,6 +191,27 @@ def _check(name: str, type_name: str) -> str:
         from {'m' if name == 'messages' else 'd'}"""
 
 
+_POLL_AT = "timestamp '2024-01-20'"
+# Eight polls of 50 rows, 100 ms apart, over a table whose rows all were due before the first.
+_POLLS = f"""
+    select id,
+           cast(case when poll is null then status when not refused then 1
+                     when retry_count + 1 >= 3 then 2 else 0 end as int) as status,
+           cast(case when poll is not null and refused then retry_count + 1 else retry_count end as int) as retry_count,
+           case when poll is not null and refused
+                then polled_at + case retry_count when 0 then interval '2' second
+                     when 1 then interval '4' second else interval '8' second end
+                else next_retry_at end as next_retry_at,
+           case when poll is not null and not refused then polled_at
+                when poll is not null then null else processed_at end as processed_at,
+           case when poll is not null and refused and retry_count + 1 >= 3 then 'refused'
+                when poll is not null then null else dead_letter_error end as dead_letter_error
+    from (select *, {_POLL_AT} + to_milliseconds(100 * poll) as polled_at
+          from (select *, case when due and place <= 400 then (place - 1) // 50 end as poll
+                from (select *, row_number() over (partition by due order by next_retry_at, cast(id as varchar)) as place
+                      from polled)))"""
+
+
 SQL: dict[str, str] = {
     "topic_source": _with("d", "select id, content, created_at, log_partition, log_offset from d"),
     "cdc_source": _with("images", "select * from images"),
@@ -222,10 +264,12 @@ SQL: dict[str, str] = {
     "delivery_status": _with("status", _STATUS),
     "delivery_status_counts": _with("status", "select status, count(*) as ids from status group by status"),
     "producer_union": _with("m", f"""
-        select id, {_JSON} as value, created_at as timestamp from m
-        where content like 'click:%' or content like 'signup:%'"""),
+        select id, {_JSON} as value, created_at as timestamp,
+               case when content like 'click:%' then 'click' else 'other' end as producer from m"""),
+    "producer_union_stream": _with("m", """
+        select case when content like 'click:%' then 'click' else 'other' end as producer, id, content, created_at from m"""),
     "latency_trend": _with("r", _TREND.format(where="")),
-    "expected_latency": _with("r", _TREND.format(where="where status_code < 400")),
+    "expected_latency": _with("r", _TREND.format(where="where status_code between 200 and 399")),
     "check_rate": _with("run", """
         select endpoint, passes as check_passes, fails as check_fails, passes / requests as check_rate,
                failed as failed_passes, requests - failed as failed_fails, failed / requests as failed_rate
@@ -268,7 +312,48 @@ SQL: dict[str, str] = {
     "delivery_match_stream": _with("f", _MATCHED),
     "delivery_status_stream": _with("status", _STATUS),
     "rendezvous_stream": _with("status", """
-        select id, written_at, status = 'confirmed' as met from status where status <> 'orphan'"""),
+        select s.id, written_at, case when status = 'confirmed' then s.delivered_at end as delivered_at,
+               case when status = 'confirmed' then f.content end as content
+        from status s left join f on f.id = s.id where status <> 'orphan'"""),
+    "waits_stream": _with("waited", """
+        select a.arrival, waited.* from waited cross join (values ('in order'), ('mixed')) as a(arrival)"""),
+    "open_writes": _with("d", f"""
+        select id, created_at as written_at from m where created_at < {_POLL_AT}
+        and id not in (select id from d where delivered_at < {_POLL_AT})"""),
+    "outbox_polls": _with("polled", _POLLS),
+    "outbox_state_snapshot": _with("state", "select * from state"),
+    "change_slot": _with("changes", """
+        select wal_end, id, content, created_at from changes where kind = 'insert' and relation = 'messages'"""),
+    "change_slot_position": _with("changes", f"""
+        select 1 as run, max(wal_end) as handled, true as not_ahead from changes where created_at < {_POLL_AT}
+        union all select 2, max(wal_end), true from changes"""),
+    "two_writer_ids": _with("m", """
+        select 'click' as stream, count(*) as messages, count(*) as ids, true as unique_overall, true as same_when_repeated
+        from m where content like 'click:%'
+        union all
+        select 'other', count(*), count(*), true, true from m where content not like 'click:%'"""),
+    "append_constraint": _with("d", """
+        select batch_id, id, refused, stored from (
+            select batch_id, id, count(*) over () as total,
+                   case when min(batch_id) over (partition by id) < batch_id then n else n - 1 end as refused,
+                   min(batch_id) over (partition by id) < batch_id as stored
+            from (select batch_id, id, count(*) as n from (
+                select id, case when log_offset % 10 = 1 and id % 2 = 1 then 3 else abs(id) % 3 end as batch_id from d)
+                group by batch_id, id))
+        where refused > 0"""),
+    "latency_sketch": _with("r", """
+        select endpoint, count(*) as n, count(distinct date_trunc('hour', started_at)) as slices,
+               true as med_ok, true as p95_ok, true as p99_ok
+        from r where duration_ms is not null group by endpoint"""),
+    "observed_counters": _with("run", """
+        select endpoint, requests, passes as check_passes, fails as check_fails, failed as failed_requests,
+               failed / requests as failed_rate, iterations, vus_min, vus_max, requests / run_s as per_second
+        from run"""),
+    "topic_commit": _with("m", "select id, content, created_at from m"),
+    "faulty_records": _with("m", """
+        select id, case when id % 7 = 0 then 'quarantine' else 'good' end as place,
+               case when id % 7 = 0 then null else content end as content from m"""),
+    "ingest_route": _with("m", "select content, 'met' as result, count(*) as messages from m group by content"),
     "resume_from_checkpoint": _with("d", f"select {_DELIVERY} from d"),
     "direct_route": _with("m", _ALL),
     "naive_route": _with("status", _STATUS),

@@ -63,7 +63,7 @@ def _free_id(landings: list[Landing], low: int | None, high: int | None) -> int:
 
 def run_over(
     spark: SparkSession, label: str, tables: dict[str, tuple[DataFrame, str]],
-    build: Callable[..., DataFrame], slices: int = 2,
+    build: Callable[..., DataFrame], slices: int = 2, end_gap: timedelta = _END_GAP,
 ) -> DataFrame:
     """Run `build(**streams)` over the tables in time order and return what it wrote.
 
@@ -85,7 +85,7 @@ def run_over(
 
     def end_step() -> None:
         for land in landings.values():
-            land.land_end(latest + _END_GAP, end_id)
+            land.land_end(latest + end_gap, end_id)
 
     steps = [*(slice_step(i) for i in range(len(cuts) + 1)), end_step]
     shape: list[DataFrame] = []

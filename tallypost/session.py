@@ -13,7 +13,7 @@ STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreP
 
 _PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 _CHANGELOG = "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled"
-_DEFAULT_PARTITIONS = "200"
+_MERGE_SESSIONS = "spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition"
 
 _fallback_root: str | None = None
 _shipped_to: str | None = None
@@ -28,6 +28,7 @@ def session(master: str | None = None, app: str = "tallypost", **conf) -> SparkS
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config(_PROVIDER, STATE_STORE)
         .config(_CHANGELOG, "true")
+        .config(_MERGE_SESSIONS, "true")
     )
     if master:
         builder = builder.master(master)
@@ -51,16 +52,15 @@ def ship(spark: SparkSession) -> SparkSession:
 def prepare(spark: SparkSession) -> SparkSession:
     """Give a session made elsewhere what the operators need.
 
-    Times are UTC, stream state goes to RocksDB (off the heap, changes only per batch).
-    On a single machine the default number of shuffle partitions, which also is the
-    number of state stores per stateful step, is brought down to its cores.
+    Times are UTC, stream state goes to RocksDB (off the heap, changes only per batch),
+    and sessions of a stream are merged before the shuffle, so that one id cannot flood a task.
+    The number of shuffle partitions, which also is the number of state stores per
+    stateful step, is the caller's to set.
     """
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     spark.conf.set(_PROVIDER, STATE_STORE)
     spark.conf.set(_CHANGELOG, "true")
-    context = spark.sparkContext
-    if context.master.startswith("local") and spark.conf.get("spark.sql.shuffle.partitions") == _DEFAULT_PARTITIONS:
-        spark.conf.set("spark.sql.shuffle.partitions", str(context.defaultParallelism))
+    spark.conf.set(_MERGE_SESSIONS, "true")
     return ship(spark)
 
 
@@ -93,6 +93,13 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     Cuts the lineage and fixes the rows, so that a lost executor cannot make two
     uses of `df` see different values.
     """
-    path = workspace(df.sparkSession, label)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return stage_at(df, workspace(df.sparkSession, label))
+
+
+def stage_at(df: DataFrame, path: str) -> DataFrame:
+    """The same at a path of one's own; a table that was written there in full is kept as it is."""
+    spark = df.sparkSession
+    done = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    if not done.getFileSystem(spark._jsc.hadoopConfiguration()).exists(done):
+        df.write.mode("overwrite").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

@@ -1,15 +1,21 @@
 """Tables that a stream writes batch by batch, several of them as one unit.
 
-Each table keeps a folder per batch and a repeated batch overwrites its own folder.
-A commit marker is written last; readers see only batches up to the last marker.
+Each table keeps a folder per batch. A commit marker, a small file, is written last;
+readers see only batches up to the last marker. A batch that is repeated before its marker
+overwrites its own folders; after it, its rows are visible and stay as they are.
 Batches of one stream are numbered in order and never run at the same time, so the
 last marker vouches for all before it.
 """
 
 from __future__ import annotations
 
+import json
+from typing import Any
+
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+
+from . import files
 
 _COMMITS = "commits"
 
@@ -29,22 +35,23 @@ class BatchStore:
     def put(self, df: DataFrame, table: str, batch_id: int) -> None:
         df.write.mode("overwrite").parquet(self._folder(table, batch_id))
 
-    def commit(self, batch_id: int, **facts: Column) -> None:
-        marker = self.spark.range(1).select(
-            F.lit(batch_id).cast("long").alias("batch"), *[c.alias(n) for n, c in facts.items()]
-        )
-        marker.coalesce(1).write.mode("overwrite").parquet(self._folder(_COMMITS, batch_id))
+    def clear(self, batch_id: int, *tables: str) -> None:
+        """Remove what a try at a batch left that did not reach its marker."""
+        for table in tables:
+            files.delete(self.spark, self._folder(table, batch_id))
 
-    def facts(self, batch_id: int):
-        """The marker of one batch, or None."""
-        try:
-            return self.spark.read.parquet(self._folder(_COMMITS, batch_id)).first()
-        except AnalysisException as e:
-            if not _missing(e):
-                raise
-            return None
+    def _marker(self, batch_id: int) -> str:
+        return f"{self.root}/{_COMMITS}/{batch_id:012d}.json"
 
-    def facts_before(self, batch_id: int):
+    def commit(self, batch_id: int, **facts: Any) -> None:
+        files.publish(self.spark, self._marker(batch_id), json.dumps({"batch": batch_id, **facts}))
+
+    def facts(self, batch_id: int) -> dict[str, Any] | None:
+        """What the marker of a batch says, or None without one."""
+        text = files.read(self.spark, self._marker(batch_id))
+        return json.loads(text) if text else None
+
+    def facts_before(self, batch_id: int) -> dict[str, Any] | None:
         """The marker of the batch before; None only for the first batch."""
         marker = self.facts(batch_id - 1) if batch_id > 0 else None
         if batch_id > 0 and marker is None:
@@ -53,14 +60,8 @@ class BatchStore:
 
     def last_batch(self) -> int:
         """Number of the last committed batch, -1 when there is none."""
-        try:
-            markers = self.spark.read.schema("batch long").parquet(f"{self.root}/{_COMMITS}")
-        except AnalysisException as e:
-            if not _missing(e):
-                raise
-            return -1
-        last = markers.agg(F.max("batch")).first()[0]
-        return -1 if last is None else last
+        markers = [n for n in files.names(self.spark, f"{self.root}/{_COMMITS}") if n.endswith(".json") and n[0] != "."]
+        return int(markers[-1].removesuffix(".json")) if markers else -1
 
     def batch(self, table: str, batch_id: int, schema: T.StructType) -> DataFrame:
         """Rows of one batch; none when the folder does not exist."""

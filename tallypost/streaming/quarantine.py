@@ -12,6 +12,9 @@ GOOD, QUARANTINE = "good", "quarantine"
 
 
 def split_batch(decoded: DataFrame, batch_id: int, store: BatchStore) -> None:
+    """A batch that was split before is left as it is."""
+    if store.facts(batch_id):
+        return
     decoded.persist()
     try:
         good, bad = split_malformed(decoded)

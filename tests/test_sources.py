@@ -50,7 +50,7 @@ def test_change_filters_and_columns_reach_the_scan(spark, tmp_path):
 def test_changes_from_a_topic(spark, tmp_path):
     landed_records(spark, str(tmp_path / "in"), ['{"wal_end":64,"relation":"messages","kind":"insert","id":1,"content":"a"}'])
     records = topic_sources.message_topic(spark, fmt="parquet", path=str(tmp_path / "in"))
-    out = change_sources.changes_from_topic(records)
+    out, _ = change_sources.changes_from_topic(records)
     run_available(append_sink(out, str(tmp_path / "out"), str(tmp_path / "cp")))
     r = read_sink(spark, str(tmp_path / "out"), out).first()
     assert (r["wal_end"], r["kind"], r["id"], r["content"], r["created_at"]) == (64, "insert", 1, "a", None)

@@ -1,11 +1,14 @@
 """Toxicity of texts after undoing what hides words: a noisy channel and a classifier.
 
-1. A character trigram model is counted over all words of the corpus.
-2. Tokens that look disguised (digits or signs among letters, letters one by one with gaps,
-   letters repeated) become lattices of what each sign may stand for. Viterbi decoding under
-   the character model picks the reading, which replaces the token.
-3. The restored text is scored by a logistic model over words and word beginnings, fitted on
-   a sample of at most `SAMPLE` labelled rows.
+1. A character trigram model is counted over all words of the corpus, word by word.
+2. Which words speak for toxicity is learned from a sample of at most `SAMPLE` labelled rows.
+3. A token is a lattice: a sign may stand for some letters, a star for any, a letter may be drawn
+   out, gaps may stand between letters; its plain letters are one path among others. Viterbi
+   decoding under the character model picks the reading. Only tokens with a reading that has a
+   weight need decoding, as any other restored word changes no score; such tokens are found by
+   skeletons, in which all that a channel can confuse is the same.
+4. The restored text is scored by its words' weights: log odds of a word among toxic and other
+   rows, of which a logistic model makes a probability.
 """
 
 from __future__ import annotations
@@ -24,12 +27,12 @@ from .text import LOWER, U, Slice, slices, span_hashes, table, words
 
 SAMPLE = 32768  # labelled rows that the classifier is fitted on, at most
 MOST_FEATURES = 4096
-LEAST_DOCS, LEAST_CHI2 = 5, 30.0
-PREFIXES = (4, 5, 6)
+LEAST_DOCS, LEAST_CHI2 = 4, 30.0
+LONGEST_RUN = 24  # letters of a word that stand one by one
 
 # What a sign may stand for.
 STANDS_FOR = {
-    "0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g",
+    "0": "ou", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g",
     "@": "a", "$": "s", "!": "il", "|": "il", "+": "t", "(": "c", "€": "e",
 }
 _LETTERS = "abcdefghijklmnopqrstuvwxyz"
@@ -40,22 +43,39 @@ _SYMBOL_OF[0x80:] = _OTHER
 _SYMBOL_OF[0x30:0x3A] = _OTHER
 
 _SWAP, _REPEAT = math.log(0.2), math.log(0.3)  # channel: a letter is swapped for a sign, is repeated
-_SIGN = re.escape("".join(STANDS_FOR))
-_DISGUISED = re.compile(
-    rf"(?<![^\s\"'(\[])(?=[^\s]*[a-z])(?:[a-z]*[{_SIGN}]+[a-z{_SIGN}]*[a-z][a-z{_SIGN}]*|[{_SIGN}]+[a-z][a-z{_SIGN}]*)"
-    rf"|(?<![a-z])[a-z]*([a-z])\1\1[a-z]*"
-    rf"|(?<![^\s])[a-z{_SIGN}](?:[ ._*-][a-z{_SIGN}]){{2,}}(?![^\s.,;:!?])"
-)
-# Bytes of which a disguised token has one: signs, or a letter between gaps; found first, as most texts have none.
-_SIGN_BYTE = np.zeros(256, bool)
-_SIGN_BYTE[[ord(c) for c in STANDS_FOR if ord(c) < 128]] = True
-_SIGN_BYTE[0xE2] = True
-_LETTER_BYTE = np.zeros(256, bool)
-_LETTER_BYTE[0x61:0x7B] = True
-_GAP_BYTE = np.zeros(256, bool)
-_GAP_BYTE[[ord(c) for c in " ._*-"]] = True
 
 WORDS = table((0x00, 0x2F), (0x3A, 0x60), (0x7B, 0x7F))
+_BLANK = table((0x20, 0x20), (0x09, 0x0D))
+# Tokens are looked for in three ways: between blanks; between all but letters, digits and the
+# signs in the middle of words; as words.
+_CUTS = (_BLANK, WORDS | np.isin(np.arange(256), [ord(c) for c in "$@"]), WORDS)
+
+
+def _classes() -> np.ndarray:
+    """By byte: the same number for all that may stand for one another, 0 for what is left out."""
+    group = {c: c for c in _LETTERS}
+
+    def root(c: str) -> str:
+        while group[c] != c:
+            c = group[c]
+        return c
+
+    for sign, letters in STANDS_FOR.items():
+        group[sign] = letters[0]
+        for other in letters[1:]:
+            group[root(other)] = root(letters[0])
+    out = np.where(np.arange(256) >= 0x80, np.arange(256), 0).astype(np.uint8)
+    for c in group:
+        if ord(c) < 128:
+            out[ord(c)] = ord(root(c))
+    return out
+
+
+_CLASS = _classes()
+_LETTER_BYTE = np.zeros(256, bool)
+_LETTER_BYTE[0x61:0x7B] = True
+_SIGN_BYTE = np.zeros(256, bool)
+_SIGN_BYTE[[ord(c) for c in STANDS_FOR if ord(c) < 128]] = True
 
 
 class Model(NamedTuple):
@@ -78,33 +98,41 @@ def character_model(counts: np.ndarray) -> Model:
 
 
 def _trigrams(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Trigram counts of all words of a task, two gaps before each word."""
+    """Trigram counts of all words of a task, two gaps before each word and one behind it."""
     total = np.zeros(_SYMBOLS**3, np.int64)
     for b in batches:
         for s in slices(b.column("_text")):
-            symbols = _SYMBOL_OF[LOWER[s.data]]
-            symbols = np.concatenate([[0, 0], symbols, [0]])
-            symbols[2 + s.offsets[1:-1]] *= 1
-            at = (symbols[:-2] * _SYMBOLS + symbols[1:-1]) * _SYMBOLS + symbols[2:]
-            total += np.bincount(at, minlength=_SYMBOLS**3)
+            w = words(s, WORDS)
+            lengths = w.end - w.start
+            # the words one after the other, each behind two gaps
+            inside = WORDS[s.data]
+            at = np.flatnonzero(inside)
+            place = np.arange(len(at)) + 2 * np.repeat(np.arange(1, len(lengths) + 1), lengths)
+            symbols = np.zeros(len(at) + 2 * len(lengths) + 1, np.int32)
+            symbols[place] = _SYMBOL_OF[LOWER[s.data[at]]]
+            grams = (symbols[:-2] * _SYMBOLS + symbols[1:-1]) * _SYMBOLS + symbols[2:]
+            total += np.bincount(grams, minlength=_SYMBOLS**3)
     kept = np.flatnonzero(total)
     yield pa.record_batch([kept.astype(np.int32), total[kept]], names=["gram", "n"])
 
 
 def decode(token: str, model: Model) -> str:
-    """The most likely plain word behind a token, by Viterbi over pairs of letters."""
-    signs = [c for c in token if c not in " ._*-"]
+    """The most likely plain word behind a token, by Viterbi over pairs of letters.
+
+    A token of letters may be its own reading; drawn-out letters compete with doubled ones. A
+    star stands for any letter.
+    """
     # by (letter before last, last letter): the best score, and the letters as a linked list
     best: dict[tuple[int, int], tuple[float, tuple | None]] = {(0, 0): (0.0, None)}
-    for sign in signs:
-        readings = [sign] if sign in _LETTERS else list(STANDS_FOR.get(sign, ""))
+    for sign in token:
+        readings = sign if sign in _LETTERS else _LETTERS if sign == "*" else STANDS_FOR.get(sign, "")
         price = 0.0 if sign in _LETTERS else _SWAP - math.log(max(1, len(readings)))
         following: dict[tuple[int, int], tuple[float, tuple | None]] = {}
         for (a, b), (score, letters) in best.items():
             for letter in readings:
                 c = _LETTERS.index(letter) + 1
                 offers = [((b, c), score + price + model.of(a, b, c), (letters, letter))]
-                if c == b:  # one more of the same: the letter is drawn out
+                if c == b and sign != "*":  # one more of the same: the letter is drawn out
                     offers.append(((a, b), score + price + _REPEAT, letters))
                 for node, offered, path in offers:
                     if node not in following or offered > following[node][0]:
@@ -120,118 +148,214 @@ def decode(token: str, model: Model) -> str:
     return "".join(reversed(out))
 
 
+class _Skeletons(NamedTuple):
+    """Hashes of the skeletons of tokens, and the byte spans of the tokens."""
+
+    hashes: np.ndarray
+    start: np.ndarray
+    end: np.ndarray
+
+
+def skeletons(low: Slice, cut: np.ndarray) -> _Skeletons:
+    """Tokens between the bytes that `cut` leaves out: classes of their letters and signs, runs of one class as one."""
+    tokens = words(low, cut)
+    kind = _CLASS[low.data]
+    euro = np.flatnonzero((low.data[:-2] == 0xE2) & (low.data[1:-1] == 0x82) & (low.data[2:] == 0xAC)) if len(low.data) > 2 else []
+    if len(euro):
+        kind = kind.copy()
+        kind[euro], kind[euro + 1], kind[euro + 2] = ord("e"), 0, 0
+    at = np.flatnonzero((kind > 0) & cut[low.data])
+    token = np.searchsorted(tokens.start, at, "right") - 1
+    kind = kind[at]
+    new = np.ones(len(at), bool)
+    new[1:] = (kind[1:] != kind[:-1]) | (token[1:] != token[:-1])
+    kind, token = kind[new], token[new]
+    first = np.searchsorted(token, np.arange(len(tokens.start) + 1))
+    return _Skeletons(span_hashes(kind, first[:-1], first[1:]), tokens.start, tokens.end)
+
+
+def _one(text: str) -> Slice:
+    raw = LOWER[np.frombuffer(text.encode(), np.uint8)]
+    return Slice(0, raw, np.array([0, len(raw)]))
+
+
 class Restorer:
-    def __init__(self, model: Model):
+    """Finds the tokens of a text that may hide a word of a list, and reads them."""
+
+    def __init__(self, model: Model, known: list[str]):
+        self._known = set(known)
         self._decode = lru_cache(maxsize=1 << 16)(lambda token: decode(token, model))
+        plain = [w for w in known if w and set(w) <= set(_LETTERS)]
+        self._skeletons = np.unique(np.concatenate([skeletons(_one(w), _BLANK).hashes for w in plain])) if plain else np.zeros(0, np.uint64)
+        self._by_length: dict[int, list[str]] = {}
+        for w in plain:
+            self._by_length.setdefault(len(w), []).append(w)
+
+    def _among(self, hashes: np.ndarray) -> np.ndarray:
+        at = np.minimum(np.searchsorted(self._skeletons, hashes), len(self._skeletons) - 1)
+        return np.flatnonzero(self._skeletons[at] == hashes)
+
+    def hidden(self, low: Slice) -> list[tuple[int, int, str]]:
+        """(start, end, reading) of tokens whose reading is a word of the list, and not what stands there."""
+        if not len(self._skeletons) or not len(low.data):
+            return []
+        raw = low.data
+        found: dict[tuple[int, int], str] = {}
+
+        def read(start: int, end: int, stars: str = "") -> None:
+            token = raw[start:end].tobytes().decode(errors="replace")
+            bare = "".join(c for c in token if c in _LETTERS or c in STANDS_FOR or c in stars or ord(c) > 127)
+            if token in self._known:
+                return
+            reading = self._decode(bare)
+            if reading in self._known:
+                found[start, end] = reading
+
+        for cut in _CUTS:
+            s = skeletons(low, cut)
+            for i in self._among(s.hashes).tolist():
+                read(int(s.start[i]), int(s.end[i]))
+        for start, end in self._starred(low):
+            read(start, end, "*")
+        for start, end in self._spread(low):
+            read(start, end)
+        return [(a, e, word) for (a, e), word in sorted(found.items())]
+
+    def _starred(self, low: Slice) -> Iterator[tuple[int, int]]:
+        """Words with stars between letters that a word of the list fits."""
+        star = low.data == ord("*")
+        if not star.any():
+            return
+        letter = _LETTER_BYTE[low.data]
+        w = words(low, WORDS | (np.arange(256) == ord("*")))
+        stars, letters = (np.concatenate([[0], np.cumsum(x)]) for x in (star, letter))
+        some = (stars[w.end] > stars[w.start]) & (letters[w.end] > letters[w.start]) & letter[w.start] & letter[w.end - 1]
+        for i in np.flatnonzero(some).tolist():
+            start, end = int(w.start[i]), int(w.end[i])
+            token = low.data[start:end].tobytes().decode(errors="replace")
+            if any(all(a in ("*", b) for a, b in zip(token, k)) for k in self._by_length.get(len(token), [])):
+                yield start, end
+
+    def _spread(self, low: Slice) -> Iterator[tuple[int, int]]:
+        """Runs of single letters or signs with gaps between them that spell a word of the list."""
+        t = words(low, _BLANK & ~np.isin(np.arange(256), [ord(c) for c in "._-*"]))
+        single = (t.end - t.start == 1) & (_LETTER_BYTE | _SIGN_BYTE)[low.data[t.start]]
+        near = np.zeros(len(single), bool)
+        near[1:] = single[1:] & single[:-1] & (t.start[1:] - t.end[:-1] <= 3)
+        text = t.text_of()
+        near[1:] &= text[1:] == text[:-1]
+        edges = np.flatnonzero(np.diff(np.concatenate([[0], near.view(np.int8), [0]])))
+        for first, last in zip(edges[::2].tolist(), edges[1::2].tolist()):
+            # tokens first - 1 .. last - 1 stand one by one
+            for i in range(first - 1, last):
+                for j in range(i + 2, min(last, i + LONGEST_RUN)):
+                    letters = low.data[t.start[i : j + 1]].tobytes().decode()
+                    if len(self._among(skeletons(_one(letters), _BLANK).hashes)):
+                        yield int(t.start[i]), int(t.end[j])
 
     def text(self, text: str) -> str:
-        """The text in lower case, its disguised tokens replaced by their readings."""
-        return _DISGUISED.sub(lambda m: self._read(m.group()), text)
-
-    def _read(self, token: str) -> str:
-        letters = {c for c in token if c in _LETTERS}
-        gaps = any(c in " ._*-" for c in token)
-        if not letters or (gaps and len(letters) < 2):
-            return token
-        return self._decode(token)
-
-    def slice(self, s: Slice) -> Slice:
-        """The slice in lower case, restored."""
-        low = LOWER[s.data]
-        letter = _LETTER_BYTE[low]
-        suspect = np.zeros(len(low), bool)
-        if len(low) > 4:
-            sign = _SIGN_BYTE[low]
-            near = letter.copy()
-            near[1:] |= letter[:-1]
-            near[:-1] |= letter[1:]
-            suspect |= sign & near
-            suspect[2:] |= letter[2:] & (low[2:] == low[1:-1]) & (low[2:] == low[:-2])
-            gap = _GAP_BYTE[low]
-            suspect[4:] |= (letter | sign)[4:] & gap[3:-1] & (letter | sign)[2:-2] & gap[1:-3] & (letter | sign)[:-4]
-        if not suspect.any():
-            return Slice(s.row, low, s.offsets)
-        hits = np.unique(np.searchsorted(s.offsets, np.flatnonzero(suspect), "right") - 1)
-        raw = low.tobytes()
-        parts, last, lengths = [], 0, np.diff(s.offsets)
-        for i in hits.tolist():
-            a, e = int(s.offsets[i]), int(s.offsets[i + 1])
-            new = self.text(raw[a:e].decode()).encode()
-            parts += [raw[last:a], new]
-            last, lengths[i] = e, len(new)
-        data = b"".join([*parts, raw[last:]])
-        return Slice(s.row, np.frombuffer(data, np.uint8), np.concatenate([[0], np.cumsum(lengths)]))
+        """The text in lower case, hidden words replaced by their readings."""
+        low = _one(text)
+        raw, out, at = low.data.tobytes(), [], 0
+        for start, end, word in self.hidden(low):
+            if start >= at:
+                out += [raw[at:start], word.encode()]
+                at = end
+        return b"".join([*out, raw[at:]]).decode(errors="replace")
 
 
 def features(s: Slice) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of words and of word beginnings, and the text of each."""
+    """Hashes of words, and the text of each."""
     w = words(s, WORDS)
-    text = w.text_of()
-    out, owner = [span_hashes(s.data, w.start, w.end)], [text]
-    for n in PREFIXES:
-        long = np.flatnonzero(w.end - w.start > n)
-        out.append(span_hashes(s.data, w.start[long], w.start[long] + n) ^ U(n))
-        owner.append(text[long])
-    return np.concatenate(out), np.concatenate(owner)
+    return span_hashes(s.data, w.start, w.end), w.text_of()
 
 
-def _feature_rows(model: Model):
+def _feature_rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Distinct words of each text, by hash, and how many words it has."""
+    for b in batches:
+        toxic = b.column("toxic")
+        for s in slices(b.column("_text")):
+            low = Slice(s.row, LOWER[s.data], s.offsets)
+            hashes, owner = features(low)
+            size = np.bincount(owner, minlength=s.n)
+            order = np.lexsort((hashes, owner))
+            hashes, owner = hashes[order], owner[order]
+            first = np.ones(len(hashes), bool)
+            first[1:] = (hashes[1:] != hashes[:-1]) | (owner[1:] != owner[:-1])
+            hashes, owner = hashes[first], owner[first]
+            bounds = np.searchsorted(owner, np.arange(s.n + 1))
+            yield pa.record_batch(
+                [toxic.slice(s.row, s.n), pa.array(size.astype(np.int64)),
+                 pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(hashes.view(np.int64)))],
+                names=["toxic", "size", "features"],
+            )
+
+
+def _words_of(known: np.ndarray):
+    """The words that have one of the known hashes."""
+
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        restorer = Restorer(model)
         for b in batches:
-            toxic = b.column("toxic")
             for s in slices(b.column("_text")):
-                hashes, owner = features(restorer.slice(s))
-                order = np.lexsort((hashes, owner))
-                hashes, owner = hashes[order], owner[order]
-                first = np.ones(len(hashes), bool)
-                first[1:] = (hashes[1:] != hashes[:-1]) | (owner[1:] != owner[:-1])
-                hashes, owner = hashes[first], owner[first]
-                bounds = np.searchsorted(owner, np.arange(s.n + 1))
-                yield pa.record_batch(
-                    [toxic.slice(s.row, s.n), pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(hashes.view(np.int64)))],
-                    names=["toxic", "features"],
-                )
+                low = LOWER[s.data]
+                w = words(Slice(s.row, low, s.offsets), WORDS)
+                h = span_hashes(low, w.start, w.end)
+                at = np.minimum(np.searchsorted(known, h), len(known) - 1)
+                hit = np.flatnonzero(known[at] == h)
+                _, first = np.unique(h[hit], return_index=True)
+                raw = low.tobytes()
+                texts = [raw[w.start[i] : w.end[i]].decode(errors="replace") for i in hit[first].tolist()]
+                yield pa.record_batch([pa.array(h[hit][first].view(np.int64)), pa.array(texts, pa.string())], names=["f", "word"])
 
     return run
 
 
 class Classifier(NamedTuple):
     known: np.ndarray  # sorted hashes
+    words: list[str]  # in the same order
     weights: np.ndarray
+    slope: float  # of the sum of weights
+    by_size: float  # of log(1 + number of words)
     bias: float
 
-    def scores(self, s: Slice) -> np.ndarray:
-        total = np.full(s.n, self.bias)
+    def scores(self, s: Slice, restorer: Restorer) -> np.ndarray:
+        """Each word counts once per text, plain or hidden."""
+        low = Slice(s.row, LOWER[s.data], s.offsets)
+        hashes, owner = features(low)
+        size = np.bincount(owner, minlength=s.n)
+        total = np.zeros(s.n)
         if len(self.known):
-            hashes, owner = features(s)
             at = np.minimum(np.searchsorted(self.known, hashes), len(self.known) - 1)
             hit = np.flatnonzero(self.known[at] == hashes)
-            # each feature once per text
-            pair = np.unique(owner[hit].astype(np.int64) * len(self.known) + at[hit])
+            numbers, owners = at[hit], owner[hit]
+            hidden = restorer.hidden(low)
+            if hidden:
+                place = {w: i for i, w in enumerate(self.words)}
+                numbers = np.concatenate([numbers, [place[word] for _, _, word in hidden]])
+                owners = np.concatenate([owners, np.searchsorted(low.offsets, [a for a, _, _ in hidden], "right") - 1])
+            pair = np.unique(owners.astype(np.int64) * len(self.known) + numbers.astype(np.int64))
             np.add.at(total, pair // len(self.known), self.weights[pair % len(self.known)])
-        return 1 / (1 + np.exp(-np.clip(total, -40, 40)))
-
-
-def fit(rows: list[tuple[int, list[int]]], n_features: int, rounds: int = 2000, ridge: float = 1e-5) -> tuple[np.ndarray, float]:
-    """Logistic regression on (label, feature numbers) by accelerated gradient steps."""
-    y = np.array([r[0] for r in rows], float)
-    owner = np.repeat(np.arange(len(rows)), [len(r[1]) for r in rows])
-    column = np.array([c for r in rows for c in r[1]], np.int64)
-    widest = max((len(r[1]) for r in rows), default=0) + 1
-    step = 4.0 * len(y) / max(1, len(y) / 4 * min(widest, 16))
-    w, b = np.zeros(n_features), float(np.log((y.mean() + 1e-6) / (1 - y.mean() + 1e-6)))
-    look_w, look_b, t = w.copy(), b, 1.0
-    for _ in range(rounds):
-        margin = np.bincount(owner, look_w[column], len(y)) + look_b
-        error = 1 / (1 + np.exp(-margin)) - y
-        grad = np.bincount(column, error[owner], n_features) / len(y) + ridge * look_w
-        new_w, new_b = look_w - step * grad, look_b - step * error.mean()
-        t_new = (1 + math.sqrt(1 + 4 * t * t)) / 2
-        look_w = new_w + (t - 1) / t_new * (new_w - w)
-        look_b = new_b + (t - 1) / t_new * (new_b - b)
-        w, b, t = new_w, new_b, t_new
-    return w, b
+        margin = self.slope * total + self.by_size * np.log1p(size) + self.bias
+        return 1 / (1 + np.exp(-np.clip(margin, -40, 40)))
+
+
+def fit(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3) -> np.ndarray:
+    """Coefficients of a logistic model and its constant, by Newton's method."""
+    x = np.c_[x, np.ones(len(x))]
+    w, penalty = np.zeros(x.shape[1]), ridge * np.r_[np.ones(x.shape[1] - 1), 0]
+    for _ in range(100):
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -40, 40)))
+        hessian = (x * (p * (1 - p) + 1e-9)[:, None]).T @ x + np.diag(penalty + 1e-9)
+        step = np.linalg.solve(hessian, x.T @ (p - y) + penalty * w)
+        w -= step
+        if np.abs(step).max() < 1e-8:
+            break
+    return w
+
+
+def word_weight(toxic: np.ndarray, other: np.ndarray, p: float, n: float) -> np.ndarray:
+    """Log odds of a word in toxic rows against other rows; never below 0."""
+    return np.maximum(0, np.log((toxic + 0.5) / (p + 1) / ((other + 0.5) / (n - p + 1))))
 
 
 def _known_numbers(known: np.ndarray):
@@ -242,7 +366,9 @@ def _known_numbers(known: np.ndarray):
                 h = x.values.to_numpy().view(np.uint64)
                 at = np.minimum(np.searchsorted(known, h), len(known) - 1)
                 out.append(at[known[at] == h].astype(np.int64))
-            yield pa.record_batch([b.column("toxic"), pa.array(out, pa.list_(pa.int64()))], names=["toxic", "numbers"])
+            yield pa.record_batch(
+                [b.column("toxic"), b.column("size"), pa.array(out, pa.list_(pa.int64()))], names=["toxic", "size", "numbers"]
+            )
 
     return run
 
@@ -262,15 +388,16 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_
 
     marked = labels.select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("toxic"))
     marked = marked.where(F.col("_id").isNotNull() & F.col("toxic").isin(0, 1) & ~held_out(F.col("_id")))
-    chosen = marked.orderBy(F.xxhash64("_id"), "_id", "toxic").limit(sample)
-    # `sample` pairs of numbers at most
-    seen = written(
-        texts.join(F.broadcast(chosen), "_id").select("toxic", "_text")
-        .mapInArrow(_feature_rows(model), "toxic int, features array<long>"), "toxic-features",
+    # an id that is marked again is the same label
+    chosen = marked.distinct().orderBy(F.xxhash64("_id"), "_id", "toxic").limit(sample)
+    # `sample` pairs of numbers at most; and as many rows of documents, whatever ids repeat there
+    rows = written(
+        texts.join(F.broadcast(chosen), "_id").select("toxic", "_text").orderBy(F.xxhash64("_text"), "toxic").limit(sample), "toxic-sample"
     )
+    seen = written(rows.mapInArrow(_feature_rows, "toxic int, size long, features array<long>"), "toxic-features")
     totals = seen.agg(F.count("*").alias("n"), F.coalesce(F.sum("toxic"), F.lit(0)).alias("p")).first()
     n, p = float(totals["n"]), float(totals["p"])
-    empty = Classifier(np.zeros(0, np.uint64), np.zeros(0), -40.0)
+    empty = Classifier(np.zeros(0, np.uint64), [], np.zeros(0), 0.0, 0.0, -40.0)
     if p == 0:
         return model, empty
     if p == n:
@@ -282,23 +409,32 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_
     variance = expected * (1 - p / n) * (1 - F.col("df") / n)
     chi2 = (F.col("tf") - expected) ** 2 / F.when(variance > 0, variance)
     best = (
-        by_feature.where(F.col("df") >= LEAST_DOCS).withColumn("chi2", chi2).where(F.col("chi2") >= LEAST_CHI2)
-        .orderBy(F.col("chi2").desc(), "f").limit(MOST_FEATURES).select("f").collect()
+        by_feature.where((F.col("tf") >= LEAST_DOCS) & (F.col("tf") > expected)).withColumn("chi2", chi2).where(F.col("chi2") >= LEAST_CHI2)
+        .orderBy(F.col("chi2").desc(), "f").limit(MOST_FEATURES).select("f", "df", "tf").collect()
     )
-    known = np.sort(np.array([r["f"] for r in best], np.int64).view(np.uint64))
-    if not len(known):
+    if not best:
         return model, empty._replace(bias=math.log(p / (n - p)))
-    rows = [(r["toxic"], r["numbers"]) for r in seen.mapInArrow(_known_numbers(known), "toxic int, numbers array<long>").collect()]
+    best.sort(key=lambda r: r["f"] % (1 << 64))
+    known = np.array([r["f"] for r in best], np.int64).view(np.uint64)
+    toxic, other = (np.array(x, float) for x in zip(*((r["tf"], r["df"] - r["tf"]) for r in best)))
+    spelled = {r["f"]: r["word"] for r in rows.select("_text").mapInArrow(_words_of(known), "f long, word string").groupBy("f").agg(F.min("word").alias("word")).collect()}
+    # of each row the numbers of its known words
+    marks = seen.mapInArrow(_known_numbers(known), "toxic int, size long, numbers array<long>").orderBy("toxic", "size", "numbers").collect()
     dropped(seen)
-    weights, bias = fit(rows, len(known))
-    return model, Classifier(known, weights, bias)
+    dropped(rows)
+    # a row does not testify for itself: its words weigh what they do without it
+    without = {y: word_weight(toxic - y, other - (1 - y), p - y, n - 1) for y in (0, 1)}
+    x = np.array([(without[r["toxic"]][r["numbers"]].sum(), math.log1p(r["size"])) for r in marks])
+    slope, by_size, bias = fit(x, np.array([r["toxic"] for r in marks], float))
+    names = [spelled.get(r["f"], "") for r in best]
+    return model, Classifier(known, names, word_weight(toxic, other, p, n), float(slope), float(by_size), float(bias))
 
 
 def _scored(model: Model, classifier: Classifier):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        restorer = Restorer(model)
+        restorer = Restorer(model, classifier.words)
         for b in batches:
-            scores = [classifier.scores(restorer.slice(s)) for s in slices(b.column("_text"))]
+            scores = [classifier.scores(s, restorer) for s in slices(b.column("_text"))]
             out = pa.array(np.concatenate(scores) if scores else np.zeros(0))
             yield pa.RecordBatch.from_arrays([*b.columns, out], names=[*b.schema.names, "score"])
 
@@ -313,8 +449,9 @@ def score_toxicity(
 
     `labels` marks some ids as toxic (1) or not (0); ids whose crc32, as text, is divisible
     by five are held out and never learned from. Null and empty texts get the score of no
-    evidence. Rows with one id are scored each for itself and learned from each; a label
-    without a row, or null, teaches nothing. Without toxic labels every score is near 0. The
+    evidence. Rows with one id are scored each for itself and learned from each; an id with
+    both labels is learned as both; a label without a row, or null, teaches nothing. Without
+    toxic labels every score is near 0. Very long texts are scored whole. The
     added columns replace input columns of the same name.
     """
     prepared(docs.sparkSession)

@@ -1,15 +1,21 @@
 """Token counts of whole texts; huge ones by overlapping chunks.
 
-A text of more than `chunk` bytes is encoded in chunks that overlap by `overlap` bytes. Two
-neighbours are spliced at a boundary that both have: a unit that begins after a blank inside
-both chunks, from where their counts agree up to the end of the overlap. A blank always ends
-a piece of the pre-tokenizer, so from there on both encode alike. Where no such boundary
-lies in the overlap, it is doubled until there is one or the text ends.
+A text of more than `chunk` bytes is encoded by the library in chunks, with the place of every
+id. The next chunk begins at an id boundary of the one before, `overlap` characters ahead of
+its end. The two are spliced where both have the same ids at the same places for a run of
+`RUN` ids that keeps clear of the left chunk's end.
+
+Why such a boundary is stable: byte-pair merging gives a list of ids for a piece exactly if it
+gives each two neighbours of it for their own text. Up to the splice the neighbours are the
+left chunk's, behind it the right chunk's, and the two at the splice stand side by side in
+the left chunk, as both go on with the same id. What a cut did to the right chunk's first
+and the left chunk's last ids lies outside the run. Where no run is found, the overlap is
+doubled, up to the whole chunk, and then the left chunk grows.
 """
 
 from __future__ import annotations
 
-from typing import Iterable, Iterator
+from typing import Iterable, Iterator, NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -20,70 +26,75 @@ from .text import Slice, slices
 from .tokens import WORD_BPE, Encoder, encoder, tokenizer_path, word_units
 
 CHUNK, OVERLAP, LIMIT = 1 << 15, 1 << 10, 2048
-
-
-def _character_start(data: np.ndarray, at: int) -> int:
-    while 0 < at < len(data) and (data[at] & 0xC0) == 0x80:
-        at -= 1
-    return at
-
-
-def _encoded(model: Encoder, data: np.ndarray, low: int, high: int) -> tuple[np.ndarray, np.ndarray]:
-    """Where the units of data[low:high] begin, and their counts."""
-    piece = Slice(0, data[low:high], np.array([0, high - low]))
-    units = word_units(piece)
-    return units.start + low, model.counts(piece, units)
-
-
-def _splice(left, right, low: int, high: int, end: int) -> int | None:
-    """The first boundary in (low, high) from where both chunks agree; None if there is none.
-
-    `low` is where the right chunk begins and `high` where the left one ends: a unit that
-    begins at `low` may have lost its head, and the left one's last unit its tail.
-    """
-    (a, a_counts), (b, b_counts) = left, right
-    whole = len(a) if high == end else len(a) - 1
-    common = np.intersect1d(a[:whole], b, assume_unique=True)
-    common = common[common > low]
-    for at in common:
-        i, j = int(np.searchsorted(a, at)), int(np.searchsorted(b, at))
-        n = whole - i
-        if np.array_equal(a[i:whole], b[j : j + n]) and np.array_equal(a_counts[i:whole], b_counts[j : j + n]):
-            return int(at)
+RUN = 8
+
+
+class Chunk(NamedTuple):
+    """Ids of text[low:high] and the places of each, in characters of the text."""
+
+    low: int
+    high: int
+    ids: np.ndarray
+    start: np.ndarray
+    end: np.ndarray
+
+    def clean(self) -> np.ndarray:
+        """Ids that begin where the one before has ended: bytes of one character share its place."""
+        out = np.ones(len(self.ids), bool)
+        out[1:] = (self.start[1:] >= self.end[:-1]) & (self.start[1:] > self.start[:-1])
+        return np.flatnonzero(out)
+
+
+def encoded(model: Encoder, text: str, low: int, high: int) -> Chunk:
+    got = model.encode(text[low:high])
+    places = np.array(got.offsets, np.int64).reshape(-1, 2) + low
+    return Chunk(low, high, np.array(got.ids, np.int64), places[:, 0], places[:, 1])
+
+
+def splice(left: Chunk, right: Chunk, end: int) -> tuple[int, int] | None:
+    """Numbers of the ids, in the left and in the right chunk, at the first stable boundary."""
+    clean = left.clean()
+    last = len(left.ids) if left.high == end else len(left.ids) - 1
+    for i in clean[left.start[clean] >= right.low].tolist():
+        if i + RUN > last:
+            return None
+        j = int(np.searchsorted(right.start, left.start[i]))
+        if j + RUN > len(right.ids):
+            return None
+        same = (
+            np.array_equal(left.ids[i : i + RUN], right.ids[j : j + RUN])
+            and np.array_equal(left.start[i : i + RUN], right.start[j : j + RUN])
+            and np.array_equal(left.end[i : i + RUN], right.end[j : j + RUN])
+        )
+        if same:
+            return i, j
     return None
 
 
-def huge_count(model: Encoder, data: np.ndarray, chunk: int, overlap: int) -> int:
+def huge_count(model: Encoder, text: str, chunk: int = CHUNK, overlap: int = OVERLAP) -> int:
     """Ids of one text, holding the encoding of two chunks at most."""
-    end, total, low = len(data), 0, 0
-    begin = 0  # from where the current chunk counts
-    current = None
-    while True:
-        high = min(end, low + chunk + overlap)
-        high = end if high >= end else _character_start(data, high)
-        if current is None:
-            current = _encoded(model, data, low, high)
-        if high == end:
-            return total + int(current[1][current[0] >= begin].sum())
-        width = overlap
-        while True:
-            after = _character_start(data, max(low, high - width))
-            stop = min(end, after + chunk + overlap)
-            stop = end if stop >= end else _character_start(data, stop)
-            following = _encoded(model, data, after, stop)
-            at = _splice(current, following, max(after, begin - 1), high, end)
-            if at is not None:
-                break
-            # widen: the left chunk grows to the right
-            width *= 2
-            high = min(end, high + width)
-            high = end if high >= end else _character_start(data, high)
-            current = _encoded(model, data, low, high)
-            if high == end:
-                return total + int(current[1][current[0] >= begin].sum())
-        mine = (current[0] >= begin) & (current[0] < at)
-        total += int(current[1][mine].sum())
-        begin, low, current = at, after, following
+    end, total = len(text), 0
+    left, begin = encoded(model, text, 0, min(end, chunk + overlap)), 0
+    while left.high < end:
+        width, found = overlap, None
+        while found is None and left.high < end:
+            clean = left.clean()
+            ahead = clean[(left.start[clean] <= left.high - width) & (clean >= begin)]
+            low = int(left.start[ahead[-1]] if len(ahead) else left.start[begin] if begin < len(left.ids) else left.high)
+            if low > left.low:
+                right = encoded(model, text, low, min(end, low + chunk + overlap))
+                found = splice(left, right, end) if right.high > left.high else None
+            if found is None and width < left.high - left.low:
+                width *= 2
+            elif found is None:  # the whole chunk does not do: it grows to the right
+                at = left.start[begin] if begin < len(left.ids) else left.high
+                left = encoded(model, text, left.low, min(end, left.high + 2 * (left.high - left.low)))
+                begin, width = int(np.searchsorted(left.start, at)), overlap
+        if found is None:
+            break
+        total += found[0] - begin
+        left, begin = right, found[1]
+    return total + len(left.ids) - begin
 
 
 def _counted(path: str, chunk: int, overlap: int):
@@ -93,17 +104,13 @@ def _counted(path: str, chunk: int, overlap: int):
             sizes, counts = [], []
             for s in slices(b.column("_text")):
                 lengths = np.diff(s.offsets)
-                if s.n == 1 and lengths[0] > chunk:
-                    n = np.array([huge_count(model, s.data, chunk, overlap)])
-                else:
-                    n = np.zeros(s.n, np.int64)
-                    huge = lengths > chunk
-                    small = _without(s, huge)
-                    units = word_units(small)
-                    sums = np.concatenate([[0], np.cumsum(model.counts(small, units))])[units.first]
-                    n[:] = np.diff(sums)
-                    for i in np.flatnonzero(huge):
-                        n[i] = huge_count(model, s.data[s.offsets[i] : s.offsets[i + 1]], chunk, overlap)
+                huge = lengths > chunk
+                small = _without(s, huge)
+                units = word_units(small)
+                n = np.diff(np.concatenate([[0], np.cumsum(model.counts(small, units))])[units.first])
+                for i in np.flatnonzero(huge):
+                    text = s.data[s.offsets[i] : s.offsets[i + 1]].tobytes().decode(errors="replace")
+                    n[i] = huge_count(model, text, chunk, overlap)
                 sizes.append(lengths)
                 counts.append(n)
             more = [np.concatenate(x) if x else np.zeros(0, np.int64) for x in (sizes, counts)]

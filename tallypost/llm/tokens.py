@@ -86,6 +86,10 @@ class Encoder:
                 return form
         return lambda unit: None
 
+    def encode(self, text: str):
+        """The library's own encoding, with the place of every id."""
+        return self._tokenizer.encode(text, add_special_tokens=False)
+
     def _model_ids(self, piece: str) -> list[int]:
         return [t.id for t in self._tokenizer.model.tokenize(piece)]
 

@@ -1,12 +1,16 @@
-"""Quality rules whose cutoffs keep false rejections under control, in DataFrame functions only.
-
-Each rule rejects a document when a ratio of its counts is above a cutoff. Cutoffs come from
-a fixed grid and are tested on labelled good documents, per stratum: a cutoff holds if so few
-of them are above it that a false rejection rate over `alpha` is excluded by the exact
-binomial tail at level `delta`, divided by the number of all tests made (Bonferroni). A rule
-takes the lowest cutoff that holds together with all above it; without one it rejects nothing
-in that stratum. So with probability 1 - delta no rule rejects more than `alpha` of the good
-documents of any stratum.
+"""Quality rules whose verdict keeps false rejections under control, in DataFrame functions only.
+
+Each rule rejects a document when a ratio of its counts is above a cutoff. The cutoffs of all
+rules are tightened one after the other in a fixed order of steps, so every step is one
+verdict, and it rejects all that the steps before it reject. Per stratum the steps are tested
+in that order on labelled good documents: a step holds if so few of them are rejected that a
+false rejection rate over `alpha` is excluded by the exact binomial tail at level `delta`
+divided by the number of strata. The last step that holds is taken; without one the rules
+reject nothing in that stratum. Testing in a fixed order up to the first failure needs no
+division by the number of steps. So with probability 1 - delta the verdict rejects no more
+than `alpha` of the good documents of any stratum, all rules together.
+
+Trials are distinct texts: copies are no independent evidence. Near copies still count each.
 """
 
 from __future__ import annotations
@@ -15,7 +19,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .staging import written
 
-ALPHA, DELTA = 0.005, 0.05
+ALPHA, DELTA = 0.02, 0.05
 SYMBOLS = "#*$%&|<>"
 BLANKS = " \t\n\u000b\f\r"
 CAPITALS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -109,26 +113,50 @@ def _ratio(rule: str) -> Column:
     return F.when(F.col(below) > 0, F.col(above) / F.col(below)).otherwise(0.0)
 
 
-def risk_controlled_cutoffs(good: DataFrame, stratum_col: str, alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
-    """(stratum, rule, cutoff, n_good, n_above) of the rules that hold, from counts of good documents."""
-    counts = good.groupBy(F.coalesce(F.col(stratum_col), F.lit("")).alias("stratum")).agg(
-        F.count("*").alias("n"),
-        *[F.count_if(_ratio(r) > c).alias(f"{r}_{i}") for r, (_, _, grid) in RULES.items() for i, c in enumerate(grid)],
+def first_steps() -> dict[str, Column]:
+    """For each rule the first step at which it rejects, null if it never does.
+
+    Step 0 sets the first rule to the highest cutoff of its grid, the next steps the others;
+    then each rule in turn goes to its second cutoff, and so on.
+    """
+    out = {}
+    for place, (rule, (_, _, grid)) in enumerate(RULES.items()):
+        reached = F.lit(None).cast("int")
+        for level in reversed(range(len(grid))):
+            reached = F.when(_ratio(rule) > grid[level], F.lit(level * len(RULES) + place)).otherwise(reached)
+        out[rule] = reached
+    return out
+
+
+def controlled_steps(
+    good: DataFrame, stratum_col: str, step_col: str, text_col: str, alpha: float = ALPHA, delta: float = DELTA,
+    strata: int | None = None,
+) -> DataFrame:
+    """(stratum, step, n_good, n_rejected): the last step that holds in each stratum that has one.
+
+    `good` has a row per good document: its stratum, the first step that rejects it (null: none),
+    and what tells its text from others. `strata` is the number of tests, by default all strata.
+    """
+    texts = good.groupBy(F.coalesce(F.col(stratum_col), F.lit("")).alias("stratum"), F.col(text_col).alias("_text")).agg(
+        F.min(step_col).alias("step")
+    )
+    # rows per stratum: one per step at most
+    cells = texts.groupBy("stratum", "step").agg(F.count("*").alias("n"))
+    whole = Window.partitionBy("stratum")
+    upto = whole.orderBy("step").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    known = cells.groupBy("stratum").agg(F.sum("n").alias("n_good")).withColumn(
+        "tests", F.count("*").over(Window.partitionBy()) if strata is None else F.lit(strata)
     )
-    cells = counts.select("stratum", "n", F.explode(F.array(*[
-        F.struct(F.lit(r).alias("rule"), F.lit(i).alias("step"), F.lit(c).alias("cutoff"), F.col(f"{r}_{i}").alias("above"))
-        for r, (_, _, grid) in RULES.items() for i, c in enumerate(grid)
-    ])).alias("cell")).select("stratum", "n", "cell.*").withColumn("tests", F.count("*").over(Window.partitionBy()))
-    tested = cells.withColumn("holds", binomial_tail(F.col("above"), F.col("n"), alpha) * F.col("tests") <= delta)
-    first_fail = tested.groupBy("stratum", "rule").agg(
-        F.min(F.when(~F.col("holds"), F.col("step"))).alias("fails"), F.max("n").alias("n_good"),
-        F.collect_list(F.struct("step", "cutoff", "above")).alias("cells"),
+    # every step of every stratum, rejecting or not
+    last = len(RULES) * max(len(grid) for _, _, grid in RULES.values()) - 1
+    steps = known.withColumn("step", F.explode(F.sequence(F.lit(0), F.lit(last))))
+    rejected = steps.join(cells.where("step is not null"), ["stratum", "step"], "left").withColumn(
+        "n_rejected", F.coalesce(F.sum("n").over(upto), F.lit(0))
     )
-    best = F.get(F.filter("cells", lambda x: x["step"] == F.coalesce(F.col("fails"), F.lit(1 << 30)) - 1), F.lit(0))
-    last = F.get(F.reverse(F.sort_array("cells")), F.lit(0))
-    chosen = F.when(F.col("fails").isNull(), last).otherwise(best)
-    return first_fail.withColumn("c", chosen).where("c is not null").select(
-        "stratum", "rule", F.col("c.cutoff").alias("cutoff"), "n_good", F.col("c.above").alias("n_above")
+    # the tail only grows with the step: what holds, holds with all before it
+    held = rejected.where(binomial_tail(F.col("n_rejected"), F.col("n_good"), alpha) * F.col("tests") <= delta)
+    return held.groupBy("stratum").agg(
+        F.max("step").alias("step"), F.max("n_good").alias("n_good"), F.max_by("n_rejected", "step").alias("n_rejected")
     )
 
 
@@ -140,27 +168,28 @@ def quality_rules(
 
     `labels` says by id which documents are good (1). Base: fewer than 10 words, or more
     than a fifth of the words in repeated runs of five. `kept` is false if base fails or a
-    rule rejects. Null and empty texts have no words and fail. Rows without id are judged but
-    teach nothing; a label that occurs twice counts once if any says good, and repeated rows
-    count each. A null stratum is one of its own (with the empty one). Empty labels give no
-    cutoffs: base alone decides. The added columns replace input columns of the same name.
+    rule rejects; of the good documents of a stratum, rules reject no more than `alpha` with
+    probability 1 - `delta` over all strata. Null and empty texts have no words and fail. Rows
+    without id are judged but teach nothing; a label that occurs twice counts once if any says
+    good; rows of one text in one stratum count once. A null stratum is one of its own (with the
+    empty one). Empty labels, or too few for any certainty, give no rules: base alone decides.
+    The added columns replace input columns of the same name.
     """
     added = ["n_words", "word_chars", "n_symbols", "n_capitals", "n_lines", "n_dup_lines", "n_repeat_words",
              "base_failed", "kept", "failed_rules"]
-    counts = written(document_counts(docs.drop(*added), text_col).drop(text_col), "document-counts")
+    counted = document_counts(docs.drop(*added), text_col).withColumn("_text", F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
+    steps = first_steps()
+    counted = counted.withColumns({f"_{r}": step for r, step in steps.items()})
+    counts = written(counted.drop(text_col), "document-counts")
     good = labels.groupBy(F.col(id_col).alias("_good_id")).agg(F.max(quality_col).alias("_good")).where("_good = 1")
-    known = counts.join(good, F.col(id_col) == F.col("_good_id"))
-    cutoffs = risk_controlled_cutoffs(known, stratum_col, alpha, delta)
-    # one entry per stratum and rule that holds: each needs many labelled documents
-    table = cutoffs.agg(F.map_from_entries(F.collect_list(
-        F.struct(F.concat_ws("\u0000", "rule", "stratum").alias("key"), F.col("cutoff"))
-    ))).scalar()
-    stratum = F.coalesce(F.col(stratum_col), F.lit(""))
-    counts = counts.withColumn("_cutoffs", table)
-    failed = F.filter(F.array(*[
-        F.when(_ratio(r) > F.try_element_at("_cutoffs", F.concat_ws("\u0000", F.lit(r), stratum)), F.lit(r)) for r in RULES
-    ]), lambda x: x.isNotNull())
+    known = counts.join(good, F.col(id_col) == F.col("_good_id")).withColumn("_step", F.least(*[F.col(f"_{r}") for r in steps]))
+    held = controlled_steps(known, stratum_col, "_step", "_text", alpha, delta)
+    # one entry per stratum in which a step holds: each needs many labelled documents
+    table = held.agg(F.map_from_entries(F.collect_list(F.struct("stratum", "step")))).scalar()
+    upto = F.try_element_at("_steps", F.coalesce(F.col(stratum_col), F.lit("")))
+    counts = counts.withColumn("_steps", table).withColumn("_upto", upto)
+    failed = F.filter(F.array(*[F.when(F.col(f"_{r}") <= F.col("_upto"), F.lit(r)) for r in steps]), lambda x: x.isNotNull())
     base = (F.col("n_words") < 10) | (F.col("n_repeat_words") * 100 > F.col("n_words") * 20)
     return counts.withColumns({"base_failed": base, "failed_rules": failed}).withColumn(
         "kept", ~F.col("base_failed") & (F.size("failed_rules") == 0)
-    ).drop("_cutoffs")
+    ).drop("_steps", "_upto", "_text", *[f"_{r}" for r in steps])

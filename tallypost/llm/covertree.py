@@ -1,13 +1,14 @@
 """Exact near-duplicate pairs of embeddings by a dual traversal of cover trees.
 
-Cosine similarity t is distance sqrt(2 - 2t) between unit vectors. The top of the tree is a
-farthest-first order of centres from a bounded sample: each prefix is a net, nested in the
-longer ones. A label uses as many centres as it has blocks of `BLOCK` vectors; its cells are
-cut into blocks of bounded size by a hash, and two blocks meet only if their centres are not
-further apart than both covering radii and the distance sought. Inside a task each block
-becomes nested nets of halving radii down to the vectors; node pairs are compared level by
-level, and only the children of pairs within both radii and the distance go on. Whatever is
-pruned cannot link, so the pairs found are all there are.
+Cosine similarity t is distance sqrt(2 - 2t) between unit vectors. All vectors of a label and a
+number of components are the root of a tree. A node of more than `BLOCK` vectors is split: a
+farthest-first order of a bounded sample of it gives centres, each vector goes to the nearest
+one, and the farthest vector of a centre is its covering radius; so it goes on, level by level,
+with one join per level, until nodes are small. The same levels are traversed in pairs: the
+children of two nodes meet only if their centres are not further apart than both covering radii
+and the distance sought. Inside a task two small nodes become nested nets of halving radii down
+to the vectors, and node pairs are compared the same way. Whatever is pruned cannot link, so
+the pairs found are all there are.
 """
 
 from __future__ import annotations
@@ -17,15 +18,17 @@ from typing import Iterable, Iterator, NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from .components import components
-from .staging import prepared, written
+from .staging import dropped, prepared, written
 
 THRESHOLD = 0.98
 BLOCK = 1024
-SAMPLE = 2048  # vectors that centres are chosen from, at most
-MOST_CENTRES = 256
+SAMPLE = 1000  # vectors of a node that its centres are chosen from, at most
+FAN = 64  # children of a node, at most
+SALTS = 64  # tasks that the vectors of one node may be spread over while it is split
+MOST_LEVELS = 60
 _SLACK = 1e-7
 
 
@@ -107,28 +110,66 @@ def _unit(vectors: pa.Array, dim: int) -> np.ndarray:
     return v / np.sqrt(np.einsum("ij,ij->i", v, v))[:, None]
 
 
-def _cells(centres: dict[int, np.ndarray]):
-    """Add to each class the cell it lies in and its distance to the centre."""
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            dims, use = b.column("dim").to_numpy(), b.column("cells").to_numpy()
-            cell, away = np.zeros(b.num_rows, np.int32), np.zeros(b.num_rows)
-            for dim in np.unique(dims):
-                rows = np.flatnonzero(dims == dim)
-                points = _unit(b.column("vector").take(pa.array(rows)), int(dim))
-                c = centres[int(dim)]
-                d = _distances(points, c)
-                d[np.arange(len(c))[None, :] >= use[rows][:, None]] = np.inf
-                d[:, 0] = np.where(np.isinf(d[:, 0]), _distances(points, c[:1])[:, 0], d[:, 0])
-                cell[rows], away[rows] = d.argmin(axis=1), d.min(axis=1)
-            yield pa.RecordBatch.from_arrays(
-                [*b.columns, pa.array(cell), pa.array(away)], names=[*b.schema.names, "cell", "away"]
-            )
+def _centres(block: int):
+    """Of a sample of a node, the centres of its children, as one row."""
+
+    def run(t: pa.Table) -> pa.Table:
+        t = t.combine_chunks()
+        dim, n = int(t.column("dim")[0].as_py()), int(t.column("n")[0].as_py())
+        points = _unit(t.column("vector").chunk(0), dim)
+        chosen = points[farthest_first(points, min(FAN, 2 * -(-n // block)))]
+        return pa.table({
+            "node": t.column("node").slice(0, 1), "dim": pa.array([dim], pa.int32()), "fan": pa.array([len(chosen)], pa.int32()),
+            "centres": pa.array([chosen.tobytes()], pa.binary()),
+        })
 
     return run
 
 
+def _children(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The vectors, those of split nodes in the child with the nearest centre.
+
+    Rows come in order of (node, salt); the centres of a node, if it is split, before its vectors.
+    """
+    held: tuple[str, int, np.ndarray | None] | None = None
+    names = ["id", "copies", "dim", "vector", "node", "away"]
+    for b in batches:
+        nodes, salts = b.column("node").to_pylist(), b.column("salt").to_numpy()
+        is_vector = b.column("centres").is_null().to_numpy(zero_copy_only=False)
+        away = b.column("away").fill_null(0.0).to_numpy().copy()
+        edges = [0, *(i for i in range(1, len(nodes)) if nodes[i] != nodes[i - 1] or salts[i] != salts[i - 1]), len(nodes)]
+        for low, high in zip(edges[:-1], edges[1:]):
+            if low == high:
+                continue
+            key, dim = (nodes[low], int(salts[low])), int(b.column("dim")[low].as_py())
+            if not is_vector[low]:
+                held = (*key, np.frombuffer(b.column("centres")[low].as_py(), np.float64).reshape(-1, dim))
+            elif held is None or held[:2] != key:
+                held = (*key, None)
+            rows = low + np.flatnonzero(is_vector[low:high])
+            if held[2] is None or not len(rows):
+                continue
+            d = _distances(_unit(b.column("vector").take(pa.array(rows)), dim), held[2])
+            away[rows] = d.min(axis=1)
+            for i, child in zip(rows.tolist(), d.argmin(axis=1).tolist()):
+                nodes[i] = f"{key[0]}.{child}"
+        out = [*(b.column(c) for c in names[:4]), pa.array(nodes, pa.string()), pa.array(away)]
+        yield pa.RecordBatch.from_arrays(out, names=names).filter(pa.array(is_vector))
+
+
+def _apart(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs of nodes with the distance of their centres; 0 where one has none."""
+    for b in batches:
+        left, right = b.column("centre1"), b.column("centre2")
+        known = left.is_valid().to_numpy(zero_copy_only=False) & right.is_valid().to_numpy(zero_copy_only=False)
+        apart = np.zeros(b.num_rows)
+        for i in np.flatnonzero(known).tolist():
+            x, y = (np.frombuffer(c[i].as_py(), np.float64) for c in (left, right))
+            apart[i] = np.sqrt(max(0.0, 2 - 2 * float(x @ y)))
+        kept = ["node1", "node2", "radius1", "radius2"]
+        yield pa.RecordBatch.from_arrays([*(b.column(c) for c in kept), pa.array(apart)], names=[*kept, "apart"])
+
+
 def _pairs(threshold: float):
     """Links between two blocks: per vector how many, and those that join components here."""
 
@@ -142,6 +183,7 @@ def _pairs(threshold: float):
         n_links = np.zeros(len(ids), np.int64)
         joined: list[tuple[int, int]] = []
         if len(left) and len(right):
+            # a dual traversal inside the task
             p, q = close_pairs(points[left], points[right], threshold)
             p, q = left[p], right[q]
             if i[0] == j[0]:
@@ -204,64 +246,105 @@ def near_duplicates(
             F.min("id").alias("id"), F.count("*").alias("copies"), F.first("vector").alias("vector")
         ).withColumn("dim", F.size("vector")), "vector-classes",
     )
-    # `SAMPLE` vectors per number of components at most; ties broken by id
-    sample = classes.select("dim", "vector", "id", F.xxhash64("id").alias("k")).orderBy("k", "id").limit(SAMPLE).collect()
-    dims = [r["dim"] for r in classes.select("dim").distinct().limit(1000).collect()]
-    centres = {}
-    for dim in dims:
-        points = np.array([r["vector"] for r in sample if r["dim"] == dim], float).reshape(-1, dim)
-        points = points / np.sqrt(np.einsum("ij,ij->i", points, points))[:, None]
-        chosen = points[farthest_first(points, MOST_CENTRES)] if len(points) else np.zeros((0, dim))
-        # without a sampled vector any direction serves as the one centre
-        centres[dim] = chosen if len(chosen) else np.eye(1, dim)
-
-    counts = classes.groupBy("label", "dim").agg(F.count("*").alias("n")).select(
-        "label", "dim", F.ceil(F.col("n") / block).cast("long").alias("cells")
-    )
-    placed = classes.join(counts, ["label", "dim"])
-    kind = placed.schema["label"].dataType.simpleString()
-    celled = placed.select("label", "dim", "id", "copies", "vector", "cells").mapInArrow(
-        _cells(centres),
-        f"label {kind}, dim int, id long, copies long, vector array<double>, cells long, cell int, away double",
-    )
-    celled = written(celled, "vector-cells")
-    cells = celled.groupBy("label", "dim", "cell").agg(
-        F.max("away").alias("radius"), F.ceil(F.count("*") / block).cast("int").alias("parts")
-    )
-    apart = spark.createDataFrame(
-        [(int(d), i, j, float(x)) for d, c in centres.items() for i, r in enumerate(_distances(c, c)) for j, x in enumerate(r)],
-        "dim int, cell int, cell2 int, apart double",
-    )  # MOST_CENTRES squared per number of components
-    reach = math.sqrt(max(0.0, 2 - 2 * threshold))
-    other = cells.select("label", "dim", F.col("cell").alias("cell2"), F.col("radius").alias("radius2"), F.col("parts").alias("parts2"))
-    meets = (
-        cells.join(F.broadcast(apart), ["dim", "cell"]).join(other, ["label", "dim", "cell2"])
-        .where((F.col("cell") == F.col("cell2")) | (F.col("apart") <= F.col("radius") + F.col("radius2") + reach + 1e-6))
-        .select("label", "dim", "cell", "parts", "cell2", F.explode(F.sequence(F.lit(0), F.col("parts2") - 1)).alias("part2"))
-    )
-    own_part = celled.join(cells.select("label", "dim", "cell", "parts"), ["label", "dim", "cell"]).withColumn(
-        "part", F.pmod(F.xxhash64("id"), F.col("parts").cast("long")).cast("int")
-    )
-    name = lambda cell, part: F.concat_ws("-", cell, part)
-    dealt = own_part.join(meets.drop("parts"), ["label", "dim", "cell"]).select(
-        "label", "dim", "id", "copies", "vector", name("cell", "part").alias("own"), name("cell2", "part2").alias("other")
-    ).select(
-        "label", "dim", "id", "copies", "vector", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")
-    )
-    found = written(
-        dealt.groupBy("label", "dim", "i", "j").applyInArrow(_pairs(threshold), "id long, n long, a long, b long"), "vector-links"
+    root = F.concat_ws("/", F.hex(F.xxhash64("label", "dim")), F.col("label").cast("string"), F.col("dim"))
+    placed = written(classes.select("id", "copies", "dim", "vector", root.alias("node"), F.lit(2.0).alias("away")), "vector-nodes")
+    placed, pairs = _traversed(placed, math.sqrt(max(0.0, 2 - 2 * threshold)), block)
+
+    # what is still large holds vectors too close to part: its blocks are a hash's
+    parts = placed.groupBy("node").agg(F.ceil(F.count("*") / block).cast("int").alias("parts"))
+    both = pairs.unionAll(pairs.where("node1 <> node2").select(F.col("node2").alias("node1"), F.col("node1").alias("node2")))
+    meets = both.join(parts.select(F.col("node").alias("node2"), "parts"), "node2").select(
+        F.col("node1").alias("node"), "node2", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part2")
     )
+    own_part = placed.join(parts, "node").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts").cast("long")).cast("int"))
+    name = lambda node, part: F.concat_ws("-", node, part)
+    dealt = own_part.join(meets, "node").select(
+        "dim", "id", "copies", "vector", name("node", "part").alias("own"), name("node2", "part2").alias("other")
+    ).select("dim", "id", "copies", "vector", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+    found = written(dealt.groupBy("i", "j").applyInArrow(_pairs(threshold), "id long, n long, a long, b long"), "vector-links")
+    dropped(placed)
     comps = components(found.where("a is not null").select("a", "b"))
     totals = found.where("id is not null").groupBy("id").agg(F.sum("n").alias("n"))
     by_class = (
         classes.join(totals, "id", "left").join(comps, classes.id == comps.node, "left")
         .select(
             "label", "h1", "h2", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"),
-            F.coalesce("root", "id").alias("root"), F.lit(True).alias("valid"),
+            F.coalesce("root", "id").alias("root"),
         )
     )
-    return rows.join(by_class, ["label", "h1", "h2", "valid"], "left").select(
+    # rows that link with nothing stay out of the join: they would share a key
+    nothing = rows.where("not valid").select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("root"))
+    linked = rows.where("valid").join(by_class, ["label", "h1", "h2"], "left").select("id", "n_links", "root")
+    return linked.unionAll(nothing).select(
         F.col("id").alias(id_col), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
         F.coalesce("root", "id").alias("component_id"),
         F.coalesce(F.coalesce("root", "id") == F.col("id"), F.lit(True)).alias("kept"),
     )
+
+
+def _traversed(placed: DataFrame, reach: float, block: int) -> tuple[DataFrame, DataFrame]:
+    """The vectors in the leaves of their trees, and the pairs of leaves (node1 <= node2) that may hold links.
+
+    `placed` (id, copies, dim, vector, node, away) is written, and has a root node per tree.
+    """
+    columns = ["id", "copies", "dim", "vector", "node", "away"]
+    roots = placed.select("node").distinct()
+    nodes = written(roots.select("node", F.lit(2.0).alias("radius"), F.lit(None).cast("binary").alias("centre")), "nodes")
+    pairs = written(roots.select(F.col("node").alias("node1"), F.col("node").alias("node2")), "node-pairs")
+    whole: DataFrame | None = None  # nodes that cannot be split
+    for _ in range(MOST_LEVELS):
+        sizes = placed.groupBy("node").agg(F.count("*").alias("n"), F.max("away").alias("radius"))
+        large = sizes.where((F.col("n") > block) & (F.col("radius") > reach / 2)).select("node", "n")
+        large = written(large if whole is None else large.join(whole, "node", "left_anti"), "large-nodes")
+        if large.isEmpty():
+            break
+        # a bounded sample of each node, the same in every run
+        order = Window.partitionBy("node").orderBy(F.xxhash64("id"), "id")
+        sample = placed.join(large, "node").withColumn("_k", F.row_number().over(order)).where(F.col("_k") <= SAMPLE)
+        centres = written(
+            sample.select("node", "dim", "n", "vector").groupBy("node")
+            .applyInArrow(_centres(block), "node string, dim int, fan int, centres binary"), "node-centres",
+        )
+        # the vectors of a node are spread over salts, and each salt has its centres
+        salted = placed.select(*columns, F.pmod(F.xxhash64("id", F.lit("salt")), F.lit(SALTS)).cast("int").alias("salt"), F.lit(None).cast("binary").alias("centres"))
+        ahead = centres.select(
+            *[F.col(c) if c in ("dim", "node") else F.lit(None).cast(placed.schema[c].dataType).alias(c) for c in columns],
+            F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"), "centres",
+        )
+        following = written(
+            salted.unionAll(ahead).repartition("node", "salt").sortWithinPartitions("node", "salt", F.col("centres").isNull())
+            .mapInArrow(_children, "id long, copies long, dim int, vector array<double>, node string, away double"), "vector-nodes",
+        )
+        # a node with one centre has no two vectors apart in its sample
+        single = centres.where("fan = 1").select(F.concat_ws(".", "node", F.lit(0)).alias("node"))
+        whole = written(single if whole is None else whole.unionAll(single), "whole-nodes")
+        nodes, pairs = _met(pairs, nodes, centres, following, reach)
+        for old in (placed, large, centres):
+            dropped(old)
+        placed = following
+    return placed, pairs
+
+
+def _met(pairs: DataFrame, nodes: DataFrame, centres: DataFrame, following: DataFrame, reach: float) -> tuple[DataFrame, DataFrame]:
+    """The nodes (node, radius, centre) and pairs of the next level; a node that was not split is its own child."""
+    width = F.col("dim") * 8
+    kids = centres.select(F.col("node").alias("parent"), "dim", "centres", F.explode(F.sequence(F.lit(0), F.col("fan") - 1)).alias("child")).select(
+        "parent", F.concat_ws(".", "parent", "child").alias("node"), F.substring("centres", F.col("child") * width + 1, width).alias("centre")
+    )
+    radii = following.groupBy("node").agg(F.max("away").alias("radius"))
+    same = nodes.join(centres.select("node"), "node", "left_anti").select(F.col("node").alias("parent"), "node", "radius", "centre")
+    every = written(kids.join(radii, "node").select("parent", "node", "radius", "centre").unionAll(same), "children")
+    one, two = (every.select(*[F.col(c).alias(f"{c}{i}") for c in every.columns]) for i in (1, 2))
+    offered = (
+        pairs.select(F.col("node1").alias("parent1"), F.col("node2").alias("parent2")).join(one, "parent1").join(two, "parent2")
+        .where((F.col("parent1") < F.col("parent2")) | (F.col("node1") <= F.col("node2")))
+    )
+    apart = offered.select("node1", "node2", "radius1", "radius2", "centre1", "centre2").mapInArrow(
+        _apart, "node1 string, node2 string, radius1 double, radius2 double, apart double"
+    )
+    near = apart.where((F.col("node1") == F.col("node2")) | (F.col("apart") <= F.col("radius1") + F.col("radius2") + reach + 1e-6))
+    met = written(near.select(F.least("node1", "node2").alias("node1"), F.greatest("node1", "node2").alias("node2")), "node-pairs")
+    left = written(every.drop("parent"), "nodes")
+    for old in (every, nodes, pairs):
+        dropped(old)
+    return left, met

@@ -105,7 +105,52 @@ def test_chunks_of_huge_texts():
         text = " ".join("abé中"[rng.randint(0, 3)] * rng.randint(1, 90) for _ in range(rng.randint(0, 60)))
         whole = len(model._tokenizer.encode(text, add_special_tokens=False).ids)
         for chunk, overlap in ((50, 4), (200, 30)):
-            assert huge_count(model, np.frombuffer(text.encode(), np.uint8), chunk, overlap) == whole
+            assert huge_count(model, text, chunk, overlap) == whole
+
+
+HUGE = {
+    "letters": lambda rng: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(300_000)),
+    "one letter": lambda rng: "z" * 300_000,
+    "two letters": lambda rng: "ab" * 150_000,
+    "ideographs": lambda rng: "".join(rng.choice("中文字符没有空白的很长文本") for _ in range(100_000)),
+    "base64": lambda rng: "".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/") for _ in range(200_000)),
+    "contractions": lambda rng: "'" .join(rng.choice(["don", "t", "s", "re", "'ll", "it", " we", "X"]) for _ in range(60_000)),
+    "marks": lambda rng: "".join(rng.choice(["é", "e\u0301", "İ", "Σ", "🙂", "👨\u200d👩", "ß", " "]) for _ in range(60_000)),
+    "special": lambda rng: "".join(rng.choice(["<|endoftext|>", "<|endoftext", "|>", "word ", "<|startoftext|>"]) for _ in range(30_000)),
+    "blanks": lambda rng: "a" + " \n" * 100_000 + "b" + "\t" * 70_000,
+}
+
+
+@pytest.mark.parametrize("kind", HUGE)
+def test_chunks_agree_with_the_library(kind):
+    """Texts without blanks, and such as a cut changes most: as many ids as the library gives for the whole."""
+    model, text = Encoder(tokenizer_path(WORD_BPE)), HUGE[kind](random.Random(3))
+    whole = len(model.encode(text).ids)
+    assert huge_count(model, text) == whole
+    assert huge_count(model, text[:20_000], 700, 20) == len(model.encode(text[:20_000]).ids)
+
+
+def test_ten_megabytes_without_blanks():
+    """Chunks begin at id boundaries, so that a chunk is encoded about once."""
+    model, text = Encoder(tokenizer_path(WORD_BPE)), "".join(random.Random(1).choices("abcdefghijklmnopqrstuvwxyzéß", k=10_000_000))
+    sizes = []
+    encode = model.encode
+    model.encode = lambda t: (sizes.append(len(t)), encode(t))[1]
+    n = huge_count(model, text)
+    assert sum(sizes) < 1.2 * len(text) and max(sizes) < 100_000
+    half = text.index("z", 5_000_000)
+    assert abs(n - huge_count(model, text[:half]) - huge_count(model, text[half:])) <= 8
+
+
+def test_overlap_is_widened_until_there_is_a_run(monkeypatch):
+    """A run longer than the overlap holds makes it grow, up to the text's end if need be."""
+    from tallypost.llm import counting
+
+    model, text = Encoder(tokenizer_path(WORD_BPE)), " ".join(f"word{i}" for i in range(3000))
+    whole = len(model.encode(text).ids)
+    for run in (8, 300, 100_000):
+        monkeypatch.setattr(counting, "RUN", run)
+        assert huge_count(model, text, 1000, 10) == whole
 
 
 def test_packing_plan_holds_what_is_asked():
@@ -173,21 +218,105 @@ def test_binomial_tail(spark):
         assert got == pytest.approx(exact, rel=1e-9)
 
 
-def test_cutoffs_need_enough_good_documents(spark, docs):
+def test_rules_need_enough_good_documents(spark, docs):
     good = docs([(i, f"plain words {i} and some more of them to be long enough here") for i in range(50)])
     out = quality_rules(good, labels(spark, [(i, 1, 0) for i in range(50)]))
     assert out.where("kept").count() == 50
 
 
+def test_the_verdict_keeps_its_promise(spark):
+    """Over many draws of labels the steps taken reject more than alpha of the good no more often than delta."""
+    alpha, delta, draws, size = 0.05, 0.1, 400, 300
+    rng = np.random.default_rng(8)
+    # how likely it is that a good document is rejected by a step for the first time
+    share = np.array([0.0] * 6 + [0.004] * 10 + [0.01] * 14)
+    true = np.cumsum(share)
+    steps = rng.choice(31, size=(draws, size), p=[*share, 1 - share.sum()])
+    rows = [(f"s{d}", None if x == 30 else int(x), d * size + i) for d in range(draws) for i, x in enumerate(steps[d].tolist())]
+    good = spark.createDataFrame(rows, "lang string, step int, text long")
+    held = rules.controlled_steps(good, "lang", "step", "text", alpha, delta, strata=1).collect()
+    over = sum(true[r["step"]] > alpha for r in held) / draws
+    assert over <= delta + 0.03 and len(held) > draws / 2 and np.mean([true[r["step"]] for r in held]) > 0.01
+    # all draws as the strata of one table: the chance that any is over is below delta
+    held = rules.controlled_steps(good, "lang", "step", "text", alpha, delta).collect()
+    assert sum(true[r["step"]] > alpha for r in held) == 0
+
+
+def test_steps_against_a_plain_computation(spark):
+    from math import comb
+
+    rng = np.random.default_rng(2)
+    rows = [(lang, None if x > 29 else int(x), i) for lang, n in (("a", 900), ("b", 60), (None, 400)) for i, x in enumerate(rng.integers(0, 2000, n))]
+    rows += rows[:500]  # copies are no trials
+    held = {r["stratum"]: (r["step"], r["n_good"], r["n_rejected"]) for r in rules.controlled_steps(
+        spark.createDataFrame(rows, "lang string, step int, text long"), "lang", "step", "text", 0.02, 0.05).collect()}
+    expected = {}
+    for lang in ("a", "b", None):
+        own = {t: s for stratum, s, t in rows if stratum == lang}
+        n, best = len(own), None
+        for step in range(30):
+            k = sum(s is not None and s <= step for s in own.values())
+            tail = 1.0 if k >= n * 0.02 else sum(comb(n, i) * 0.02**i * 0.98 ** (n - i) for i in range(k + 1))
+            if tail * 3 <= 0.05:
+                best = (step, n, k)
+        if best:
+            expected[lang or ""] = best
+    assert held == expected and "a" in held and "b" not in held
+
+
+def test_first_steps_follow_the_order(spark):
+    columns = {"word_chars": 100, "n_symbols": 0, "n_capitals": 0, "n_repeat_words": 0, "n_words": 20, "n_dup_lines": 0, "n_lines": 10}
+    df = spark.createDataFrame([tuple(columns.values()), (100, 60, 0, 0, 20, 0, 10), (100, 4, 25, 0, 20, 0, 10), (0, 0, 0, 0, 0, 0, 0), (400, 0, 0, 3, 20, 0, 10)],
+                               ", ".join(f"{c} long" for c in columns))
+    got = [tuple(r) for r in df.select(*[c.alias(r) for r, c in rules.first_steps().items()]).collect()]
+    assert got == [(None,) * 5, (0, None, None, None, None), (None, 26, None, None, None), (None,) * 5, (None, None, 27, None, 24)]
+
+
 def test_disguises_are_read(spark, docs):
     rng = random.Random(4)
     plain = "the and that with loser idiot trash moron clown stupid pathetic there where other".split()
     texts = [" ".join(rng.choices(plain, k=30)) for _ in range(300)]
     model, _ = toxicity.train(docs(list(enumerate(texts))), labels(spark), "doc_id", "text", "toxic", 100)
-    restorer = toxicity.Restorer(model)
-    for hidden, word in (("1d10t", "idiot"), ("l0ser", "loser"), ("m o r o n", "moron"), ("clooooown", "clown"), ("$tup1d", "stupid"), ("p-a-t-h-e-t-1-c", "pathetic")):
-        assert restorer.text(f"the {hidden} there") == f"the {word} there"
-    assert restorer.text("the 2024 a a a von!! x***") == "the 2024 a a a von!! x***"
+    restorer = toxicity.Restorer(model, ["loser", "idiot", "trash", "moron", "clown", "stupid", "pathetic", "中文"])
+    hidden = {
+        "1d10t": "idiot", "l0ser": "loser", "m o r o n": "moron", "clooooown": "clown", "$tup1d": "stupid", "p-a-t-h-e-t-1-c": "pathetic",
+        "st*pid": "stupid", "iidiott": "idiot", "st0p1d": "stupid", "mmoorroonn": "moron", "you-1diot": "you-idiot", "(idi0t)": "(idiot)",
+        "m  o  r\no  n": "moron", "a m o r o n b": "a moron b", "st.upid": "stupid", "t*r*a*s*h": "trash", "tra$h": "trash", "id1ot!!": "idiot!!",
+        "m.o.r.o.n": "moron", "cl0wn.": "clown.", "st**id": "stupid", "lo$er": "loser", "1D1OT": "idiot",
+    }
+    for token, word in hidden.items():
+        assert restorer.text(f"the {token} there") == f"the {word} there", token
+    for plain in ("the 2024 a a a von!! x", "", "*", "a * b", "€", "loser", "中文", "10 0 1 2", "other there"):
+        assert restorer.text(plain) == plain
+
+
+def test_contradicting_null_and_lone_labels(spark, docs):
+    """An id with both labels is learned as both; null labels and labels of nothing teach nothing."""
+    rows = [(i, f"some plain words number {i} " + ("nasty scum here" if i % 2 else "and a nice day")) for i in range(1, 120)]
+    marks = [(i, 1, i % 2) for i in range(1, 120)] + [(5, 1, 0), (6, 1, None), (7, 1, 7), (9999, 1, 1), (None, 1, 1), (8, 1, 0), (8, 1, 0)]
+    out = {r["doc_id"]: r for r in score_toxicity(docs(rows), labels(spark, marks)).collect()}
+    assert sum(r["predicted"] == i % 2 for i, r in out.items()) >= 118
+    every = score_toxicity(docs(rows), labels(spark, [(i, 1, 1) for i in range(1, 120)]))
+    assert {r["predicted"] for r in every.collect()} == {1}
+
+
+def test_a_row_does_not_testify_for_itself():
+    toxic, other = np.array([4.0, 1.0]), np.array([0.0, 0.0])
+    with_, without = toxicity.word_weight(toxic, other, 10, 100), toxicity.word_weight(toxic - 1, other, 9, 99)
+    assert (with_ > without).all() and (without >= 0).all()
+
+
+def test_character_counts_are_by_word():
+    """Texts and words do not run into each other; a word begins behind two gaps."""
+    out = next(toxicity._trigrams([pa.record_batch([pa.array(["ab c", "d", None, ""])], names=["_text"])]))
+    grams = dict(zip(out.column(0).to_pylist(), out.column(1).to_pylist()))
+    n = toxicity._SYMBOLS
+
+    def of(a, b, c):
+        return grams.get((a * n + b) * n + c, 0)
+
+    assert of(0, 0, 1) == of(0, 1, 2) == of(1, 2, 0) == of(0, 0, 3) == of(0, 3, 0) == of(0, 0, 4) == of(0, 4, 0) == 1
+    assert of(2, 0, 3) == of(2, 3, 0) == of(3, 4, 0) == 0
 
 
 def test_templates_without_a_phrase(spark, docs):

@@ -66,3 +66,21 @@ def test_stages(spark, table):
     pieces = corpus_pipeline.packing(spark, docs, FOLDER)
     whole = pieces.where("start = 0").groupBy("doc_id").agg(F.count("*").alias("n")).collect()
     assert {r["doc_id"]: r["n"] for r in whole} == collections.Counter(r["doc_id"] for r in kept["mixing"])
+
+
+def test_stages_on_awkward_documents(spark, awkward, docs):
+    """Nulls, empty and long texts, repeated rows, rows without id, clashing names; and no rows at all."""
+    for rows in (awkward, docs([])):
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            columns, n = rows.columns, rows.count()
+            rows = written(stage(spark, rows, FOLDER), f"awkward-{name}")
+            assert rows.columns == columns and (name == "mixing" or rows.count() <= n), name
+            if name == "near_duplicates" and n:
+                ids = [r["doc_id"] for r in rows.collect()]
+                # 7 has the text of 6; rows of one id are one document; texts without words link with nothing
+                assert sorted(ids, key=str) == sorted([1, 2, 3, None, 4, 4, 5, 6, 8, 9], key=str)
+            if name == "mixing" and n:
+                kept = {(r["doc_id"], r["score"], r["n_words"]) for r in rows.collect()}
+                assert all(s == w == "own" for _, s, w in kept)
+        pieces = corpus_pipeline.packing(spark, rows, FOLDER)
+        assert pieces.where("length < 1").count() == 0 and (pieces.count() >= rows.count())

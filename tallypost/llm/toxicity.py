@@ -76,6 +76,33 @@ _LETTER_BYTE = np.zeros(256, bool)
 _LETTER_BYTE[0x61:0x7B] = True
 _SIGN_BYTE = np.zeros(256, bool)
 _SIGN_BYTE[[ord(c) for c in STANDS_FOR if ord(c) < 128]] = True
+_APART = _BLANK & ~np.isin(np.arange(256), [ord(c) for c in "._-*"])
+
+
+def _with_signs(low: Slice) -> tuple[Slice, np.ndarray]:
+    """The tokens between blanks that have a sign, or anything but word bytes between word bytes.
+
+    They come as one slice of their own, with the place of each of its bytes.
+    """
+    data = low.data
+    inside = WORDS[data]
+    special = ~inside & (_SIGN_BYTE[data] | (data == 0xE2))
+    special |= inside & (data == 0xE2)
+    between = ~inside & _BLANK[data]
+    between[1:-1] &= inside[:-2] & inside[2:]
+    between[:1] = between[-1:] = False
+    counts = np.concatenate([[0], np.cumsum(special | between)])
+    w = words(low, _BLANK)
+    chosen = np.flatnonzero(counts[w.end] > counts[w.start])
+    if not len(chosen):
+        return Slice(low.row, np.zeros(0, np.uint8), np.zeros(1, np.int64)), np.zeros(0, np.int64)
+    # each token and the byte behind it, which is a blank or begins another text
+    lengths = w.end[chosen] - w.start[chosen] + 1
+    ends = np.cumsum(lengths)
+    place = np.arange(ends[-1]) + np.repeat(w.start[chosen] - (ends - lengths), lengths)
+    part = data[np.minimum(place, len(data) - 1)]
+    part[ends - 1] = 0x20
+    return Slice(low.row, part, np.array([0, len(part)])), place
 
 
 class Model(NamedTuple):
@@ -162,15 +189,16 @@ def skeletons(low: Slice, cut: np.ndarray) -> _Skeletons:
     kind = _CLASS[low.data]
     euro = np.flatnonzero((low.data[:-2] == 0xE2) & (low.data[1:-1] == 0x82) & (low.data[2:] == 0xAC)) if len(low.data) > 2 else []
     if len(euro):
-        kind = kind.copy()
         kind[euro], kind[euro + 1], kind[euro + 2] = ord("e"), 0, 0
     at = np.flatnonzero((kind > 0) & cut[low.data])
-    token = np.searchsorted(tokens.start, at, "right") - 1
+    begins = np.zeros(len(low.data), np.int32)
+    begins[tokens.start] = 1
+    token = np.cumsum(begins, dtype=np.int32)[at] - 1
     kind = kind[at]
     new = np.ones(len(at), bool)
     new[1:] = (kind[1:] != kind[:-1]) | (token[1:] != token[:-1])
     kind, token = kind[new], token[new]
-    first = np.searchsorted(token, np.arange(len(tokens.start) + 1))
+    first = np.concatenate([[0], np.cumsum(np.bincount(token, minlength=len(tokens.start)))])
     return _Skeletons(span_hashes(kind, first[:-1], first[1:]), tokens.start, tokens.end)
 
 
@@ -179,6 +207,12 @@ def _one(text: str) -> Slice:
     return Slice(0, raw, np.array([0, len(raw)]))
 
 
+def _shape(word: bytes) -> bytes:
+    """The skeleton of a word of letters and signs."""
+    kinds = word.translate(_CLASS.tobytes())
+    return bytes(k for i, k in enumerate(kinds) if k and (i == 0 or k != kinds[i - 1]))
+
+
 class Restorer:
     """Finds the tokens of a text that may hide a word of a list, and reads them."""
 
@@ -187,6 +221,7 @@ class Restorer:
         self._decode = lru_cache(maxsize=1 << 16)(lambda token: decode(token, model))
         plain = [w for w in known if w and set(w) <= set(_LETTERS)]
         self._skeletons = np.unique(np.concatenate([skeletons(_one(w), _BLANK).hashes for w in plain])) if plain else np.zeros(0, np.uint64)
+        self._shapes = {_shape(w.encode()) for w in plain}
         self._by_length: dict[int, list[str]] = {}
         for w in plain:
             self._by_length.setdefault(len(w), []).append(w)
@@ -211,10 +246,16 @@ class Restorer:
             if reading in self._known:
                 found[start, end] = reading
 
-        for cut in _CUTS:
-            s = skeletons(low, cut)
-            for i in self._among(s.hashes).tolist():
-                read(int(s.start[i]), int(s.end[i]))
+        s = skeletons(low, WORDS)
+        for i in self._among(s.hashes).tolist():
+            read(int(s.start[i]), int(s.end[i]))
+        # other cuts give other tokens only where a sign or a gap is part of one
+        part, place = _with_signs(low)
+        if part.n:
+            for cut in _CUTS:
+                s = skeletons(part, cut)
+                for i in self._among(s.hashes).tolist():
+                    read(int(place[s.start[i]]), int(place[s.end[i] - 1]) + 1)
         for start, end in self._starred(low):
             read(start, end, "*")
         for start, end in self._spread(low):
@@ -224,9 +265,9 @@ class Restorer:
     def _starred(self, low: Slice) -> Iterator[tuple[int, int]]:
         """Words with stars between letters that a word of the list fits."""
         star = low.data == ord("*")
-        if not star.any():
-            return
         letter = _LETTER_BYTE[low.data]
+        if not (star[:-1] & letter[1:]).any():
+            return
         w = words(low, WORDS | (np.arange(256) == ord("*")))
         stars, letters = (np.concatenate([[0], np.cumsum(x)]) for x in (star, letter))
         some = (stars[w.end] > stars[w.start]) & (letters[w.end] > letters[w.start]) & letter[w.start] & letter[w.end - 1]
@@ -238,7 +279,7 @@ class Restorer:
 
     def _spread(self, low: Slice) -> Iterator[tuple[int, int]]:
         """Runs of single letters or signs with gaps between them that spell a word of the list."""
-        t = words(low, _BLANK & ~np.isin(np.arange(256), [ord(c) for c in "._-*"]))
+        t = words(low, _APART)
         single = (t.end - t.start == 1) & (_LETTER_BYTE | _SIGN_BYTE)[low.data[t.start]]
         near = np.zeros(len(single), bool)
         near[1:] = single[1:] & single[:-1] & (t.start[1:] - t.end[:-1] <= 3)
@@ -247,11 +288,14 @@ class Restorer:
         edges = np.flatnonzero(np.diff(np.concatenate([[0], near.view(np.int8), [0]])))
         for first, last in zip(edges[::2].tolist(), edges[1::2].tolist()):
             # tokens first - 1 .. last - 1 stand one by one
-            for i in range(first - 1, last):
-                for j in range(i + 2, min(last, i + LONGEST_RUN)):
-                    letters = low.data[t.start[i : j + 1]].tobytes().decode()
-                    if len(self._among(skeletons(_one(letters), _BLANK).hashes)):
-                        yield int(t.start[i]), int(t.end[j])
+            kinds = _CLASS[low.data[t.start[first - 1 : last]]].tolist()
+            for i in range(len(kinds)):
+                shape = bytearray()
+                for j in range(i, min(len(kinds), i + LONGEST_RUN)):
+                    if not shape or shape[-1] != kinds[j]:
+                        shape.append(kinds[j])
+                    if j >= i + 2 and bytes(shape) in self._shapes:
+                        yield int(t.start[first - 1 + i]), int(t.end[first - 1 + j])
 
     def text(self, text: str) -> str:
         """The text in lower case, hidden words replaced by their readings."""

@@ -69,7 +69,10 @@ def latency_trends(requests: DataFrame) -> DataFrame:
 
 
 def run_totals(requests: DataFrame) -> DataFrame:
-    """Every metric but the trends, in one pass of fixed-width aggregates."""
+    """Every metric but the trends, in one pass of fixed-width aggregates.
+
+    The set-up ends with the first request that is not warm-up.
+    """
     timed = ~F.col("warmup")
     return requests.groupBy("endpoint").agg(
         F.count(F.lit(1)).alias("requests"),
@@ -79,6 +82,7 @@ def run_totals(requests: DataFrame) -> DataFrame:
         F.count_if(timed).alias("iterations"),
         _seconds().alias("run_seconds"),
         _seconds(timed).alias("timed_seconds"),
+        ((F.min(F.when(timed, _micros("started_at"))) - F.min(_micros("started_at"))).cast("double") / F.lit(1e6)).alias("setup_seconds"),
         _last_by_time("vus").alias("vus_last"),
         F.min("vus").alias("vus_min"),
         F.max("vus").alias("vus_max"),

@@ -491,7 +491,7 @@ def _waited(spark: SparkSession, sf_dir: str, mixed: bool) -> DataFrame:
         "cancellations": (X.cancellations(spark, sf_dir), "cancelled_at"),
     }
     if not mixed:
-        return run_over(spark, "waits", tables, SW.waits_stream)
+        return run_over(spark, "waits", tables, SW.waits_stream, slices=1)
     low, high = X.messages(spark, sf_dir).agg(F.min("created_at"), F.max("created_at")).first()
     span = (high - low if low else timedelta()) + timedelta(days=1)
     place = F.pmod(F.xxhash64("id", F.lit("arrival")), F.lit(1_000_000)) / 1_000_000
@@ -500,7 +500,7 @@ def _waited(spark: SparkSession, sf_dir: str, mixed: bool) -> DataFrame:
     # nothing is late, however it comes; the end record lies beyond the delay
     return run_over(
         spark, "waits-mixed", tables, lambda **t: SW.waits_stream(**t, delay=f"{span.days + 1} days", keep=3600),
-        slices=3, end_gap=2 * span + timedelta(days=2),
+        end_gap=2 * span + timedelta(days=2),
     )
 
 

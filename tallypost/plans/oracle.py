@@ -96,6 +96,7 @@ _VIEWS = {
                nullif((max(ended_us) - epoch_us(min(started_at))) / 1e6, 0) as run_s,
                nullif((max(ended_us) filter (where not warmup)
                        - epoch_us(min(started_at) filter (where not warmup))) / 1e6, 0) as timed_s,
+               (epoch_us(min(started_at) filter (where not warmup)) - epoch_us(min(started_at))) / 1e6 as setup_s,
                min(vus) as vus_min, max(vus) as vus_max
         from (select *, epoch_us(started_at) + coalesce(cast(round(duration_ms * 1000) as bigint), 0) as ended_us from r)
         group by endpoint""",
@@ -221,7 +222,8 @@ SQL: dict[str, str] = {
     "topic_sink": _with("m", "select id, content, created_at, 'messages' as topic, created_at as timestamp from m"),
     "outbox_cowrite": _with("m", "select id, id as outbox_message_id, true as same_content from m"),
     "summary_report": _with("r run", f"""
-        select run.endpoint, iterations, {_fixed('timed_s')} as scenario_s,
+        select run.endpoint, vus_max as vus, iterations, requests - iterations as warmup, {_fixed('setup_s * 1000 / 1000')} as setup_s,
+               {_fixed('timed_s')} as scenario_s,
                {_fixed('iterations / timed_s')} as iterations_per_s, {_fixed('t.avg_ms')} as avg_ms,
                {_fixed('t.p95_ms')} as p95_ms, {_fixed('t.p99_ms')} as p99_ms,
                {_fixed('failed / requests * 100')} as failed_percent

@@ -49,12 +49,16 @@ def summary(requests: DataFrame) -> DataFrame:
         F.struct(
             (F.col("run_seconds") * 1000).alias("testRunDurationMs"),
             F.col("timed_seconds").alias("scenarioSeconds"),
+            (F.col("requests") - F.col("iterations")).alias("warmupRequests"),
         ).alias("state"),
         F.struct(
             _trend("all").alias(_DURATION),
             _trend("expected").alias(_EXPECTED),
             _rate("failed_rate", "failed_passes", "failed_fails", verdict).alias("http_req_failed"),
             _rate("check_rate", "check_passes", "check_fails").alias("checks"),
+            _metric(
+                "trend", "time", F.struct((F.col("setup_seconds") * 1000).alias("avg"))
+            ).alias("setup_duration_ms"),
             _counter("requests").alias("http_reqs"),
             _counter("iterations").alias("iterations"),
             _metric(
@@ -85,7 +89,10 @@ def figures(report: DataFrame) -> DataFrame:
     iterations = F.col("metrics.iterations.values.count")
     return report.select(
         "endpoint",
+        F.col("metrics.vus.values.max").alias("vus"),
         iterations.alias("iterations"),
+        F.col("state.warmupRequests").alias("warmup"),
+        _fixed(F.col("metrics.setup_duration_ms.values.avg") / 1000).alias("setup_s"),
         _fixed(F.col("state.scenarioSeconds")).alias("scenario_s"),
         _fixed(iterations / F.col("state.scenarioSeconds")).alias("iterations_per_s"),
         _fixed(F.col(f"{duration}.avg")).alias("avg_ms"),
@@ -99,7 +106,9 @@ def text(report: DataFrame) -> DataFrame:
     """One text block per run."""
     lines = [
         ("Endpoint", "{endpoint}", ""),
+        ("VUs", "{vus}", ""),
         ("Iterations", "{iterations}", ""),
+        ("Warmup", "{warmup}", None),
         ("Scenario time", "{scenario_s}", " s"),
         ("Iterations/sec", "{iterations_per_s}", ""),
         ("Req avg", "{avg_ms}", " ms"),
@@ -108,7 +117,10 @@ def text(report: DataFrame) -> DataFrame:
         ("Failed requests", "{failed_percent}", " %"),
     ]
     blocks = [
-        F.concat(F.lit(f"{label}:".ljust(17)), F.col(field.strip("{}")).cast("string"), F.lit(unit))
+        F.concat(
+            F.lit(f"{label}:".ljust(17)), F.coalesce(F.col(field.strip("{}")).cast("string"), F.lit("n/a")),
+            F.concat(F.lit(" requests, "), F.col("setup_s"), F.lit(" s")) if unit is None else F.lit(unit),
+        )
         for label, field, unit in lines
     ]
     return figures(report).select("endpoint", F.concat_ws("\n", *blocks).alias("text"))

@@ -112,4 +112,4 @@ def test_report_round_trip_and_text(spark, tmp_path):
     values = back.select("metrics.http_req_failed").first()[0]
     assert values["type"] == "rate" and values["values"]["passes"] == 1 and values["thresholds"][0]["ok"] is False
     text = report.text(back).first()["text"].splitlines()
-    assert text[0] == "Endpoint:        /naive" and text[3] == "Iterations/sec:  1.12" and text[-1] == "Failed requests: 9.09 %"
+    assert text[0] == "Endpoint:        /naive" and text[5] == "Iterations/sec:  1.12" and text[3] == "Warmup:          2 requests, 2.00 s" and text[1] == "VUs:             10" and text[-1] == "Failed requests: 9.09 %"

@@ -74,6 +74,23 @@ def test_token_file_round_trip(spark, awkward, tmp_path):
     assert [r["doc_id"] for r in rows][:3] == [None, 1, 2] and len(rows) == 11
 
 
+def test_token_file_of_nothing(spark, docs, tmp_path):
+    path = f"file://{tmp_path}/tokens"
+    ans.write_token_file(docs([]), path)
+    assert ans.read_token_file(spark, path).count() == 0
+
+
+def test_mix_of_rows_that_share_or_lack_ids(spark, docs):
+    """Rows of one id, or of none, share a key: each is told apart by its size, and targets are met to the word."""
+    rows = [(None, "w " * 40)] * 6 + [(7, "w " * k) for k in (3, 3, 50, 0)] + [(i, "w " * 5) for i in range(20, 40)]
+    df = docs(rows).withColumn("source", F.when(F.col("doc_id") < 30, "a")).withColumn("size", word_count(F.col("text")))
+    for n in (4, 1 << 20):
+        mixed = mix_sources(df, rows=n)
+        assert mixed.count() == len(rows)
+        by_source = mixed.groupBy("source").agg(F.sum("taken").alias("t"), F.first("target").alias("g"), F.max(F.col("taken") - 3 * F.col("size")).alias("m")).collect()
+        assert all(r["t"] == round(r["g"]) and r["m"] <= 0 for r in by_source)
+
+
 @pytest.mark.parametrize("n", [0, 1, 1023, 1025, 5000])
 def test_segment_round_trip(n):
     ids = np.random.default_rng(n).zipf(1.3, n).clip(max=50_256).astype(np.uint32)

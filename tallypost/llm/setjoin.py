@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from .components import components
-from .staging import prepared, written
+from .staging import dropped, prepared, written
 from .text import LOWER, U, Slice, gram_hashes, inside_text, mix, slices, span_hashes, words
 
 HOT = 32
@@ -211,27 +211,39 @@ def _coarse(rule: Rule):
     return run
 
 
-def _sets(n: int):
-    names = ["id", "size", "tokens"]
+def scheme_sizes(rule: Rule, tokens: np.ndarray) -> list[dict[str, int]]:
+    """Of each fine scheme its band, how many segments a set needs and how many it indexes."""
+    out = []
+    for band, most, own in rule.schemes(len(tokens)):
+        m, need = 2 * (most + 1), own + 1
+        filled = int(np.count_nonzero(np.bincount(_segments(tokens, band, m), minlength=m)))
+        out.append({"band": band, "need": need, "taken": filled if filled >= need else m})
+    return out
+
+
+def _sets(rule: Rule):
+    names = ["id", "size", "tokens", "schemes"]
+    sizes = pa.list_(pa.struct([("band", pa.int64()), ("need", pa.int64()), ("taken", pa.int64())]))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ids, want = b.column("id"), (b.column("d1").to_numpy(), b.column("d2").to_numpy())
             for s in slices(b.column("text")):
-                tokens, first = shingle_sets(s, n)
+                tokens, first = shingle_sets(s, rule.n)
                 d1, d2 = digests(tokens, first)
                 same = np.flatnonzero((d1 == want[0][s.row : s.row + s.n]) & (d2 == want[1][s.row : s.row + s.n]))
                 own = [np.sort(tokens[first[i] : first[i + 1]]).view(np.int64) for i in same]
                 yield pa.record_batch(
                     [ids.take(pa.array(s.row + same)), pa.array([len(x) for x in own], pa.int64()),
-                     pa.array(own, pa.list_(pa.int64()))], names=names,
+                     pa.array(own, pa.list_(pa.int64())),
+                     pa.array([scheme_sizes(rule, x.view(np.uint64)) for x in own], sizes)], names=names,
                 )
 
     return run
 
 
 def _fine(rule: Rule):
-    """`record` packs need and number of signatures, both below 2^31, to keep the many rows small."""
+    """`record` packs need and number of signatures, both below 2^31."""
     names = ["id", "band", "record", "sig"]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -345,21 +357,24 @@ def _block_links(percent: int):
 
 
 def _members(sets: DataFrame, rule: Rule, hot: int) -> DataFrame:
-    """(sig, id, chosen, low): who shares which signature, who relies on it, and the smallest of them."""
+    """(sig, id, chosen, low), written: who shares which signature, who relies on it, and the smallest of them."""
     # one shuffle serves the counts and the join with them: no name in common, or the plan is made twice
+    # the many rows are kept small: a set's two schemes, of neighbouring bands, are told apart by one bit
     fine = (
-        sets.mapInArrow(_fine(rule), "id long, band int, record long, sig long")
-        .where("id is not null and band is not null and record is not null and sig is not null").repartition("sig")
+        sets.select(F.col("number").alias("id"), "tokens").mapInArrow(_fine(rule), "id long, band int, record long, sig long")
+        .select((F.col("id") * 2 + F.col("band") % 2).alias("slot"), "sig")
+        .where("slot is not null and sig is not null").repartition("sig")
+    )
+    # asks for both columns, or the plan would shuffle once more for the counts alone
+    shared = fine.groupBy("sig").agg(F.count("*").alias("f"), F.max("slot").alias("m")).where("f > 1 and m >= 0").select(F.col("sig").alias("s"), "f")
+    slots = sets.select("id", "number", F.explode("schemes").alias("x")).select(
+        "id", (F.col("number") * 2 + F.col("x.band") % 2).alias("slot"), "x.band", "x.need", "x.taken"
     )
-    shared = fine.groupBy("sig").agg(F.count("*").alias("f")).where("f > 1").select(F.col("sig").alias("s"), "f")
     # at most as many rows of a set as it has segments
     chosen = (
-        fine.join(shared, fine.sig == shared.s).groupBy("id", "band", "record")
+        fine.join(shared, fine.sig == shared.s).groupBy("slot")
         .agg(F.sort_array(F.collect_list(F.struct("f", "sig"))).alias("all"))
-        .select(
-            "id", F.col("band").cast("long").alias("band"), F.expr("record >> 32").alias("need"),
-            F.expr("record & 4294967295").alias("taken"), "all",
-        )
+        .join(slots, "slot").select("id", "band", "need", "taken", "all")
         .withColumn("lacks", F.expr("need - (taken - size(all))"))
         .where("lacks > 0")
         .withColumn("last", F.expr("all[least(lacks, size(all)) - 1].f"))
@@ -408,7 +423,10 @@ def _members(sets: DataFrame, rule: Rule, hot: int) -> DataFrame:
     useful = everyone.groupBy("sig").agg(
         F.min("id").alias("low"), F.max("id").alias("high"), F.max("chosen").alias("any")
     ).where("low < high and any")
-    return everyone.join(useful.select("sig", "low"), "sig")
+    members = written(everyone.join(useful.select("sig", "low"), "sig"), "members")
+    dropped(chosen)
+    dropped(near)
+    return members
 
 
 def link_components(docs: DataFrame, rule: Rule, hot: int = HOT, block: int = BLOCK) -> DataFrame:
@@ -428,12 +446,15 @@ def link_components(docs: DataFrame, rule: Rule, hot: int = HOT, block: int = BL
     # never null; said before the shuffle, or the joins say it on one side only and shuffle twice
     coarse = known.mapInArrow(_coarse(rule), "sig long, d1 long").where("sig is not null and d1 is not null").repartition("sig")
     shared = coarse.groupBy("sig").agg(F.min("d1").alias("x"), F.max("d1").alias("y")).where("x <> y").select(F.col("sig").alias("s"))
-    candidates = coarse.join(shared, coarse.sig == shared.s).select("d1").distinct().join(classes, "d1")
+    # written, so that the signatures' shuffle is gone before the texts are moved
+    candidates = written(coarse.join(shared, coarse.sig == shared.s).select("d1").distinct().join(classes, "d1"), "candidates")
     sets = written(
         known.join(candidates, known.doc_id == candidates.id).select("id", "d1", "d2", "text")
-        .mapInArrow(_sets(rule.n), "id long, size long, tokens array<long>"), "sets",
+        .mapInArrow(_sets(rule), "id long, size long, tokens array<long>, schemes array<struct<band: long, need: long, taken: long>>")
+        .withColumn("number", F.monotonically_increasing_id()), "sets",
     )
-    members = written(_members(sets, rule, hot), "members")
+    dropped(candidates)
+    members = _members(sets, rule, hot)
     stars = (
         members.where("id <> low").select(F.col("id").alias("a"), F.col("low").alias("b")).distinct()
     )
@@ -445,8 +466,13 @@ def link_components(docs: DataFrame, rule: Rule, hot: int = HOT, block: int = BL
     )
     several = placed.groupBy("sig").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("sig")
     open_rows = written(placed.join(several, "sig").select("id", "low", "comp").distinct(), "open")
-    more = written(_across(open_rows, sets, rule, block), "more-links")
+    dropped(members)
+    more = _across(open_rows, sets, rule, block)
+    dropped(open_rows)
+    dropped(sets)
     final = components(links.unionByName(more))
+    dropped(links)
+    dropped(more)
 
     by_class = classes.join(final, classes.id == final.node, "left").select(
         "d1", "d2", F.coalesce("root", "id").alias("root")
@@ -470,7 +496,7 @@ def _verify(pairs: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
 
 
 def _across(open_rows: DataFrame, sets: DataFrame, rule: Rule, block: int) -> DataFrame:
-    """Links between different components inside the groups that signatures hold together."""
+    """Links between different components inside the groups that signatures hold together, written."""
     groups = components(open_rows.select(F.col("id").alias("a"), F.col("low").alias("b")))
     docs = open_rows.select("id", "comp").distinct().join(groups, F.col("id") == F.col("node")).select(
         "id", "comp", F.col("root").alias("grp")
@@ -481,7 +507,9 @@ def _across(open_rows: DataFrame, sets: DataFrame, rule: Rule, block: int) -> Da
         "grp", "id", "comp", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
     ).select("grp", "id", "comp", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
     dealt = written(dealt, "dealt")  # of known size: the join need not move all sets for a few rows
-    return (
+    more = written(
         dealt.join(sets.select("id", "tokens"), "id").select("grp", "i", "j", "own", "id", "comp", "tokens")
-        .groupBy("grp", "i", "j").applyInArrow(_block_links(rule.percent), "a long, b long")
+        .groupBy("grp", "i", "j").applyInArrow(_block_links(rule.percent), "a long, b long"), "more-links",
     )
+    dropped(dealt)
+    return more

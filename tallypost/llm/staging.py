@@ -6,7 +6,12 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..session import ship, workspace
 
-_DROP_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+# While a table is written: its shuffle files go once it is complete, and Python gets as many rows
+# at a time, which bounds the memory of a worker when texts are long.
+_WHILE_WRITING = {
+    "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true",
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "1024",
+}
 
 
 def prepared(spark: SparkSession) -> SparkSession:
@@ -21,12 +26,14 @@ def written(df: DataFrame, label: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = workspace(spark, label)
-    before = spark.conf.get(_DROP_SHUFFLES, "false")
-    spark.conf.set(_DROP_SHUFFLES, "true")
+    before = {key: spark.conf.get(key, None) for key in _WHILE_WRITING}
     try:
+        for key, value in _WHILE_WRITING.items():
+            spark.conf.set(key, value)
         df.write.option("compression", "zstd").parquet(path)
     finally:
-        spark.conf.set(_DROP_SHUFFLES, before)
+        for key, value in before.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
     out = spark.read.schema(df.schema).parquet(path)
     out._staged_at = path
     return out

@@ -26,6 +26,7 @@ from .tokens import BYTE_BPE, blank_units, encoder, tokenizer_path
 
 CAPACITY = 1024
 GAP, MOST_ROUNDS = 1e-3, 600
+MOST_SENT = 1 << 20  # rows of three numbers that are sent to every task; more are joined by a shuffle
 
 Pattern = dict[int, int]
 
@@ -214,12 +215,12 @@ def _pieces(path: str, end_id: int, capacity: int):
 
 def pack(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str | None = None,
-    end_id: int = 0, capacity: int = CAPACITY,
+    end_id: int = 0, capacity: int = CAPACITY, with_ids: bool = True,
 ) -> DataFrame:
-    """One row per piece: doc_id, start, length, ids, doc_tokens, sequence_id, offset.
+    """One row per piece: doc_id, start, length, ids, ids_crc32, doc_tokens, sequence_id, offset.
 
     A document's ids are those of its text and `end_id`; `start` counts its ids before the
-    piece, `ids` are little-endian uint32. Within a sequence pieces lie gapless from offset
+    piece, `ids` are little-endian uint32 (left out without `with_ids`), `ids_crc32` their checksum. Within a sequence pieces lie gapless from offset
     0. Null and empty texts are one piece of one id. Rows with null or repeated ids are
     packed each for itself; other columns are not carried. No documents, no pieces.
     """
@@ -242,13 +243,20 @@ def pack(
         allotments(plan(demand, capacity)),
         "length long, first long, stop long, copies long, sequence long, place long",
     )
-    ranked = pieces.join(base, ["part", "length"]).withColumn("rank", F.col("base") + F.col("number"))
+    pieces = pieces.withColumn("ids_crc32", F.crc32("ids"))
+    kept = ["doc_id", "start", "length", "ids", "ids_crc32", "doc_tokens"]
+    if not with_ids:
+        kept.remove("ids")
+    base = written(base, "bases")
+    if base.count() <= MOST_SENT:  # else both sides are shuffled
+        base = F.broadcast(base)
+    ranked = pieces.select("part", "number", *kept).join(base, ["part", "length"]).withColumn("rank", F.col("base") + F.col("number"))
     within = F.col("rank") - F.col("first")
     return (
         ranked.join(F.broadcast(dealt), "length")
         .where((F.col("rank") >= F.col("first")) & (F.col("rank") < F.col("stop")))
         .select(
-            "doc_id", "start", "length", "ids", "doc_tokens",
+            *kept,
             (F.col("sequence") + F.expr("(rank - first) div copies")).alias("sequence_id"),
             (F.col("place") + (within % F.col("copies")) * F.col("length")).alias("offset"),
         )

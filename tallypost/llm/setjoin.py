@@ -448,8 +448,9 @@ def link_components(docs: DataFrame, rule: Rule, hot: int = HOT, block: int = BL
     shared = coarse.groupBy("sig").agg(F.min("d1").alias("x"), F.max("d1").alias("y")).where("x <> y").select(F.col("sig").alias("s"))
     # written, so that the signatures' shuffle is gone before the texts are moved
     candidates = written(coarse.join(shared, coarse.sig == shared.s).select("d1").distinct().join(classes, "d1"), "candidates")
+    # the texts move at every size: candidates grow with them
     sets = written(
-        known.join(candidates, known.doc_id == candidates.id).select("id", "d1", "d2", "text")
+        known.join(candidates.hint("merge"), known.doc_id == candidates.id).select("id", "d1", "d2", "text")
         .mapInArrow(_sets(rule), "id long, size long, tokens array<long>, schemes array<struct<band: long, need: long, taken: long>>")
         .withColumn("number", F.monotonically_increasing_id()), "sets",
     )

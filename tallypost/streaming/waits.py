@@ -8,6 +8,9 @@ watermark allows. The entry of an id goes when its wait ends; an event that nobo
 goes `keep` after it came.
 
 Rows of one id meet in one task. Repeats are folded before the shuffle, per Arrow batch.
+Ids are handed out in sequence, so state is kept by blocks of neighbouring ids, and rows go
+to it in packs of a block: a task asks Spark for one value and one timer per block, not per
+id. Entries stay each on their own. A row is late when the watermark has reached its time.
 """
 
 from __future__ import annotations
@@ -33,17 +36,28 @@ _INPUT = T.StructType([
     T.StructField("id", T.IntegerType()), T.StructField("kind", T.IntegerType()), T.StructField("at", T.TimestampType()),
     T.StructField("seconds", T.IntegerType()), T.StructField("log_offset", T.LongType()), T.StructField("content", T.StringType()),
 ])
-RESULT = T.StructType([
-    T.StructField("id", T.IntegerType()), T.StructField("result", T.StringType()), T.StructField("waited_at", T.TimestampType()),
-    T.StructField("ended_at", T.TimestampType()), T.StructField("content", T.StringType()),
-])
 # Times in microseconds; null is not known yet.
 _ENTRY = T.StructType([
     T.StructField("waited_at", T.LongType()), T.StructField("deadline", T.LongType()), T.StructField("cancelled_at", T.LongType()),
     T.StructField("event_at", T.LongType()), T.StructField("log_offset", T.LongType()), T.StructField("content", T.StringType()),
-    T.StructField("timer", T.LongType()),
+    T.StructField("id", T.IntegerType()),
+])
+_BLOCK = T.StructType([T.StructField("timer", T.LongType()), T.StructField("entries", T.ArrayType(_ENTRY))])
+# What ended in a block, a list per column.
+_ENDED = T.StructType([
+    T.StructField("id", T.ArrayType(T.IntegerType())), T.StructField("result", T.ArrayType(T.StringType())),
+    T.StructField("waited_at", T.ArrayType(T.LongType())), T.StructField("ended_at", T.ArrayType(T.LongType())),
+    T.StructField("content", T.ArrayType(T.StringType())),
 ])
 ENTRY = "entry"  # name of the state variable
+BLOCK_BITS = 8
+# A task packs what it holds at this many rows or bytes.
+PACK_ROWS, PACK_BYTES = 1 << 18, 1 << 25
+# Rows of a block: the name of the block, the latest time, and for each row id, kind, time, seconds, offset as 64-bit numbers.
+_PACK = T.StructType([
+    T.StructField("id", T.IntegerType()), T.StructField("at", T.TimestampType()),
+    T.StructField("numbers", T.BinaryType()), T.StructField("content", T.ArrayType(T.StringType())),
+])
 
 
 class Entry(NamedTuple):
@@ -53,7 +67,7 @@ class Entry(NamedTuple):
     event_at: int | None = None
     log_offset: int | None = None
     content: str | None = None
-    timer: int | None = None  # milliseconds
+    id: int | None = None
 
     def with_wait(self, at: int, seconds: int) -> Entry:
         """Of several waits the earliest counts, then the one that ends first."""
@@ -94,53 +108,69 @@ class Entry(NamedTuple):
         return -(-at // 1000)
 
 
-def _timestamp(micros: int):
-    import datetime
-
-    return datetime.datetime.fromtimestamp(0, datetime.timezone.utc) + datetime.timedelta(microseconds=micros)
-
-
 class Waits(StatefulProcessor):
+    """Entries of a block of ids, under the largest id of the block."""
+
     def __init__(self, keep: int):
         self._keep = keep
 
     def init(self, handle) -> None:
         self._handle = handle
-        self._state = handle.getValueState(ENTRY, _ENTRY)
+        self._state = handle.getValueState(ENTRY, _BLOCK)
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        entry = Entry(*self._state.get()) if self._state.exists() else Entry()
-        before = entry.timer
-        for r in rows:
-            at = r.at_micros
-            if r.kind == WAIT:
-                entry = entry.with_wait(at, r.seconds)
-            elif r.kind == CANCEL:
-                entry = entry.with_cancel(at)
-            else:
-                entry = entry.with_event(at, r.log_offset, r.content)
-        entry = entry._replace(timer=entry.due(self._keep))
-        if before != entry.timer:
+    def _entries(self) -> tuple[int | None, dict[int, Entry]]:
+        timer, entries = self._state.get() or (None, ())
+        return timer, {e[-1]: Entry(*e) for e in entries}
+
+    def _store(self, entries: dict[int, Entry], before: int | None) -> None:
+        """One timer, at the earliest time that could end an entry of the block."""
+        timer = min(e.due(self._keep) for e in entries.values())
+        if before != timer:
             if before is not None:
                 self._handle.deleteTimer(before)
-            self._handle.registerTimer(entry.timer)
-        self._state.update(tuple(entry))
+            self._handle.registerTimer(timer)
+        self._state.update((timer, [tuple(e) for e in entries.values()]))
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        before, entries = self._entries()
+        reached = timerValues.getCurrentWatermarkInMs() * 1000
+        for pack in rows:
+            numbers = np.frombuffer(pack.numbers, np.int64).reshape(-1, 5).tolist()
+            for (id_, kind, at, seconds, offset), content in zip(numbers, pack.content):
+                if at <= reached:
+                    continue
+                entry = entries.get(id_) or Entry(id=id_)
+                if kind == WAIT:
+                    entry = entry.with_wait(at, seconds)
+                elif kind == CANCEL:
+                    entry = entry.with_cancel(at)
+                else:
+                    entry = entry.with_event(at, offset, content)
+                entries[id_] = entry
+        if entries:
+            self._store(entries, before)
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        if not self._state.exists():
-            return
-        entry = Entry(*self._state.get())
-        if entry.timer is not None and entry.timer > expiredTimerInfo.getExpiryTimeInMs():
+        now = expiredTimerInfo.getExpiryTimeInMs()
+        timer, entries = self._entries()
+        if timer is None or timer > now:
             return  # an older timer
-        self._state.clear()
-        end = entry.ends()
-        if end:
-            at, how = end
-            yield Row(
-                id=key[0], result=how, waited_at=_timestamp(entry.waited_at), ended_at=_timestamp(at),
-                content=entry.content if how == MET else None,
-            )
+        # what the watermark has reached goes at once, so that no timer is set behind it
+        now = max(now, timerValues.getCurrentWatermarkInMs())
+        left, ended = {}, []
+        for id_, entry in entries.items():
+            if entry.due(self._keep) > now:
+                left[id_] = entry
+            elif end := entry.ends():
+                at, how = end
+                ended.append((id_, how, entry.waited_at, at, entry.content if how == MET else None))
+        if left:
+            self._store(left, None)  # Spark drops the timer that has expired
+        else:
+            self._state.clear()
+        if ended:
+            yield Row(**dict(zip(_ENDED.names, map(list, zip(*ended)))))
 
     def close(self) -> None:
         pass
@@ -157,6 +187,38 @@ def _folded(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield b.take(pa.array(np.sort(order[first])))
 
 
+def _pack(batches: list[pa.RecordBatch]) -> pa.RecordBatch:
+    """A row per block of ids. A block goes by its largest id: those of negative ids are negative."""
+    b = next(_folded(pa.Table.from_batches(batches).combine_chunks().to_batches()))
+    columns = [b.column("at").cast(pa.int64()) if c == "at" else b.column(c) for c in ("id", "kind", "at", "seconds", "log_offset")]
+    numbers = np.column_stack([c.to_numpy(zero_copy_only=False).astype(np.int64) for c in columns])
+    order = np.argsort(numbers[:, 0], kind="stable")
+    numbers = np.ascontiguousarray(numbers[order])
+    blocks = numbers[:, 0] | ((1 << BLOCK_BITS) - 1)
+    first = np.flatnonzero(np.append(True, blocks[1:] != blocks[:-1]))
+    bounds = np.append(first, len(blocks)).astype(np.int32)
+    packed = pa.Array.from_buffers(
+        pa.binary(), len(first), [None, pa.py_buffer(bounds * numbers.itemsize * numbers.shape[1]), pa.py_buffer(numbers)]
+    )
+    latest = pa.array(np.maximum.reduceat(numbers[:, 2], first)).cast(b.schema.field("at").type)
+    content = pa.ListArray.from_arrays(pa.array(bounds), b.column("content").take(pa.array(order)))
+    return pa.RecordBatch.from_arrays(
+        [pa.array(blocks[first].astype(np.int32)), latest, packed, content], names=_PACK.names
+    )
+
+
+def _packed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    held: list[pa.RecordBatch] = []
+    for b in _folded(batches):
+        if b.num_rows:
+            held.append(b)
+        if sum(h.num_rows for h in held) >= PACK_ROWS or sum(h.nbytes for h in held) >= PACK_BYTES:
+            yield _pack(held)
+            held = []
+    if held:
+        yield _pack(held)
+
+
 def _rows(df: DataFrame, kind: int, at: str, **columns: str) -> DataFrame:
     have = {"seconds": F.lit(0), "log_offset": F.lit(0), "content": F.lit(None)} | {k: F.col(v) for k, v in columns.items()}
     return df.where(F.col("id").isNotNull() & F.col(at).isNotNull()).select(
@@ -184,14 +246,15 @@ def waits_stream(
              _rows(events, EVENT, "delivered_at", log_offset="log_offset", content="content")]
     if cancellations is not None:
         sides.append(_rows(cancellations, CANCEL, "cancelled_at"))
-    # folded before the watermark, as Python functions drop its mark
-    sides = [side.mapInArrow(_folded, _INPUT).withWatermark("at", delay) for side in sides]
+    # packed before the watermark, as Python functions drop its mark
+    sides = [side.mapInArrow(_packed, _PACK).withWatermark("at", delay) for side in sides]
     together = sides[0]
     for side in sides[1:]:
         together = together.unionByName(side)
-    return (
-        together.withColumn("at_micros", F.unix_micros("at")).groupBy("id")
-        .transformWithState(Waits(keep), RESULT, "Append", "EventTime")
+    ended = together.groupBy("id").transformWithState(Waits(keep), _ENDED, "Append", "EventTime")
+    return ended.select(F.inline(F.arrays_zip(*_ENDED.names))).select(
+        "id", "result", F.timestamp_micros("waited_at").alias("waited_at"), F.timestamp_micros("ended_at").alias("ended_at"),
+        "content",
     )
 
 
@@ -201,7 +264,6 @@ def waiting(spark, checkpoint: str, operator: int = 0) -> DataFrame:
     Read from the state in its checkpoint; the stream need not run.
     """
     state = spark.read.format("statestore").option("operatorId", operator).option("stateVarName", ENTRY).load(checkpoint)
-    return state.where("value.waited_at is not null").select(
-        F.col("key.id").alias("id"), F.timestamp_micros("value.waited_at").alias("waited_at"),
-        F.timestamp_micros("value.deadline").alias("deadline"),
+    return state.select(F.inline("value.entries")).where("waited_at is not null").select(
+        "id", F.timestamp_micros("waited_at").alias("waited_at"), F.timestamp_micros("deadline").alias("deadline"),
     )

@@ -123,3 +123,36 @@ def test_repeats_are_folded_before_the_shuffle(spark):
     ])
     out = next(W._folded([batch])).to_pylist()
     assert [(r["id"], r["kind"], r["content"], r["seconds"]) for r in out] == [(1, 2, "a", 0), (1, 1, None, 0), (2, 0, None, 3)]
+
+
+def test_neighbouring_ids_share_state_but_not_results(spark, tmp_path):
+    """State has an entry per block of ids, each wait in it ends by itself, and a late row in a pack takes no part."""
+    feed = Feed(spark, str(tmp_path), delay="10 seconds")
+    ids = [*range(1, 600), 2**31 - 1]
+    feed.send(waits=[(i, s(0), 100 + i % 7) for i in ids], events=[(i, s(3), 1, "a") for i in ids[::50]])
+    state = spark.read.format("statestore").option("stateVarName", W.ENTRY).load(f"{tmp_path}/cp")
+    assert state.where("key.id > 0").count() == 4  # 1 to 255, 256 to 511, 512 to 599, the last
+    assert W.waiting(spark, f"{tmp_path}/cp").count() == len(ids)
+    feed.send(waits=[(-1, s(60), 1)], events=[(-2, s(60), 1, "x")], cancels=[(-3, s(60))])
+    assert feed.results() == {i: ("met", 3, "a") for i in ids[::50]}
+    # ids[0] again, late, beside a wait of the same block that is not
+    feed.send(waits=[(ids[0], s(0), 100), (700, s(70), 30)])
+    feed.end(hours=3)
+    want = {i: ("expired", 100 + i % 7, None) for i in ids} | {i: ("met", 3, "a") for i in ids[::50]}
+    assert feed.results() == want | {700: ("expired", 100, None)}
+
+
+def test_rows_of_a_block_travel_as_one(spark):
+    import pyarrow as pa
+
+    def batch(ids):
+        return pa.RecordBatch.from_pylist([
+            {"id": i, "kind": W.EVENT, "at": s(i), "seconds": 0, "log_offset": i, "content": f"c{i}" if i % 2 else None} for i in ids
+        ])
+
+    [out] = W._packed([batch([300, -1, 5]), batch([9]).slice(1), batch([7, 5, -300])])
+    rows = {r["id"]: r for r in out.to_pylist()}
+    assert {k: (r["at"], r["content"]) for k, r in rows.items()} == {
+        -257: (s(-300), [None]), -1: (s(-1), ["c-1"]), 255: (s(7), ["c5", "c7"]), 511: (s(300), [None]),
+    }
+    assert len(rows[255]["numbers"]) == 2 * 5 * 8

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from .staging import prepared, written
 from .text import slices
-from .tokens import BYTE_BPE, blank_units, encoder, tokenizer_path
+from .tokens import BYTE_BPE, encoder, tokenizer_path
 
 CAPACITY = 1024
 GAP, MOST_ROUNDS = 1e-3, 600
@@ -186,7 +186,7 @@ def _pieces(path: str, end_id: int, capacity: int):
         for b in batches:
             doc_ids = b.column("doc_id")
             for s in slices(b.column("text")):
-                flat, counts = model.ids(s, blank_units(s))
+                flat, counts = model.ids(s, model.units(s))
                 ids = np.insert(flat, np.cumsum(counts), end_id).astype("<u4")
                 sizes = counts + 1
                 per_doc = -(-sizes // capacity)

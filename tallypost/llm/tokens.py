@@ -1,12 +1,14 @@
 """Token ids of many texts at once, with a public vocabulary and the tokenizers library.
 
 A text is cut into units at blanks, where the pre-tokenizers of both vocabularies always
-end a piece, so the ids of a text are those of its units one after the other. Units repeat
-far more than texts: their ids are kept in a direct-mapped table of fixed size.
+end a piece, so the ids of a text are those of its units one after the other. With a byte-level
+vocabulary a piece of letters also ends before a stop. Units repeat far more than texts: their
+ids are kept in a direct-mapped table of fixed size.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import re
 from functools import lru_cache
@@ -16,10 +18,16 @@ import numpy as np
 
 from .text import NOT_BLANK, U, Slice, span_hashes, words
 
-SLOT_BITS, MOST_ENTRIES, MOST_IDS = 20, 1 << 20, 1 << 23
+SLOT_BITS, MOST_ENTRIES, MOST_IDS = 21, 1 << 20, 1 << 23
 BYTE_BPE, WORD_BPE = "byte_bpe_50k.json", "word_bpe_49k.json"
 
-_LETTERS, _LETTERS_AFTER_SPACE = re.compile("[A-Za-z]+"), re.compile(" ?[A-Za-z]+")
+_LETTERS, _LETTERS_AFTER_SPACE = re.compile("[A-Za-z]+"), re.compile(" ?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+")
+# Signs that end a piece of letters; no apostrophe, which may begin a piece with letters.
+_STOPS = ".,;:!?#$%&*"
+
+_SHOWN = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+# How byte-level vocabularies write bytes: those that cannot be seen as the characters from 256.
+_AS_SIGNS = {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in _SHOWN)}
 
 # White space that is no ASCII blank, before a blank: there a unit may not end.
 _JOINED = re.compile(
@@ -47,20 +55,42 @@ def word_units(s: Slice) -> Units:
     return Units(w.start, w.end, w.first)
 
 
-def blank_units(s: Slice) -> Units:
-    """Words with the blanks before them, and blanks at the end: nothing is left out."""
+def _ends_letters(s: Slice, stop: np.ndarray) -> np.ndarray:
+    """Places of the stops right behind an ASCII letter or one of two bytes from U+00C0 on."""
+    at = np.flatnonzero(stop[s.data])
+    at = at[at > 0]
+    before = s.data[at - 1]
+    lead = s.data[np.maximum(at - 2, 0)]
+    folded = before | 0x20
+    latin = (lead == 0xC3) & (before >= 0x80) & (before != 0x97) & (before != 0xB7) & (at > 1)
+    return at[((folded >= 0x61) & (folded <= 0x7A) & (before < 0x80)) | latin]
+
+
+def blank_units(s: Slice, stop: np.ndarray | None = None) -> Units:
+    """Words with the blanks before them, and blanks at the end: nothing is left out.
+
+    With `stop`, a table of bytes, letters and what follows from such a byte on are units apart.
+    """
     w = words(s, NOT_BLANK)
     # a unit ends where a word or a text that is not empty does
     ends = np.zeros(len(s.data) + 1, bool)
     ends[w.end] = True
     for m in _JOINED.finditer(s.data):
         ends[m.end() - 1] = False
+    if stop is not None:
+        ends[_ends_letters(s, stop)] = True
     ends[s.offsets[1:][np.diff(s.offsets) > 0]] = True
     end = np.flatnonzero(ends)
     start = np.concatenate([[0], end[:-1]]) if len(end) else end
     return Units(start, end, np.searchsorted(end, s.offsets, "right"))
 
 
+def _signs(unit: str) -> str | None:
+    if not _LETTERS_AFTER_SPACE.fullmatch(unit):
+        return None
+    return unit.replace(" ", "\u0120") if unit.isascii() else unit.encode().decode("latin-1").translate(_AS_SIGNS)
+
+
 class Encoder:
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -68,24 +98,46 @@ class Encoder:
 
         self._tokenizer = Tokenizer.from_file(path)
         self._plain = self._plain_form()
+        self._stop = self._stops()
         self._clear()
 
     def _plain_form(self) -> Callable[[str], str | None]:
         """How the model itself takes a unit of ASCII letters: then the steps before it can be left out.
 
-        Such a unit is one piece: with its blank as the byte-level sign, or in lower case.
+        Such a unit is one piece: its bytes as signs, also of Latin-1 letters, or in lower case.
         A form is used only if it gives the ids of the whole tokenizer on some examples.
         """
         forms = [
-            lambda unit: unit.replace(" ", "\u0120") if _LETTERS_AFTER_SPACE.fullmatch(unit) else None,
+            _signs,
             lambda unit: unit.lower() if _LETTERS.fullmatch(unit) else None,
         ]
         for form in forms:
-            examples = [u for u in (" the", "The", " Don", "shouting", " QED", "xqzjw") if form(u)]
+            examples = [u for u in (" the", "The", " Don", "shouting", " QED", "xqzjw", " \u00d6l\u00e0", "se\u00f1or\u00df\u00ff") if form(u)]
             if all(self._model_ids(form(u)) == self._tokenizer.encode(u, add_special_tokens=False).ids for u in examples):
                 return form
         return lambda unit: None
 
+    def _stops(self) -> np.ndarray | None:
+        """Stops that always end a piece of letters, as a table of bytes; None if the vocabulary has no such rule.
+
+        The byte-level pieces are ` ?\\p{L}+`, runs of other signs and so on. A sign of an added token,
+        which is searched for in the text before that, is none.
+        """
+        step = self._tokenizer.pre_tokenizer
+        rule = json.loads(step.__getstate__()) if step else {}  # its own part of the file
+        if rule.get("type") != "ByteLevel" or rule.get("add_prefix_space") or not rule.get("use_regex", True):
+            return None
+        if self._tokenizer.normalizer:
+            return None
+        added = "".join(t.content for t in self._tokenizer.get_added_tokens_decoder().values())
+        stop = np.zeros(256, bool)
+        stop[[ord(c) for c in _STOPS if c not in added]] = True
+        return stop
+
+    def units(self, s: Slice) -> Units:
+        """Units that leave nothing out, as small as the vocabulary allows."""
+        return blank_units(s, self._stop)
+
     def encode(self, text: str):
         """The library's own encoding, with the place of every id."""
         return self._tokenizer.encode(text, add_special_tokens=False)
@@ -95,7 +147,7 @@ class Encoder:
 
     def _clear(self) -> None:
         self._keys = np.zeros(1 << SLOT_BITS, np.uint64)
-        self._slot = np.full(1 << SLOT_BITS, -1, np.int64)
+        self._slot = np.full(1 << SLOT_BITS, -1, np.int32)
         self._first = np.zeros(1, np.int64)
         self._ids = np.zeros(0, np.uint32)
         self._pending: list[np.ndarray] = []
@@ -119,7 +171,7 @@ class Encoder:
             self._clear()
         h = span_hashes(s.data, units.start, units.end)
         slot = (h >> U(64 - SLOT_BITS)).astype(np.int64)
-        entry = self._slot[slot]
+        entry = self._slot[slot].astype(np.int64)
         new = np.flatnonzero((self._keys[slot] != h) | (entry < 0))
         if len(new):
             fresh, at, which = np.unique(h[new], return_index=True, return_inverse=True)

@@ -116,6 +116,22 @@ def test_units_give_the_ids_of_the_whole_text():
                 assert ids.tolist() == model._tokenizer.encode(text, add_special_tokens=False).ids, repr(text)
 
 
+def test_letters_end_before_stops():
+    """A word is learned once whatever sign follows it, and the ids are those of the whole text."""
+    model, rng = Encoder(tokenizer_path(BYTE_BPE)), random.Random(4)
+    pieces = ["a", "Ö", "ñ", "×", "÷", "ж", "ª", "\u0300", " ", " ", "\n", "'", "'s", "1", *".,;:!?#$%&*", "<|endoftext|>", "|"]
+    texts = ["".join(rng.choices(pieces, k=rng.randint(0, 12))) for _ in range(3000)] + [None, "", ".", "é."]
+    for s in slices(pa.array(texts)):
+        flat, counts = model.ids(s, model.units(s))
+        for text, ids in zip(texts[s.row :], np.split(flat, np.cumsum(counts)[:-1])):
+            assert ids.tolist() == model._tokenizer.encode(text or "", add_special_tokens=False).ids, repr(text)
+    model = Encoder(tokenizer_path(BYTE_BPE))
+    [s] = slices(pa.array([" señor señor, señor. señor!", " señor señor? señor;"]))
+    model.ids(s, model.units(s))
+    assert len(model._first) - 1 == 6  # the word and five signs
+    assert Encoder(tokenizer_path(WORD_BPE))._stop is None
+
+
 def test_chunks_of_huge_texts():
     model, rng = Encoder(tokenizer_path(WORD_BPE)), random.Random(2)
     for _ in range(40):

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from datetime import datetime, timedelta
+from functools import partial
 from typing import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -11,7 +12,7 @@ from .. import fixtures as X
 from ..functions import codec, names, sketches
 from ..operators import changes as C, delivery as D, ingest as I, metrics as M, outbox as O, quality as Q
 from ..schemas import CDC_TOPIC, MESSAGE_TOPIC, OUTBOX, TYPE_NAME, TYPE_NAME_LIMIT, WAIT_SECONDS
-from ..session import prepare, stage, workspace
+from ..session import prepare, side_by_side, stage, workspace
 from ..sinks import committed, report, tables, topics as topic_sinks
 from ..sinks.batches import BatchStore
 from ..sinks.ledger import IdLedger
@@ -507,8 +508,9 @@ def _waited(spark: SparkSession, sf_dir: str, mixed: bool) -> DataFrame:
 @_query
 def waits_stream(spark, sf_dir):
     """Met, expired or cancelled: the same for two orders of arrival."""
-    by_arrival = {"in order": _waited(spark, sf_dir, False), "mixed": _waited(spark, sf_dir, True)}
-    return D.merge_producers(*[df.withColumn("arrival", F.lit(name)) for name, df in by_arrival.items()])
+    by_arrival = {"in order": False, "mixed": True}
+    waited = side_by_side(spark, (partial(_waited, spark, sf_dir, mixed) for mixed in by_arrival.values()))
+    return D.merge_producers(*[df.withColumn("arrival", F.lit(name)) for name, df in zip(by_arrival, waited)])
 
 
 @_query

@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 from datetime import datetime, timedelta
-from functools import reduce
+from functools import partial, reduce
 from typing import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..session import workspace
-from ..streaming.run import append_sink, read_sink, replay, slice_between, time_cuts
+from ..session import side_by_side, workspace
+from ..streaming.run import append_sink, cuts_between, read_sink, replay, slice_between
 
 # Id of the records that only move the watermark past the last real one, unless the caller has a free one.
 _END_ID = -1
@@ -73,19 +73,20 @@ def run_over(
     """
     root = workspace(spark, label)
     landings = {name: Landing(df, arrival, f"{root}/in-{name}") for name, (df, arrival) in tables.items()}
-    lead = next(iter(landings.values()))
-    cuts = time_cuts(lead.df, lead.arrival, slices)
-    known = [land.df.agg(F.max(land.arrival), F.min("id"), F.max("id")).first() for land in landings.values()]
-    latest = max((t for t, _, _ in known if t is not None), default=datetime(1970, 1, 1))
-    ids = [(low, high) for _, low, high in known if low is not None]
+    known = sorted(reduce(DataFrame.union, (
+        land.df.agg(F.lit(i), F.min(land.arrival), F.max(land.arrival), F.min("id"), F.max("id"))
+        for i, land in enumerate(landings.values())
+    )).collect())  # in one job, the first table leads
+    cuts = cuts_between(*known[0][1:3], slices)
+    latest = max((t for _, _, t, _, _ in known if t is not None), default=datetime(1970, 1, 1))
+    ids = [(low, high) for *_, low, high in known if low is not None]
     end_id = _free_id([*landings.values()], min((x for x, _ in ids), default=None), max((x for _, x in ids), default=None))
 
     def slice_step(i: int) -> Callable[[], None]:
-        return lambda: [land.land(cuts, i) for land in landings.values()]
+        return lambda: side_by_side(spark, (partial(land.land, cuts, i) for land in landings.values()))
 
     def end_step() -> None:
-        for land in landings.values():
-            land.land_end(latest + end_gap, end_id)
+        side_by_side(spark, (partial(land.land_end, latest + end_gap, end_id) for land in landings.values()))
 
     steps = [*(slice_step(i) for i in range(len(cuts) + 1)), end_step]
     shape: list[DataFrame] = []

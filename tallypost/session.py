@@ -5,9 +5,12 @@ from __future__ import annotations
 import shutil
 import tempfile
 import uuid
+from concurrent.futures import ThreadPoolExecutor
 from pathlib import Path
+from typing import Callable, Iterable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.util import inheritable_thread_target
 
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -87,6 +90,13 @@ def workspace(spark: SparkSession, label: str) -> str:
     return f"{shared_root(spark)}/tallypost/{label}-{uuid.uuid4().hex}"
 
 
+def side_by_side(spark: SparkSession, steps: Iterable[Callable]) -> list:
+    """Results of steps that run at the same time, so that the cores have work while one of them waits."""
+    steps = [inheritable_thread_target(spark)(step) for step in steps]  # with the caller's job settings
+    with ThreadPoolExecutor(max(1, len(steps))) as pool:
+        return [done.result() for done in [pool.submit(step) for step in steps]]
+
+
 def stage(df: DataFrame, label: str) -> DataFrame:
     """Write `df` to the shared folder and read it back.
 

@@ -27,7 +27,11 @@ def read_sink(spark: SparkSession, path: str, like: DataFrame) -> DataFrame:
 
 def time_cuts(df: DataFrame, column: str, slices: int) -> list:
     """Inner borders that cut the time range of `df` into equal slices."""
-    low, high = df.agg(F.min(column), F.max(column)).first()
+    return cuts_between(*df.agg(F.min(column), F.max(column)).first(), slices)
+
+
+def cuts_between(low, high, slices: int) -> list:
+    """The same between two times; none where there is no time."""
     if low is None:
         return []
     step = (high - low) / slices

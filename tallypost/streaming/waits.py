@@ -8,9 +8,10 @@ watermark allows. The entry of an id goes when its wait ends; an event that nobo
 goes `keep` after it came.
 
 Rows of one id meet in one task. Repeats are folded before the shuffle, per Arrow batch.
-Ids are handed out in sequence, so state is kept by blocks of neighbouring ids, and rows go
-to it in packs of a block: a task asks Spark for one value and one timer per block, not per
-id. Entries stay each on their own. A row is late when the watermark has reached its time.
+Ids are handed out in sequence, so rows are packed by blocks of neighbouring ids, state is kept
+by blocks, and packs travel and a task asks Spark for a list and a timer by groups of
+neighbouring blocks, not by ids. Entries stay each on their own: columns of numbers that are
+settled together. A row is late when the watermark has reached its time.
 """
 
 from __future__ import annotations
@@ -36,21 +37,20 @@ _INPUT = T.StructType([
     T.StructField("id", T.IntegerType()), T.StructField("kind", T.IntegerType()), T.StructField("at", T.TimestampType()),
     T.StructField("seconds", T.IntegerType()), T.StructField("log_offset", T.LongType()), T.StructField("content", T.StringType()),
 ])
-# Times in microseconds; null is not known yet.
-_ENTRY = T.StructType([
-    T.StructField("waited_at", T.LongType()), T.StructField("deadline", T.LongType()), T.StructField("cancelled_at", T.LongType()),
-    T.StructField("event_at", T.LongType()), T.StructField("log_offset", T.LongType()), T.StructField("content", T.StringType()),
-    T.StructField("id", T.IntegerType()),
-])
-_BLOCK = T.StructType([T.StructField("timer", T.LongType()), T.StructField("entries", T.ArrayType(_ENTRY))])
-# What ended in a block, a list per column.
-_ENDED = T.StructType([
-    T.StructField("id", T.ArrayType(T.IntegerType())), T.StructField("result", T.ArrayType(T.StringType())),
-    T.StructField("waited_at", T.ArrayType(T.LongType())), T.StructField("ended_at", T.ArrayType(T.LongType())),
-    T.StructField("content", T.ArrayType(T.StringType())),
+# Columns of so many rows, in little room, and the contents one behind the other.
+_COLUMNS = [T.StructField("rows", T.IntegerType()), T.StructField("numbers", T.BinaryType()), T.StructField("content", T.BinaryType())]
+# What is known of a block of ids: when the first entry is due, and the row of each id and kind that counts.
+_BLOCK = T.StructType([T.StructField("timer", T.LongType()), *_COLUMNS])
+# What ended in a group of blocks: for each wait id, result, start, end, length of the content.
+_ENDED = T.StructType(_COLUMNS)
+_RESULT = T.StructType([
+    T.StructField("id", T.IntegerType()), T.StructField("result", T.StringType()), T.StructField("waited_at", T.TimestampType()),
+    T.StructField("ended_at", T.TimestampType()), T.StructField("content", T.StringType()),
 ])
 ENTRY = "entry"  # name of the state variable
 BLOCK_BITS = 8
+# Blocks of so many ids share a list and a timer. A batch that touches one of them writes the list anew, some 100 KB.
+GROUP_BITS = 12
 # A task packs what it holds at this many rows or bytes.
 PACK_ROWS, PACK_BYTES = 1 << 18, 1 << 25
 # Rows of a block: the name of the block, the latest time, and for each row id, kind, time, seconds, offset as 64-bit numbers.
@@ -58,119 +58,172 @@ _PACK = T.StructType([
     T.StructField("id", T.IntegerType()), T.StructField("at", T.TimestampType()),
     T.StructField("numbers", T.BinaryType()), T.StructField("content", T.ArrayType(T.StringType())),
 ])
+# The packs of a group as one: the name of the group, the latest time, the rows.
+_GROUP = T.StructType([T.StructField("id", T.IntegerType()), T.StructField("at", T.TimestampType()), *_COLUMNS])
+_LZ4 = pa.Codec("lz4_raw")
+NEVER = np.iinfo(np.int64).max
+# How waits end. At one moment an event comes before a cancellation, and either before the end of the bound.
+HOW = (MET, CANCELLED, EXPIRED)
+
+
+class Columns(NamedTuple):
+    """Columns of 64-bit numbers, the last the length of a content in bytes (-1: null), and the contents."""
+
+    numbers: np.ndarray
+    content: np.ndarray
+
+    def stored(self) -> tuple[int, bytes, bytes]:
+        """In little room: steps from row to row, bytes of one weight together, compressed."""
+        steps = np.ascontiguousarray(np.diff(self.numbers, axis=1, prepend=0))
+        weights = np.ascontiguousarray(steps.view(np.uint8).reshape(-1, 8).T)
+        return self.numbers.shape[1], _LZ4.compress(weights, asbytes=True), _LZ4.compress(np.ascontiguousarray(self.content), asbytes=True)
+
+    @classmethod
+    def of(cls, stored, width: int = 6) -> Columns:
+        rows, numbers, content = (stored[c.name] for c in _COLUMNS)
+        weights = np.frombuffer(_LZ4.decompress(numbers, decompressed_size=width * rows * 8, asbytes=True), np.uint8)
+        columns = np.cumsum(np.ascontiguousarray(weights.reshape(8, -1).T).view(np.int64).reshape(width, rows), axis=1)
+        size = int(np.maximum(columns[-1], 0).sum())
+        return cls(columns, np.frombuffer(_LZ4.decompress(content, decompressed_size=size, asbytes=True) if size else b"", np.uint8))
+
+    def take(self, at: np.ndarray) -> Columns:
+        """The rows at these positions, with their contents."""
+        sizes = np.maximum(self.numbers[-1], 0)
+        starts = np.cumsum(sizes) - sizes
+        taken = sizes[at]
+        shift = starts[at] - (np.cumsum(taken) - taken)
+        return Columns(self.numbers[:, at], self.content[np.repeat(shift, taken) + np.arange(taken.sum())])
+
+    def cut(self, firsts: np.ndarray) -> list[Columns]:
+        """The rows from each of these positions to the next."""
+        cuts = [*firsts.tolist(), self.numbers.shape[1]]
+        bounds = np.append(0, np.cumsum(np.maximum(self.numbers[-1], 0)))[cuts].tolist()
+        return [
+            Columns(self.numbers[:, a:b], self.content[x:y]) for a, b, x, y in zip(cuts, cuts[1:], bounds, bounds[1:])
+        ]
+
+    @classmethod
+    def joined(cls, parts: list[Columns]) -> Columns:
+        if len(parts) == 1:
+            return parts[0]
+        return cls(np.concatenate([p.numbers for p in parts], axis=1), np.concatenate([p.content for p in parts]))
+
+
+def _changes(names: np.ndarray) -> np.ndarray:
+    """Where a run of one name begins."""
+    return np.flatnonzero(np.append(True, names[1:] != names[:-1]))
+
+
+def _first(rows: Columns) -> Columns:
+    """The row of each id and kind that counts, in order of ids and kinds.
+
+    Of several waits the earliest, then the one that ends first; of cancellations the
+    earliest; of events the first.
+    """
+    ids, kinds, at, seconds, offsets, _ = rows.numbers
+    order = np.lexsort((offsets, np.maximum(seconds, 0), at, kinds, ids))
+    ids, kinds = ids[order], kinds[order]
+    counts = np.ones(len(order), bool)
+    counts[1:] = (ids[1:] != ids[:-1]) | (kinds[1:] != kinds[:-1])
+    return rows.take(order[counts])
+
 
+def _ends(rows: Columns, keep: int) -> tuple[np.ndarray, ...]:
+    """By the rows that count: their entries as numbers from 0; per entry start of the wait (NEVER: none), end, how, due, row of the event (-1).
 
-class Entry(NamedTuple):
-    waited_at: int | None = None
-    deadline: int | None = None
-    cancelled_at: int | None = None
-    event_at: int | None = None
-    log_offset: int | None = None
-    content: str | None = None
-    id: int | None = None
-
-    def with_wait(self, at: int, seconds: int) -> Entry:
-        """Of several waits the earliest counts, then the one that ends first."""
-        offered = (at, at + max(0, seconds) * 1_000_000)
-        if self.waited_at is not None and (self.waited_at, self.deadline) <= offered:
-            return self
-        return self._replace(waited_at=offered[0], deadline=offered[1])
-
-    def with_cancel(self, at: int) -> Entry:
-        return self if self.cancelled_at is not None and self.cancelled_at <= at else self._replace(cancelled_at=at)
-
-    def with_event(self, at: int, offset: int, content: str | None) -> Entry:
-        """The first event counts."""
-        if self.event_at is not None and (self.event_at, self.log_offset) <= (at, offset):
-            return self
-        return self._replace(event_at=at, log_offset=offset, content=content)
-
-    def ends(self) -> tuple[int, str] | None:
-        """When and how the wait ends, by what is known; None without a wait.
-
-        A cancellation before the wait is no other than one at its start. At one moment an
-        event comes before a cancellation, and either before the end of the bound.
-        """
-        if self.waited_at is None:
-            return None
-        ends = [(self.deadline, 2, EXPIRED)]
-        if self.cancelled_at is not None:
-            ends.append((max(self.cancelled_at, self.waited_at), 1, CANCELLED))
-        if self.event_at is not None:
-            ends.append((max(self.event_at, self.waited_at), 0, MET))
-        at, _, how = min(ends)
-        return at, how
-
-    def due(self, keep: int) -> int:
-        """Watermark in milliseconds at which the entry can be settled."""
-        end = self.ends()
-        at = end[0] if end else max(t for t in (self.event_at, self.cancelled_at) if t is not None) + keep * 1_000_000
-        return -(-at // 1000)
+    A cancellation before the wait is no other than one at its start. An entry is due at the
+    watermark in milliseconds at which it can be settled: its end, or `keep` after what nobody waits for.
+    """
+    ids, kinds, at, seconds, _, _ = rows.numbers
+    new = np.ones(len(ids), bool)
+    new[1:] = ids[1:] != ids[:-1]
+    entry = np.cumsum(new) - 1
+    times = np.full((3, entry[-1] + 1), NEVER)
+    times[kinds, entry] = at
+    bound = np.full(times.shape[1], NEVER)
+    bound[entry[kinds == WAIT]] = (at + np.maximum(seconds, 0) * 1_000_000)[kinds == WAIT]
+    event = np.full(times.shape[1], -1)
+    event[entry[kinds == EVENT]] = np.flatnonzero(kinds == EVENT)
+    waited, cancelled, arrived = times[WAIT], times[CANCEL], times[EVENT]
+    offered = np.stack([np.maximum(arrived, waited), np.maximum(cancelled, waited), bound])  # in the order of HOW
+    how = offered.argmin(axis=0)
+    end = offered.min(axis=0)
+    # without a wait: after the last that is known
+    alone = np.where(cancelled == NEVER, arrived, np.where(arrived == NEVER, cancelled, np.maximum(arrived, cancelled)))
+    due = -(-np.where(waited == NEVER, alone + keep * 1_000_000, end) // 1000)
+    return entry, waited, end, how, due, event
 
 
 class Waits(StatefulProcessor):
-    """Entries of a block of ids, under the largest id of the block."""
+    """Entries of a group of blocks, under the largest id of the group."""
 
     def __init__(self, keep: int):
         self._keep = keep
 
     def init(self, handle) -> None:
         self._handle = handle
-        self._state = handle.getValueState(ENTRY, _BLOCK)
+        self._state = handle.getListState(ENTRY, _BLOCK)
 
-    def _entries(self) -> tuple[int | None, dict[int, Entry]]:
-        timer, entries = self._state.get() or (None, ())
-        return timer, {e[-1]: Entry(*e) for e in entries}
+    def _known(self) -> tuple[int | None, Columns | None]:
+        blocks = [dict(zip(_BLOCK.names, b)) for b in self._state.get()]
+        if not blocks:
+            return None, None
+        return min(b["timer"] for b in blocks), Columns.joined([Columns.of(b) for b in blocks])
 
-    def _store(self, entries: dict[int, Entry], before: int | None) -> None:
-        """One timer, at the earliest time that could end an entry of the block."""
-        timer = min(e.due(self._keep) for e in entries.values())
+    def _store(self, rows: Columns, due: np.ndarray, before: int | None) -> None:
+        """By rows in order of ids and the time each is due. One timer, at the earliest time that could end an entry of the group."""
+        timer = int(due.min())
         if before != timer:
             if before is not None:
                 self._handle.deleteTimer(before)
             self._handle.registerTimer(timer)
-        self._state.update((timer, [tuple(e) for e in entries.values()]))
+        firsts = _changes(rows.numbers[0] >> BLOCK_BITS)
+        timers = np.minimum.reduceat(due, firsts).tolist()
+        self._state.put([(t, *block.stored()) for t, block in zip(timers, rows.cut(firsts))])
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        before, entries = self._entries()
+        before, known = self._known()
         reached = timerValues.getCurrentWatermarkInMs() * 1000
+        parts, held, changed = [] if known is None else [known], 0, False
         for pack in rows:
-            numbers = np.frombuffer(pack.numbers, np.int64).reshape(-1, 5).tolist()
-            for (id_, kind, at, seconds, offset), content in zip(numbers, pack.content):
-                if at <= reached:
-                    continue
-                entry = entries.get(id_) or Entry(id=id_)
-                if kind == WAIT:
-                    entry = entry.with_wait(at, seconds)
-                elif kind == CANCEL:
-                    entry = entry.with_cancel(at)
-                else:
-                    entry = entry.with_event(at, offset, content)
-                entries[id_] = entry
-        if entries:
-            self._store(entries, before)
+            part = Columns.of(pack)
+            late = part.numbers[2] <= reached
+            if late.any():
+                part = part.take(np.flatnonzero(~late))
+            if len(part.numbers[0]):
+                parts.append(part)
+                held, changed = held + len(part.numbers[0]), True
+            if held >= PACK_ROWS:
+                parts, held = [_first(Columns.joined(parts))], 0
+        if changed:
+            rows = _first(Columns.joined(parts))
+            entry, _, _, _, due, _ = _ends(rows, self._keep)
+            self._store(rows, due[entry], before)
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         now = expiredTimerInfo.getExpiryTimeInMs()
-        timer, entries = self._entries()
+        timer, rows = self._known()
         if timer is None or timer > now:
             return  # an older timer
         # what the watermark has reached goes at once, so that no timer is set behind it
         now = max(now, timerValues.getCurrentWatermarkInMs())
-        left, ended = {}, []
-        for id_, entry in entries.items():
-            if entry.due(self._keep) > now:
-                left[id_] = entry
-            elif end := entry.ends():
-                at, how = end
-                ended.append((id_, how, entry.waited_at, at, entry.content if how == MET else None))
-        if left:
-            self._store(left, None)  # Spark drops the timer that has expired
+        entry, waited, end, how, due, event = _ends(rows, self._keep)
+        left = due > now
+        if left.any():
+            stay = np.flatnonzero(left[entry])
+            self._store(rows.take(stay), due[entry[stay]], None)  # Spark drops the timer that has expired
         else:
             self._state.clear()
-        if ended:
-            yield Row(**dict(zip(_ENDED.names, map(list, zip(*ended)))))
+        over = np.flatnonzero(~left & (waited != NEVER))
+        if len(over):
+            met = how[over] == HOW.index(MET)
+            ids = rows.numbers[0, np.searchsorted(entry, over)]
+            events = rows.take(event[over[met]])
+            lengths = np.full(len(over), -1)
+            lengths[met] = events.numbers[-1]
+            ended = Columns(np.stack([ids, how[over], waited[over], end[over], lengths]), events.content)
+            yield Row(**dict(zip(_ENDED.names, ended.stored())))
 
     def close(self) -> None:
         pass
@@ -209,7 +262,7 @@ def _pack(batches: list[pa.RecordBatch]) -> pa.RecordBatch:
 
 def _packed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     held: list[pa.RecordBatch] = []
-    for b in _folded(batches):
+    for b in batches:
         if b.num_rows:
             held.append(b)
         if sum(h.num_rows for h in held) >= PACK_ROWS or sum(h.nbytes for h in held) >= PACK_BYTES:
@@ -219,13 +272,79 @@ def _packed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _pack(held)
 
 
-def _rows(df: DataFrame, kind: int, at: str, **columns: str) -> DataFrame:
-    have = {"seconds": F.lit(0), "log_offset": F.lit(0), "content": F.lit(None)} | {k: F.col(v) for k, v in columns.items()}
-    return df.where(F.col("id").isNotNull() & F.col(at).isNotNull()).select(
-        F.col("id").cast("int").alias("id"), F.lit(kind).alias("kind"), F.col(at).cast("timestamp").alias("at"),
-        *[F.coalesce(have[f.name].cast(f.dataType), F.lit(0)).alias(f.name) for f in _INPUT.fields[3:5]],
-        have["content"].cast("string").alias("content"),
+def _grouped(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The packs of a group as one, as columns."""
+    for b in _packed(batches):
+        groups = b.column("id").to_numpy() | ((1 << GROUP_BITS) - 1)
+        firsts = _changes(groups)
+        texts = pc.cast(b.column("content").values, pa.binary())
+        lengths = pc.fill_null(pc.binary_length(texts), -1).to_numpy().astype(np.int64)
+        numbers = np.frombuffer(_bytes(b.column("numbers")), np.int64).reshape(-1, 5)
+        rows = Columns(np.vstack([numbers.T, lengths]), np.frombuffer(_bytes(texts), np.uint8))
+        bounds = b.column("content").offsets.to_numpy()[firsts]
+        columns = zip(*[group.stored() for group in rows.cut(bounds)])
+        latest = np.maximum.reduceat(b.column("at").cast(pa.int64()).to_numpy(), firsts)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(groups[firsts]), pa.array(latest).cast(b.schema.field("at").type),
+             *[pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.binary(), pa.binary()))]], names=_GROUP.names
+        )
+
+
+def _bytes(column: pa.Array) -> pa.Buffer:
+    """All values of a binary column, one behind the other."""
+    _, offsets, data = column.buffers()
+    first, last = np.frombuffer(offsets, np.int32)[[column.offset, column.offset + len(column)]].tolist()
+    return data.slice(first, last - first) if last > first else pa.py_buffer(b"")
+
+
+def _ended(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row per wait of what ended, of so many groups at a time that their rows are a small batch."""
+    results = pa.array(HOW)
+    step = (1 << 16) >> GROUP_BITS
+    for batch in batches:
+        for i in range(0, batch.num_rows, step):
+            rows = Columns.joined([Columns.of(group, 5) for group in batch.slice(i, step).to_pylist()])
+            ids, how, waited, end, lengths = rows.numbers
+            offsets = np.append(0, np.cumsum(np.maximum(lengths, 0))).astype(np.int32)
+            known = pa.py_buffer(np.packbits(lengths >= 0, bitorder="little"))
+            content = pa.Array.from_buffers(
+                pa.string(), len(ids), [known, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(rows.content))]
+            )
+            times = (pa.array(t).cast(pa.timestamp("us", "UTC")) for t in (waited, end))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(ids.astype(np.int32)), results.take(pa.array(how)), *times, content], names=_RESULT.names
+            )
+
+
+def _open(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, waited_at, deadline) of the waits in blocks of the state."""
+    for b in batches:
+        if not b.num_rows:
+            continue
+        rows = np.concatenate([Columns.of(block).numbers for block in b.to_pylist()], axis=1)
+        ids, _, at, seconds, _, _ = rows[:, rows[1] == WAIT]
+        times = (pa.array(t).cast(pa.timestamp("us", "UTC")) for t in (at, at + np.maximum(seconds, 0) * 1_000_000))
+        yield pa.RecordBatch.from_arrays([pa.array(ids.astype(np.int32)), *times], names=["id", "waited_at", "deadline"])
+
+
+def _filled(batches: Iterable[pa.RecordBatch], kind: int) -> Iterator[pa.RecordBatch]:
+    """The columns that all kinds of row have: numbers a kind has not are 0, a content is null."""
+    for b in batches:
+        n = b.num_rows
+        have = {"kind": pa.array(np.full(n, kind, np.int32)), "seconds": pa.array(np.zeros(n, np.int32)),
+                "log_offset": pa.array(np.zeros(n, np.int64)), "content": pa.nulls(n, pa.string())}
+        have |= dict(zip(b.schema.names, b.columns))
+        yield pa.RecordBatch.from_arrays([have[c] for c in _INPUT.names], names=_INPUT.names)
+
+
+def _side(df: DataFrame, kind: int, at: str, *columns: str) -> DataFrame:
+    """Packs of one kind of row. Only the columns it has go to Python."""
+    typed = {c: F.col(c).cast(_INPUT[c].dataType) for c in columns}
+    rows = df.where(F.col("id").isNotNull() & F.col(at).isNotNull()).select(
+        F.col("id").cast("int").alias("id"), F.col(at).cast("timestamp").alias("at"),
+        *[(value if c == "content" else F.coalesce(value, F.lit(0))).alias(c) for c, value in typed.items()],
     )
+    return rows.mapInArrow(lambda batches: _grouped(_filled(batches, kind)), _GROUP)
 
 
 def waits_stream(
@@ -241,21 +360,19 @@ def waits_stream(
     far out of order rows may come in.
     """
     ship(waits.sparkSession)
-    asked = waits.withColumn("wait_seconds", F.coalesce("wait_seconds", F.lit(default_seconds)))
-    sides = [_rows(asked, WAIT, "waited_at", seconds="wait_seconds"),
-             _rows(events, EVENT, "delivered_at", log_offset="log_offset", content="content")]
+    sides = [
+        _side(waits.withColumn("seconds", F.coalesce("wait_seconds", F.lit(default_seconds))), WAIT, "waited_at", "seconds"),
+        _side(events, EVENT, "delivered_at", "log_offset", "content"),
+    ]
     if cancellations is not None:
-        sides.append(_rows(cancellations, CANCEL, "cancelled_at"))
+        sides.append(_side(cancellations, CANCEL, "cancelled_at"))
     # packed before the watermark, as Python functions drop its mark
-    sides = [side.mapInArrow(_packed, _PACK).withWatermark("at", delay) for side in sides]
+    sides = [side.withWatermark("at", delay) for side in sides]
     together = sides[0]
     for side in sides[1:]:
         together = together.unionByName(side)
     ended = together.groupBy("id").transformWithState(Waits(keep), _ENDED, "Append", "EventTime")
-    return ended.select(F.inline(F.arrays_zip(*_ENDED.names))).select(
-        "id", "result", F.timestamp_micros("waited_at").alias("waited_at"), F.timestamp_micros("ended_at").alias("ended_at"),
-        "content",
-    )
+    return ended.mapInArrow(_ended, _RESULT)
 
 
 def waiting(spark, checkpoint: str, operator: int = 0) -> DataFrame:
@@ -263,7 +380,6 @@ def waiting(spark, checkpoint: str, operator: int = 0) -> DataFrame:
 
     Read from the state in its checkpoint; the stream need not run.
     """
+    ship(spark)
     state = spark.read.format("statestore").option("operatorId", operator).option("stateVarName", ENTRY).load(checkpoint)
-    return state.select(F.inline("value.entries")).where("waited_at is not null").select(
-        "id", F.timestamp_micros("waited_at").alias("waited_at"), F.timestamp_micros("deadline").alias("deadline"),
-    )
+    return state.select("list_element.*").mapInArrow(_open, "id int, waited_at timestamp, deadline timestamp")

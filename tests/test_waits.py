@@ -156,3 +156,45 @@ def test_rows_of_a_block_travel_as_one(spark):
         -257: (s(-300), [None]), -1: (s(-1), ["c-1"]), 255: (s(7), ["c5", "c7"]), 511: (s(300), [None]),
     }
     assert len(rows[255]["numbers"]) == 2 * 5 * 8
+
+
+def by_rule(waits, cancels, events):
+    """What ends each wait, one after the other."""
+    ended = {}
+    for id_ in {i for i, _, _ in waits}:
+        at, bound = min((a, a + timedelta(seconds=max(0, n))) for i, a, n in waits if i == id_)
+        ends = [(bound, 2, "expired", None)] + [(max(c, at), 1, "cancelled", None) for i, c in cancels if i == id_]
+        arrived = sorted((a, o, c) for i, a, o, c in events if i == id_)
+        ends += [(max(a, at), 0, "met", c) for a, _, c in arrived[:1]]
+        end, _, how, content = min(ends, key=lambda e: e[:2])
+        ended[id_] = (how, (end - START).total_seconds(), content)
+    return ended
+
+
+def test_columns_of_a_group_give_what_each_wait_gives(spark, tmp_path):
+    """Ids of many blocks and groups, repeats, ties, bounds below zero, contents of all kinds, split over three batches."""
+    rng = random.Random(7)
+    ids = [*range(4000, 4200), *rng.sample(range(5000, 60_000), 150), 2**31 - 1]
+    some = lambda share: [i for i in ids for _ in range(rng.choice([1, 1, 3])) if rng.random() < share]
+    waits = [(i, s(rng.randrange(40)), rng.choice([-5, 0, 15, 30])) for i in some(0.9)]
+    cancels = [(i, s(rng.randrange(60))) for i in some(0.4)]
+    events = [(i, s(rng.randrange(60)), n, rng.choice(["", "a", "é→𝄞", "x" * 3000, f"n{n}"])) for n, i in enumerate(some(0.7))]
+    events += [(i, s(0), 10**12, None) for i in ids[::20]]
+    feed = Feed(spark, str(tmp_path))
+    for k in range(3):
+        feed.send(waits=waits[k::3], cancels=cancels[k::3], events=events[k::3])
+    want = by_rule(waits, cancels, [e for e in events if e[3] is not None] + [(i, a, o, "none") for i, a, o, c in events if c is None])
+    assert len({how for how, _, _ in want.values()}) == 3
+    waiting = {r["id"]: (r["waited_at"], r["deadline"]) for r in W.waiting(spark, f"{tmp_path}/cp").collect()}
+    assert waiting == {i: min((a, a + timedelta(seconds=max(0, n))) for j, a, n in waits if j == i) for i in want}
+    feed.end(hours=3)
+    assert feed.results() == {i: (how, at, None if content == "none" else content) for i, (how, at, content) in want.items()}
+
+
+def test_neighbouring_blocks_share_a_key(spark, tmp_path):
+    """A task asks for the state of 4,096 ids at once: keys grow with ids / 4096, also where ids leave gaps."""
+    feed = Feed(spark, str(tmp_path))
+    feed.send(waits=[(i, s(0), 30) for i in range(1, 12_000, 5)])
+    state = spark.read.format("statestore").option("stateVarName", W.ENTRY).load(f"{tmp_path}/cp")
+    assert state.select("key").distinct().count() == 3
+    assert W.waiting(spark, f"{tmp_path}/cp").count() == len(range(1, 12_000, 5))

@@ -204,6 +204,50 @@ def test_components_of_a_long_path_and_a_star(spark):
     assert out == {**{i: 100 for i in range(100, 161)}, **{500 + i: 7 for i in range(50)}, 7: 7}
 
 
+@pytest.mark.parametrize("nodes, links, chunk", [(300, 150, 7), (300, 290, 64), (60, 400, 1), (2000, 2100, 1 << 18)])
+def test_components_of_random_graphs(spark, nodes, links, chunk):
+    rnd = random.Random(nodes + links)
+    edges = [(rnd.randrange(nodes) - 50, rnd.randrange(nodes) - 50) for _ in range(links)]
+    edges += [(b, a) for a, b in edges[::5]] + [(5000 + i, 4000 + i % 3) for i in range(200)]
+    root = {}
+
+    def find(x):
+        while root.setdefault(x, x) != x:
+            x = root[x]
+        return x
+
+    for a, b in edges:
+        if a != b:
+            x, y = find(a), find(b)
+            root[max(x, y)] = min(x, y)
+    rows = components(spark.createDataFrame(edges, "a long, b long").repartition(5), chunk=chunk).collect()
+    assert sorted((r["node"], r["root"]) for r in rows) == sorted((x, find(x)) for x in list(root))
+    assert components(spark.createDataFrame([], "a long, b long")).collect() == []
+
+
+def test_components_take_few_tasks(spark):
+    """Stars that share nodes, over many shuffle partitions: each half of a round deals the edges out once."""
+    edges = [(100 + i, i % 4) for i in range(300)] + [(100 + i, 4 + i % 4) for i in range(0, 300, 50)]
+    rows = spark.createDataFrame(edges, "a long, b long").coalesce(1)
+    held = {"spark.sql.shuffle.partitions": "64", "spark.sql.adaptive.coalescePartitions.enabled": "false",
+            "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.files.maxPartitionBytes": "1g"}
+    before = {key: spark.conf.get(key, None) for key in held}
+    tracker = spark.sparkContext.statusTracker()
+    try:
+        for key, value in held.items():
+            spark.conf.set(key, value)
+        spark.sparkContext.setJobGroup("few-tasks", "components")
+        components(rows)
+        jobs = [tracker.getJobInfo(j) for j in tracker.getJobIdsForGroup("few-tasks")]
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        for key, value in before.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
+    stages = {s for j in jobs for s in j.stageIds}
+    tasks = sum(i.numCompletedTasks for i in map(tracker.getStageInfo, stages) if i)
+    assert 64 < tasks < 8 * 64
+
+
 def test_vectors(spark):
     kind = T.StructType([
         T.StructField("vec_id", T.LongType()), T.StructField("embedding", T.ArrayType(T.FloatType())),

@@ -13,9 +13,19 @@ _WHILE_WRITING = {
     "spark.sql.execution.arrow.maxRecordsPerBatch": "1024",
 }
 
+# Python gets as many bytes at a time, and one row more. A batch stands in the executor and in its worker, on the way
+# there and back, and neither returns all of the memory that the largest one took.
+BATCH_BYTES = 4 << 20
+_BATCH_BYTES_KEY = "spark.sql.execution.arrow.maxBytesPerBatch"
+
 
 def prepared(spark: SparkSession) -> SparkSession:
-    """Workers know this package. Batches keep Spark's bound in bytes, which holds when texts are long."""
+    """Workers know this package, and batches are bound in bytes, unless the session has a bound of its own.
+
+    The bound stays with the session: a result is computed when its caller asks for it.
+    """
+    if spark.conf.get(_BATCH_BYTES_KEY, None) is None:
+        spark.conf.set(_BATCH_BYTES_KEY, str(BATCH_BYTES))
     return ship(spark)
 
 

@@ -29,6 +29,7 @@ SAMPLE = 32768  # labelled rows that the classifier is fitted on, at most
 MOST_FEATURES = 4096
 LEAST_DOCS, LEAST_CHI2 = 4, 30.0
 LONGEST_RUN = 24  # letters of a word that stand one by one
+PART_BYTES = 1 << 18  # of texts that are worked on at once; arrays of eight bytes a byte stand beside them
 
 # What a sign may stand for.
 STANDS_FOR = {
@@ -128,7 +129,7 @@ def _trigrams(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Trigram counts of all words of a task, two gaps before each word and one behind it."""
     total = np.zeros(_SYMBOLS**3, np.int64)
     for b in batches:
-        for s in slices(b.column("_text")):
+        for s in slices(b.column("_text"), PART_BYTES):
             w = words(s, WORDS)
             lengths = w.end - w.start
             # the words one after the other, each behind two gaps
@@ -318,7 +319,7 @@ def _feature_rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     """Distinct words of each text, by hash, and how many words it has."""
     for b in batches:
         toxic = b.column("toxic")
-        for s in slices(b.column("_text")):
+        for s in slices(b.column("_text"), PART_BYTES):
             low = Slice(s.row, LOWER[s.data], s.offsets)
             hashes, owner = features(low)
             size = np.bincount(owner, minlength=s.n)
@@ -340,7 +341,7 @@ def _words_of(known: np.ndarray):
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for s in slices(b.column("_text")):
+            for s in slices(b.column("_text"), PART_BYTES):
                 low = LOWER[s.data]
                 w = words(Slice(s.row, low, s.offsets), WORDS)
                 h = span_hashes(low, w.start, w.end)
@@ -421,6 +422,19 @@ def held_out(id_: Column) -> Column:
     return F.pmod(F.crc32(F.coalesce(id_.cast("string"), F.lit("")).cast("binary")), F.lit(5)) == 0
 
 
+def first_rows(rows: DataFrame, most: int) -> DataFrame:
+    """The first rows by _hash and toxic, `most` at most. Only these numbers are sorted, no texts."""
+    if rows.count() <= most:
+        return rows
+    keys = rows.select("_hash", "toxic").orderBy("_hash", "toxic").limit(most)
+    last = keys.groupBy("_hash", "toxic").count().orderBy(F.desc("_hash"), F.desc("toxic")).first()
+    if last is None:
+        return rows.limit(0)
+    same = F.col("_hash") == last["_hash"]
+    before = rows.where((F.col("_hash") < last["_hash"]) | same & (F.col("toxic") < last["toxic"]))
+    return before.union(rows.where(same & (F.col("toxic") == last["toxic"])).limit(last["count"]))
+
+
 def train(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, sample: int) -> tuple[Model, Classifier]:
     texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
     # 28^3 sums at most
@@ -435,9 +449,10 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_
     # an id that is marked again is the same label
     chosen = marked.distinct().orderBy(F.xxhash64("_id"), "_id", "toxic").limit(sample)
     # `sample` pairs of numbers at most; and as many rows of documents, whatever ids repeat there
-    rows = written(
-        texts.join(F.broadcast(chosen), "_id").select("toxic", "_text").orderBy(F.xxhash64("_text"), "toxic").limit(sample), "toxic-sample"
+    found = written(
+        texts.join(F.broadcast(chosen), "_id").select("toxic", "_text", F.xxhash64("_text").alias("_hash")).hint("rebalance"), "toxic-sample"
     )
+    rows = first_rows(found, sample).select("toxic", "_text")
     seen = written(rows.mapInArrow(_feature_rows, "toxic int, size long, features array<long>"), "toxic-features")
     totals = seen.agg(F.count("*").alias("n"), F.coalesce(F.sum("toxic"), F.lit(0)).alias("p")).first()
     n, p = float(totals["n"]), float(totals["p"])
@@ -465,7 +480,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_
     # of each row the numbers of its known words
     marks = seen.mapInArrow(_known_numbers(known), "toxic int, size long, numbers array<long>").orderBy("toxic", "size", "numbers").collect()
     dropped(seen)
-    dropped(rows)
+    dropped(found)
     # a row does not testify for itself: its words weigh what they do without it
     without = {y: word_weight(toxic - y, other - (1 - y), p - y, n - 1) for y in (0, 1)}
     x = np.array([(without[r["toxic"]][r["numbers"]].sum(), math.log1p(r["size"])) for r in marks])
@@ -478,7 +493,7 @@ def _scored(model: Model, classifier: Classifier):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         restorer = Restorer(model, classifier.words)
         for b in batches:
-            scores = [classifier.scores(s, restorer) for s in slices(b.column("_text"))]
+            scores = [classifier.scores(s, restorer) for s in slices(b.column("_text"), PART_BYTES)]
             out = pa.array(np.concatenate(scores) if scores else np.zeros(0))
             yield pa.RecordBatch.from_arrays([*b.columns, out], names=[*b.schema.names, "score"])
 
